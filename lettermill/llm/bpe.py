@@ -12,6 +12,7 @@ import base64
 import re
 import unicodedata
 from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,10 +23,10 @@ from pyspark.sql import types as T
 from .common import table, text_of, with_columns
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-#: Pieces, and words, whose ids a task remembers; beyond it forgets all of them and goes on.
-REMEMBERED = 200_000
+#: Pieces, and words, whose ids a worker remembers, twice over at most; longer ones it doesn't.
+PIECES, WORDS, LONG = 250_000, 150_000, 64
 NONE = 1 << 62
-SHIFT = 32  # a tree's value is rank << SHIFT | position
+SHIFT, LOW = 32, 0xFFFFFFFF  # a tree's value is rank << SHIFT | position
 
 
 def default_path() -> str:
@@ -39,53 +40,65 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines) if token}
 
 
-def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+def pair_table(ranks: dict[bytes, int]) -> dict[int, int]:
+    """The rank of the token that each pair of tokens makes, by first << SHIFT | second."""
+    out = {}
+    for token, rank in ranks.items():
+        for cut in range(1, len(token)):
+            first, second = ranks.get(token[:cut]), ranks.get(token[cut:])
+            if first is not None and second is not None:
+                out[first << SHIFT | second] = rank
+    return out
+
+
+def merge(piece: bytes, ranks: dict[bytes, int], pairs: dict[int, int]) -> list[int]:
     """The ids of one piece. Raises KeyError for a byte that the vocabulary lacks."""
     if (whole := ranks.get(piece)) is not None:
         return [whole]
     n = len(piece)
     leaves = 1 << (n - 1).bit_length()
     tree = [NONE] * (2 * leaves)
-    tokens: list[bytes] = [piece[i : i + 1] for i in range(n)]
+    tokens = [ranks[piece[i : i + 1]] for i in range(n)]
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    get = ranks.get
+    get = pairs.get
     for i in range(n - 1):
-        if (rank := get(piece[i : i + 2])) is not None:
+        if (rank := get(tokens[i] << SHIFT | tokens[i + 1])) is not None:
             tree[leaves + i] = rank << SHIFT | i
     for node in range(leaves - 1, 0, -1):
-        a, b = tree[2 * node], tree[2 * node + 1]
-        tree[node] = a if a < b else b
-
-    def update(at: int, value: int) -> None:
-        node = leaves + at
-        tree[node] = value
-        node >>= 1
-        while node:
-            a, b = tree[2 * node], tree[2 * node + 1]
-            least = a if a < b else b
-            if tree[node] == least:
-                break
-            tree[node] = least
-            node >>= 1
-
+        x, y = tree[2 * node], tree[2 * node + 1]
+        tree[node] = x if x < y else y
     while (least := tree[1]) != NONE:
-        at = least & 0xFFFFFFFF
+        at = least & LOW
         gone = after[at]
-        tokens[at] += tokens[gone]
+        token = tokens[at] = least >> SHIFT  # a pair's rank is the id of what it makes
         right = after[at] = after[gone]
-        update(gone, NONE)
+        tree[leaves + gone] = tree[leaves + at] = NONE
         if right < n:
             before[right] = at
-            rank = get(tokens[at] + tokens[right])
-            update(at, NONE if rank is None else rank << SHIFT | at)
-        else:
-            update(at, NONE)
-        if (left := before[at]) >= 0:
-            rank = get(tokens[left] + tokens[at])
-            update(left, NONE if rank is None else rank << SHIFT | left)
+            if (rank := get(token << SHIFT | tokens[right])) is not None:
+                tree[leaves + at] = rank << SHIFT | at
+        left = before[at]
+        a = b = (leaves + at) >> 1
+        c = (leaves + gone) >> 1
+        if left >= 0:
+            rank = get(tokens[left] << SHIFT | token)
+            tree[leaves + left] = NONE if rank is None else rank << SHIFT | left
+            a = (leaves + left) >> 1
+        while a:  # the three leaves' ways to the root, which soon are one
+            x, y = tree[2 * a], tree[2 * a + 1]
+            tree[a] = x if x < y else y
+            if b != a:
+                x, y = tree[2 * b], tree[2 * b + 1]
+                tree[b] = x if x < y else y
+            if c != b:
+                x, y = tree[2 * c], tree[2 * c + 1]
+                tree[c] = x if x < y else y
+            a >>= 1
+            b >>= 1
+            c >>= 1
     out, at = [], 0
     while at < n:
-        out.append(ranks[tokens[at]])
+        out.append(tokens[at])
         at = after[at]
     return out
 
@@ -116,51 +129,58 @@ def splitter(pattern: str, limit: int = 0x250) -> Callable[[str], list[str]]:
     return lambda text: general(text) if other(text) else known(text)
 
 
+class Remembered(dict):
+    """Values made on demand. When it is full, its entries are kept for another round, in which
+    those that are asked for again move over; the others are forgotten."""
+
+    def __init__(self, make: Callable[[str], bytes], most: int):
+        super().__init__()
+        self.make, self.most, self.old = make, most, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= LONG:
+            if len(self) >= self.most:
+                self.old = self.copy()
+                self.clear()
+            self[key] = value
+        return value
+
+
 class Encoder:
     """Encodes texts; remembers the ids of the pieces and words it has met, up to a bound."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.ranks, self.split = ranks, splitter(pattern)
-        self.pieces: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.split = splitter(pattern)
+        pairs = pair_table(ranks)
+        self.pieces = Remembered(lambda piece: np.array(merge(piece.encode(), ranks, pairs), "<i4").tobytes(), PIECES)
+        self.words = Remembered(lambda word: self.plain(" " + word), WORDS)
         # White space before a space that isn't the last before a word: there, words can't be split on their own.
         self.tangled = re.compile(r"\s (?!\S)").search
 
-    def piece(self, piece: str) -> bytes:
-        ids = self.pieces.get(piece)
-        if ids is None:
-            ids = np.array(merge(piece.encode(), self.ranks), "<i4").tobytes()
-            if len(piece) <= 64:
-                if len(self.pieces) >= REMEMBERED:
-                    self.pieces.clear()
-                self.pieces[piece] = ids
-        return ids
-
     def plain(self, text: str) -> bytes:
-        return b"".join(map(self.piece, self.split(text)))
+        return b"".join(map(self.pieces.__getitem__, self.split(text)))
 
     def encode(self, text: str) -> np.ndarray:
         """Ids as int32. A single space before a word always begins a piece, so words with the
         space before them are encoded each on its own, unless white space is tangled."""
         if self.tangled(text):
             return np.frombuffer(self.plain(text), "<i4")
-        words = text.split(" ")
-        out = [self.plain(words[0])]
-        known = self.words
-        for begin in range(1, len(words), 50_000):
-            part = words[begin : begin + 50_000]
-            try:
-                out.append(b"".join(map(known.__getitem__, part)))
-            except KeyError:
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                for word in set(part).difference(known):
-                    known[word] = self.plain(" " + word)
-                out.append(b"".join(map(known.__getitem__, part)))
-                if any(len(word) > 64 for word in part):
-                    for word in [w for w in set(part) if len(w) > 64]:
-                        del known[word]
-        return np.frombuffer(b"".join(out), "<i4")
+        first, *words = text.split(" ")
+        return np.frombuffer(b"".join([self.plain(first), *map(self.words.__getitem__, words)]), "<i4")
+
+
+@lru_cache(maxsize=2)
+def encoder_of(path: str, pattern: str) -> Encoder:
+    """One for each Python worker, which serves many tasks."""
+    return Encoder(load_ranks(path), pattern)
+
+
+@lru_cache(maxsize=2)
+def tokens_of(path: str) -> dict[int, bytes]:
+    return {rank: token for token, rank in load_ranks(path).items()}
 
 
 def encode_column(df: DataFrame, text: str = "text", out: str = "ids", path: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -176,7 +196,7 @@ def encode_column(df: DataFrame, text: str = "text", out: str = "ids", path: str
     kind = pa.list_(pa.int32())
 
     def start():
-        encoder = Encoder(load_ranks(path), pattern)
+        encoder = encoder_of(path, pattern)
 
         def step(rows):
             found = [encoder.encode(x or "") for x in rows[text]]
@@ -194,7 +214,7 @@ def decode_column(df: DataFrame, ids: str = "ids", out: str = "decoded", path: s
     path = path or default_path()
 
     def start():
-        tokens = {rank: token for token, rank in load_ranks(path).items()}
+        tokens = tokens_of(path)
         return lambda rows: {out: [None if x is None else b"".join(map(tokens.__getitem__, x)) for x in rows[ids]]}
 
     return with_columns(df, [ids], T.StructType([T.StructField(out, T.BinaryType())]), start)

@@ -130,7 +130,8 @@ def test_bpe_equals_library(public):
 
 def test_bpe_forgets(public, monkeypatch):
     ranks, pattern, library = public
-    monkeypatch.setattr(bpe, "REMEMBERED", 5)
+    monkeypatch.setattr(bpe, "PIECES", 5)
+    monkeypatch.setattr(bpe, "WORDS", 3)
     encoder = bpe.Encoder(ranks, pattern)
     for k in range(5):
         text = " ".join(f"w{i}qz{k}" for i in range(40)) + " " + "long" * 30
@@ -152,8 +153,9 @@ def test_bpe_small_vocabulary(tmp_path):
     path = tmp_path / "v"
     path.write_bytes(b"".join(base64.b64encode(k) + b" %d\n" % v for k, v in ranks.items()))
     assert bpe.load_ranks(str(path)) == ranks
-    assert bpe.merge(b"aaaaa", ranks) == [256, 257]
-    assert bpe.merge(b"baa", ranks) == [98, 256]
+    pairs = bpe.pair_table(ranks)
+    assert bpe.merge(b"aaaaa", ranks, pairs) == [256, 257]
+    assert bpe.merge(b"baa", ranks, pairs) == [98, 256]
 
 
 def case(seed, window=13):
