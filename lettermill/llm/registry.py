@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import bpe, decontaminate, media, near_dedup, repeats, sharding, url_filter
+from . import bpe, decontaminate, media, near_dedup, pii, repeats, sharding, url_filter
 
 QUERIES: dict[str, Callable] = {
     "op1_sharding": sharding.query,
     "op3_byte_bpe": bpe.query,
+    "op5_pii": pii.query,
     "op6_near_dedup": near_dedup.query,
     "op7_url_filter": url_filter.query,
     "op8_decontamination": decontaminate.query,
