@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import bpe, decontaminate, media, near_dedup, pii, repeats, sharding, url_filter
+from . import bpe, decontaminate, extract, media, near_dedup, pii, quality, repeats, sharding, url_filter
 
 QUERIES: dict[str, Callable] = {
     "op1_sharding": sharding.query,
+    "op2_html_extraction": extract.query,
     "op3_byte_bpe": bpe.query,
+    "op4_quality_classifier": quality.query,
     "op5_pii": pii.query,
     "op6_near_dedup": near_dedup.query,
     "op7_url_filter": url_filter.query,

@@ -82,3 +82,14 @@ def test_odd_rows(spark, docs_of):
     assert near_dedup.near_duplicates(docs_of([])).count() == 0
     kept = near_dedup.keep_one(docs_of(["a b c d e f", "a b c d e f", "z", None]))
     assert sorted(r["doc_id"] for r in kept.collect()) == [0, 2, 3] and "size" in kept.columns
+
+
+def test_agreeing(spark):
+    random = np.random.default_rng(3)
+    rows = []
+    for _ in range(200):
+        a = random.integers(0, 256, near_dedup.QUICK, dtype=np.uint8)
+        b = np.where(random.random(near_dedup.QUICK) < random.random(), a, random.integers(0, 256, near_dedup.QUICK, dtype=np.uint8)).astype(np.uint8)
+        rows.append((a.view(np.int64).tolist(), b.view(np.int64).tolist(), int((a == b).sum())))
+    df = spark.createDataFrame(rows, "a array<long>, b array<long>, want int").withColumn("got", near_dedup.agreeing("a", "b"))
+    assert df.where("got <> want").count() == 0
