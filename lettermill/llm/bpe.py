@@ -16,6 +16,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -179,8 +180,25 @@ def encoder_of(path: str, pattern: str) -> Encoder:
 
 
 @lru_cache(maxsize=2)
-def tokens_of(path: str) -> dict[int, bytes]:
-    return {rank: token for token, rank in load_ranks(path).items()}
+def tokens_of(path: str) -> pa.Array:
+    """Each token's bytes at the place of its id."""
+    tokens = {rank: token for token, rank in load_ranks(path).items()}
+    return pa.array([tokens.get(i) for i in range(max(tokens) + 1)], pa.binary())
+
+
+def joined(ids: pa.Array, tokens: pa.Array) -> pa.Array:
+    """The bytes of each list of ids. The tokens of all lists are put end to end at once; a row is
+    what lies between its first and its last."""
+    flat = ids.flatten()
+    if len(flat) and not 0 <= pc.min(flat).as_py() <= pc.max(flat).as_py() < len(tokens):
+        raise KeyError("an id is not in the vocabulary")
+    taken = tokens.take(flat)
+    if taken.null_count:
+        raise KeyError("an id is not in the vocabulary")
+    ends = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False))))
+    places = np.frombuffer(taken.buffers()[1], np.int32, len(taken) + 1) if len(taken) else np.zeros(1, np.int32)
+    rows = pa.BinaryArray.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(places[ends].astype(np.int32)), taken.buffers()[2] or pa.py_buffer(b"")])
+    return pc.if_else(ids.is_valid(), rows, pa.scalar(None, pa.binary()))
 
 
 def encode_column(df: DataFrame, text: str = "text", out: str = "ids", path: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -213,11 +231,8 @@ def decode_column(df: DataFrame, ids: str = "ids", out: str = "decoded", path: s
     """df with the bytes of each row's ids. Null ids give null; unknown ids raise KeyError."""
     path = path or default_path()
 
-    def start():
-        tokens = tokens_of(path)
-        return lambda rows: {out: [None if x is None else b"".join(map(tokens.__getitem__, x)) for x in rows[ids]]}
-
-    return with_columns(df, [ids], T.StructType([T.StructField(out, T.BinaryType())]), start)
+    field = T.StructType([T.StructField(out, T.BinaryType())])
+    return with_columns(df, [ids], field, lambda: lambda rows: {out: joined(rows[ids], tokens_of(path))}, lists=False)
 
 
 def digests(docs: DataFrame) -> DataFrame:

@@ -56,11 +56,12 @@ def _names(fields: T.StructType) -> set[str]:
     return {f.name.lower() for f in fields}
 
 
-def with_columns(df: DataFrame, reads: list[str], fields: T.StructType, start: Callable[[], Step]) -> DataFrame:
+def with_columns(df: DataFrame, reads: list[str], fields: T.StructType, start: Callable[[], Step], lists: bool = True) -> DataFrame:
     """df with columns computed from Arrow batches.
 
     start() runs once for each task and returns a function from the read columns' values to
-    those of the new fields. A column of df whose name a new field has is replaced.
+    those of the new fields: lists of values, or Arrow arrays if not `lists`. A column of df whose
+    name a new field has is replaced.
     """
     kept = [f for f in df.schema if f.name.lower() not in _names(fields)]
     names = [f.name for f in kept]
@@ -73,7 +74,7 @@ def with_columns(df: DataFrame, reads: list[str], fields: T.StructType, start: C
         for batch in batches:
             for at in range(0, max(batch.num_rows, 1), 1000):  # keeps what is in Python small
                 part = batch.slice(at, 1000)
-                new = step({c: part.column(real).to_pylist() for c, real in need.items()})
+                new = step({c: part.column(real).to_pylist() if lists else part.column(real) for c, real in need.items()})
                 columns = [part.column(c) for c in names]
                 columns += [new[c] if isinstance(new[c], pa.Array) else pa.array(new[c], kind) for c, kind in kinds]
                 yield pa.RecordBatch.from_arrays(columns, names=names + [c for c, _ in kinds])

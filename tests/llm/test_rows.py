@@ -148,6 +148,16 @@ def test_bpe_query(spark, docs_of, folder, public):
         assert r["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
 
 
+def test_bpe_decode(spark, public):
+    ranks = public[0]
+    rows = [(1, [0, 50255, 7]), (2, []), (3, None), (4, [11])]
+    got = bpe.decode_column(spark.createDataFrame(rows, "doc_id long, ids array<int>")).collect()
+    tokens = {v: k for k, v in ranks.items()}
+    assert {r["doc_id"]: r["decoded"] for r in got} == {1: tokens[0] + tokens[50255] + tokens[7], 2: b"", 3: None, 4: tokens[11]}
+    with pytest.raises(Exception, match="not in the vocabulary"):
+        bpe.decode_column(spark.createDataFrame([(1, [50256])], "doc_id long, ids array<int>")).collect()
+
+
 def test_bpe_small_vocabulary(tmp_path):
     ranks = {bytes([i]): i for i in range(256)} | {b"aa": 256, b"aaa": 257, b"ba": 258}
     path = tmp_path / "v"
