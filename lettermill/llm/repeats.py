@@ -115,7 +115,7 @@ def anchor_rows(texts: DataFrame, with_place: bool) -> DataFrame:
     return rows_from(texts, ["text_key", "text"], fields, start)
 
 
-CORES = _schema(core=T.LongType(), margins=T.LongType(), text_key=T.BinaryType(), place=T.IntegerType(), spot=T.LongType())
+CORES = _schema(core=T.LongType(), margins=T.LongType(), row=T.LongType(), place=T.IntegerType())
 
 
 def core_rows(texts: DataFrame) -> DataFrame:
@@ -124,21 +124,20 @@ def core_rows(texts: DataFrame) -> DataFrame:
     def start():
         def step(rows):
             out: dict[str, list] = {name: [] for name in CORES.names}
-            for key, text, places in zip(rows["text_key"], rows["text"], rows["places"], strict=True):
+            for row, text, places in zip(rows["row"], rows["text"], rows["places"], strict=True):
                 raw = text.encode()
                 own = sorted({c for p in places for c in (p, p - MARGIN) if c >= 0 and c + CORE <= len(raw)})
                 for c in own:
                     left = min(c, MARGIN)
                     out["core"].append(xxhash.xxh3_64_intdigest(raw[c : c + CORE]) - (1 << 63))
                     out["margins"].append(xxhash.xxh3_64_intdigest(raw[c - left : c + LENGTH], seed=left) - (1 << 63))
-                out["text_key"] += [key] * len(own)
+                out["row"] += [row] * len(own)
                 out["place"] += own
-                out["spot"] += signed(spots(key, np.array(own, np.int64))).tolist()
             return out
 
         return step
 
-    return rows_from(texts, ["text_key", "text", "places"], CORES, start)
+    return rows_from(texts, ["row", "text", "places"], CORES, start)
 
 
 AROUND = _schema(core=T.LongType(), margins=T.LongType(), left=T.BinaryType(), right=T.BinaryType())
@@ -251,7 +250,7 @@ def compared(around: DataFrame) -> DataFrame:
     return around.repartition("core").sortWithinPartitions("core").mapInArrow(run, REACH)
 
 
-RESULT = _schema(text_key=T.BinaryType(), n_removed=T.LongType(), n_spans=T.LongType(), kept_sha256=T.StringType(), spans=T.ArrayType(_schema(start=T.IntegerType(), end=T.IntegerType())))
+RESULT = _schema(row=T.LongType(), n_removed=T.LongType(), n_spans=T.LongType(), kept_sha256=T.StringType(), spans=T.ArrayType(_schema(start=T.IntegerType(), end=T.IntegerType())))
 
 
 def cut(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, list[tuple[int, int]]]:
@@ -273,36 +272,39 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """(text_key, n_removed, n_spans, kept_sha256, spans) of the distinct texts that share a
     200-byte string with another place of a distinct text. docs: text_key (16 bytes), text."""
     places = anchor_rows(docs, False).groupBy("anchor").agg(F.min("spot").alias("low"), F.max("spot").alias("high"))
-    repeated = places.where("low <> high").select("anchor")
+    repeated = written(places.where("low <> high").select("anchor"))
     at = anchor_rows(docs, True).join(repeated, "anchor", "left_semi").groupBy("text_key").agg(F.collect_set("place").alias("places"))
     distinct = docs.groupBy("text_key").agg(F.first("text").alias("text"))
-    texts = written(distinct.join(at, "text_key"))
+    texts = written(distinct.join(at, "text_key").withColumn("row", F.monotonically_increasing_id()))  # the numbers stay, once written
 
     cores = written(core_rows(texts))
-    classes = cores.groupBy("core", "margins").agg(F.min("spot").alias("low"), F.max("spot").alias("high"), F.min(F.struct("text_key", "place")).alias("sample"))
+    spot = F.xxhash64("row", "place")
+    classes = cores.groupBy("core", "margins").agg(F.min(spot).alias("low"), F.max(spot).alias("high"), F.first("row").alias("row"), F.first("place").alias("place"))
     classes = written(classes)
     several = classes.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core")
-    wanted = classes.join(several, "core").groupBy("sample.text_key").agg(F.collect_list(F.struct("core", "margins", "sample.place")).alias("wanted"))
-    found = compared(around_rows(texts.select("text_key", "text").join(wanted, "text_key")))
+    wanted = classes.join(several, "core").groupBy("row").agg(F.collect_list(F.struct("core", "margins", "place")).alias("wanted"))
+    found = compared(around_rows(texts.select("row", "text").join(wanted, "row")))
     whole = classes.where("low <> high").select("core", "margins", F.lit(-MARGIN).alias("low"), F.lit(LENGTH).alias("high"))
     marks = found.unionAll(whole)
-    spans = cores.select("core", "margins", "text_key", "place").join(marks, ["core", "margins"])
-    spans = spans.select("text_key", F.greatest(F.lit(0), F.col("place") + F.col("low")).alias("start"), (F.col("place") + F.col("high")).alias("end"))
-    spans = spans.groupBy("text_key").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    spans = cores.join(marks, ["core", "margins"])
+    spans = spans.select("row", F.greatest(F.lit(0), F.col("place") + F.col("low")).alias("start"), (F.col("place") + F.col("high")).alias("end"))
+    spans = spans.groupBy("row").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
 
     def start():
         def step(rows):
             out: dict[str, list] = {name: [] for name in RESULT.names}
-            for key, text, own in zip(rows["text_key"], rows["text"], rows["spans"], strict=True):
+            for row, text, own in zip(rows["row"], rows["text"], rows["spans"], strict=True):
                 raw = text.encode()
                 kept, runs = cut(raw, [(s["start"], min(s["end"], len(raw))) for s in own])
-                for name, value in zip(RESULT.names, (key, len(raw) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), [{"start": a, "end": b} for a, b in runs]), strict=True):
+                for name, value in zip(RESULT.names, (row, len(raw) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), [{"start": a, "end": b} for a, b in runs]), strict=True):
                     out[name].append(value)
             return out
 
         return step
 
-    return rows_from(texts.select("text_key", "text").join(spans, "text_key"), ["text_key", "text", "spans"], RESULT, start)
+    # The texts are dealt by row for this join as for that above: Spark deals them once.
+    found = rows_from(texts.select("row", "text").join(spans, "row"), ["row", "text", "spans"], RESULT, start)
+    return found.join(texts.select("row", "text_key"), "row").drop("row")
 
 
 def repeats(docs: DataFrame) -> DataFrame:
