@@ -25,12 +25,17 @@ BANDS, ROWS = 52, 5  # a pair at 0.75 shares no band with a chance of 8e-7
 REGISTERS = BANDS * ROWS
 MANTISSA = 10
 SHARE = (75, 100)
-#: The estimate's standard deviation is at most 0.03 for this many registers; pairs below the
-#: threshold by more than this aren't compared.
-SLACK = 0.2
+#: The estimate's standard deviation is 0.027 at the threshold for this many registers; pairs below
+#: it by more than five of them aren't compared.
+SLACK = 0.14
 #: In a bucket, sets of different components must agree in so many of the low bytes of their first
 #: registers before they make a pair: five standard deviations below what 0.75 gives.
 QUICK, AGREE = 64, 31
+#: Bits of the map of a set's shingles, which bounds what two sets can share.
+BITS = 4096
+#: Before all of those are compared, buckets are dealt into groups of about so many, so many times
+#: over, and each group is compared with its smallest.
+GROUP, TURNS = 8, 2
 #: Word hashes that a task remembers.
 REMEMBERED = 300_000
 
@@ -142,25 +147,95 @@ def sketch_column(docs: DataFrame) -> DataFrame:
     return with_columns(docs, ["text"], SKETCH, start)
 
 
-def band_rows(sets: DataFrame) -> DataFrame:
-    """(band, rep) for each band of each set's registers."""
+def band_keys() -> Column:
     size = 2 * ROWS
-    keys = F.array(*(F.xxhash64(F.lit(i), F.expr(f"substring(registers, {i * size + 1}, {size})")) for i in range(BANDS)))
-    return sets.select("rep", F.explode(keys).alias("band"))
+    return F.array(*(F.xxhash64(F.lit(i), F.expr(f"substring(registers, {i * size + 1}, {size})")) for i in range(BANDS)))
+
+
+def band_rows(sets: DataFrame) -> DataFrame:
+    """(band, at, rep) for each band of each set's registers; at is its number."""
+    return sets.select("rep", F.posexplode(band_keys()).alias("at", "band"))
 
 
 def agreeing(a: str, b: str) -> Column:
     """In how many bytes two arrays of longs agree."""
 
     def differ(i: int) -> Column:
-        x = F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))
+        z = F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))
         for shift, mask in ((4, 0x0F0F0F0F0F0F0F0F), (2, 0x0303030303030303), (1, 0x0101010101010101)):
-            x = x.bitwiseOR(F.shiftrightunsigned(x, shift)).bitwiseAND(F.lit(mask))
-        return F.bit_count(x)
+            z = z.bitwiseOR(F.shiftrightunsigned(z, shift)).bitwiseAND(F.lit(mask))
+        return F.bit_count(z)
 
     return QUICK - reduce(lambda x, y: x + y, map(differ, range(QUICK // 8)))
 
 
+def can_share(n: str, m: str, a: str, b: str) -> Column:
+    """Whether maps of the shingles leave room for what sets of n and m members must share: no more
+    than the bits that both have, and the members that found their bit taken. True without a map."""
+    set_in = lambda bits: F.aggregate(F.col(bits), F.lit(0), lambda x, w: x + F.bit_count(w))
+    both = F.aggregate(F.zip_with(a, b, lambda x, y: x.bitwiseAND(y)), F.lit(0), lambda x, w: x + F.bit_count(w))
+    most = both + F.least(F.col(n) - set_in(a), F.col(m) - set_in(b))
+    return F.coalesce(most * sum(SHARE) >= (F.col(n) + F.col(m)) * SHARE[0], F.lit(True))
+
+
+def comparable(n: str, m: str, common_a: str, common_b: str, a: str, b: str) -> Column:
+    """Whether two sets' sizes, shingles that others have too, and first registers allow the
+    similarity. Sets of n and m members must share (n + m) * 75 / 175."""
+    sizes = F.least(n, m) * SHARE[1] >= F.greatest(n, m) * SHARE[0]
+    enough = F.least(common_a, common_b) * sum(SHARE) >= (F.col(n) + F.col(m)) * SHARE[0]
+    return sizes & enough & (agreeing(a, b) >= AGREE)
+
+
+def unique_shingles(texts: DataFrame) -> DataFrame:
+    """(rep, unique): of texts (doc_id, text), how many shingles no other of them has. Documents
+    without such shingles, or with several texts, are left out. Counted before the shuffle, so
+    common shingles are no load."""
+
+    def start():
+        hashes = WordHashes()
+
+        def step(rows):
+            found = [shingles(t, hashes) for t in rows["text"]]
+            reps = [np.full(len(f), key, np.int64) for key, f in zip(rows["doc_id"], found, strict=True)]
+            return {"rep": np.concatenate(reps) if reps else [], "shingle": np.concatenate(found).view(np.int64) if found else []}
+
+        return step
+
+    each = rows_from(texts, ["doc_id", "text"], T.StructType([T.StructField(c, T.LongType()) for c in ("rep", "shingle")]), start)
+    alone = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("rep")).where("n = 1")
+    single = texts.groupBy(F.col("doc_id").alias("rep")).agg(F.count(F.lit(1)).alias("n")).where("n = 1").select("rep")
+    return alone.groupBy("rep").agg(F.count(F.lit(1)).alias("unique")).join(single, "rep")
+
+
+def bit_maps(texts: DataFrame) -> DataFrame:
+    """(rep, bits): for documents with one text, the map of its shingles as longs."""
+
+    def start():
+        hashes = WordHashes()
+
+        def step(rows):
+            out = []
+            for text in rows["text"]:
+                bits = np.zeros(BITS, np.uint8)
+                bits[(shingles(text, hashes) & np.uint64(BITS - 1)).astype(np.int64)] = 1
+                out.append(np.packbits(bits).view(np.int64).tolist())
+            return {"bits": out}
+
+        return step
+
+    single = texts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.first("text").alias("text")).where("n = 1").select(F.col("doc_id").alias("rep"), "text")
+    return with_columns(single, ["text"], T.StructType([T.StructField("bits", T.ArrayType(T.LongType()))]), start).drop("text")
+
+
+def open_rows(members: DataFrame, grouped: DataFrame, sets: DataFrame) -> DataFrame:
+    """band, rep, component, members of the bands whose sets are still in several components, with
+    the columns of sets."""
+    labelled = members.join(grouped.toDF("rep", "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    bands = labelled.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("members"))
+    rest = labelled.join(written(bands.where("low <> high").select("band", "members")), "band")
+    return rest.join(sets, "rep")
+
+
 def likely(pairs: DataFrame, sets: DataFrame, share: tuple[int, int] = SHARE) -> DataFrame:
     """The pairs (a, b) whose sizes allow the similarity and whose estimate isn't far below it."""
     part = sets.select("rep", "n_shingles", "registers")
@@ -217,9 +292,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     Documents with equal sets become one class first, so copies are never compared. In each band,
     every class is compared with the smallest of its bucket; the links found give components.
-    Then, in buckets whose classes are still in several components, those of different components
-    whose sizes and first registers allow it are compared. So each pair that shares a band is compared or already joined, and large groups
-    of near copies need about one comparison for each member and leader, not one for each pair.
+    Buckets whose classes are still in several components are dealt into small groups, each with
+    its own leader, and so joined further: groups of near copies grow together in this way with
+    few comparisons for each member. What is left in several components is compared in pairs, if
+    sizes, shingles that others have too, and first registers allow it. So each pair that shares a band is compared or already
+    joined.
     """
     docs = docs.select("doc_id", "text")
     sketched = written(sketch_column(docs).drop("text"))
@@ -227,25 +304,43 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sets = named.groupBy("set_key").agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("n_shingles", "registers", "quick")))
     sets = written(sets)
     bands = band_rows(sets)
+    # What is joined is written first: Spark then can split a bucket with very many sets in the join.
     shared = bands.groupBy("band").agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    members = written(bands.join(shared.select("band", "leader"), "band"))
+    members = written(bands.join(written(shared.select("band", "leader")), "band"))
 
     within = docs.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
     texts = within.groupBy("doc_id", F.xxhash64("text").alias("which")).agg(F.first("text").alias("text"))
     texts = written(texts.select("doc_id", "text"))
 
     first = members.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
-    first = written(linked(likely(first, sets), texts))
-    grouped = components(first)
-    labelled = members.select("band", "rep").join(grouped.toDF("rep", "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    open_bands = labelled.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band")
-    rest = labelled.join(open_bands, "band").join(sets.select("rep", "n_shingles", "quick"), "rep")
-    rest = written(rest.select("band", "rep", "component", "n_shingles", "quick"))
-    left, right = rest.toDF("band", "a", "ca", "n", "qa"), rest.toDF("band", "b", "cb", "m", "qb")
-    near = (F.least("n", "m") * SHARE[1] >= F.greatest("n", "m") * SHARE[0]) & (agreeing("qa", "qb") >= AGREE)
-    pairs = left.join(right, (left["band"] == right["band"]) & F.expr("a < b AND ca <> cb") & near).select("a", "b").distinct()
-    second = linked(likely(pairs, sets), texts)
-    final = components(first.unionAll(second)).toDF("rep", "component")
+    links = written(linked(likely(first, sets), texts))
+    members, grouped = members.select("band", "at", "rep"), components(links)
+    # The only sets that can still have links are those of open buckets, and only with one another.
+    left_over = open_rows(members, grouped, sets.select("rep")).select(F.col("rep").alias("doc_id")).distinct()
+    left_over = written(texts.join(written(left_over), "doc_id", "left_semi"))
+    facts = sets.select("rep", "n_shingles", "quick", F.transform(band_keys(), lambda k: F.pmod(k, F.lit(1 << 31)).cast("int")).alias("keys"))
+    facts = facts.join(bit_maps(left_over), "rep", "left").join(unique_shingles(left_over), "rep", "left")
+    facts = facts.join(left_over.select(F.col("doc_id").alias("rep")).distinct(), "rep", "left_semi")
+    facts = facts.select("rep", "n_shingles", "quick", "keys", "bits", (F.col("n_shingles") - F.coalesce("unique", F.lit(0))).alias("common"))
+    facts = written(facts.where(F.col("common") * SHARE[1] >= F.col("n_shingles") * SHARE[0]))
+    for turn in range(1, TURNS + 1):
+        rest = open_rows(members, grouped, facts.drop("keys", "bits"))
+        group = F.pmod(F.xxhash64("rep", F.lit(turn)), F.greatest(F.lit(1), F.floor(F.col("members") / GROUP).cast("int")))
+        rest = written(rest.withColumn("part", group))
+        leaders = rest.groupBy("band", "part").agg(F.min(F.struct("rep", "component", "n_shingles", "common", "quick")).alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        both = rest.join(written(leaders.select("band", "part", "lead.*").toDF("band", "part", "a", "ca", "m", "common_a", "qa")), ["band", "part"])
+        found = both.where(F.col("ca") != F.col("component")).where(comparable("n_shingles", "m", "common", "common_a", "quick", "qa"))
+        pairs = found.select("a", F.col("rep").alias("b")).distinct()
+        links = links.unionAll(written(linked(likely(pairs, sets), texts)))
+        grouped = components(links)
+    columns = ["rep", "component", "n_shingles", "common", "quick", "keys", "bits"]
+    rest = written(open_rows(members, grouped, facts).select("band", "at", *columns))
+    left, right = rest.toDF("band", "at", *(f"{c}_a" for c in columns)), rest.drop("at").toDF("band", *(f"{c}_b" for c in columns))
+    earlier = F.exists(F.zip_with(F.slice("keys_a", F.lit(1), F.col("at")), F.slice("keys_b", F.lit(1), F.col("at")), lambda x, y: x == y), lambda x: x)
+    near = comparable("n_shingles_a", "n_shingles_b", "common_a", "common_b", "quick_a", "quick_b") & can_share("n_shingles_a", "n_shingles_b", "bits_a", "bits_b")
+    both = left.join(right, (left["band"] == right["band"]) & F.expr("rep_a < rep_b AND component_a <> component_b") & near & ~earlier)
+    pairs = both.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
+    final = components(links.unionAll(linked(likely(pairs, sets), texts))).toDF("rep", "component")
 
     classes = sets.select("set_key", "rep").join(final, "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component"))
     out = sketched.select("doc_id", "n_shingles", "set_key").join(classes, "set_key", "left")

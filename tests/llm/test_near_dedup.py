@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lettermill.llm import graph, near_dedup
 
@@ -93,3 +94,42 @@ def test_agreeing(spark):
         rows.append((a.view(np.int64).tolist(), b.view(np.int64).tolist(), int((a == b).sum())))
     df = spark.createDataFrame(rows, "a array<long>, b array<long>, want int").withColumn("got", near_dedup.agreeing("a", "b"))
     assert df.where("got <> want").count() == 0
+
+
+def test_maps_never_rule_out_similar_sets(spark):
+    rnd = random.Random(6)
+    rows = []
+    for i in range(120):
+        words = [f"v{rnd.randrange(10**6)}" for _ in range(rnd.choice((6, 40, 300, 3000)))]
+        other = list(words)
+        for _ in range(rnd.randrange(1, 2 + len(words) // 12)):
+            other[rnd.randrange(len(other))] = "changed" + str(rnd.randrange(10**6))
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+    maps = near_dedup.bit_maps(spark.createDataFrame(rows, "doc_id long, text string"))
+    hashes = near_dedup.WordHashes()
+    sets = {i: near_dedup.shingles(t, hashes) for i, t in rows}
+    facts = maps.join(spark.createDataFrame([(i, len(x)) for i, x in sets.items()], "rep long, n long"), "rep")
+    both = facts.toDF("a", "ba", "n").join(facts.toDF("b", "bb", "m"), F.expr("b = a + 1 AND a % 2 = 0"))
+    got = {r["a"]: r["ok"] for r in both.withColumn("ok", near_dedup.can_share("n", "m", "ba", "bb")).collect()}
+    similar = {2 * i for i in range(120) for n in [len(np.intersect1d(sets[2 * i], sets[2 * i + 1]))] if 100 * n >= 75 * (len(sets[2 * i]) + len(sets[2 * i + 1]) - n)}
+    assert len(got) == 120 and all(got[a] for a in similar) and not all(got.values())
+
+
+def test_unique_shingles(spark):
+    texts = spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e g h"), (3, "a b c d e"), (4, None), (5, "p q"), (5, "r s")], "doc_id long, text string")
+    assert {r["rep"]: r["unique"] for r in near_dedup.unique_shingles(texts).collect()} == {1: 1, 2: 2}
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_one_large_group_of_near_copies(spark, docs_of, seed):
+    """Most pairs of the group aren't similar enough: links go through a few documents."""
+    rnd = random.Random(seed)
+    base = [f"w{rnd.randrange(10**6)}" for _ in range(120)]
+    texts = []
+    for i in range(160):
+        words = list(base)
+        for _ in range(rnd.randrange(0, 9)):
+            words[rnd.randrange(len(words))] = f"x{rnd.randrange(10**6)}"
+        texts.append(" ".join(words))
+    rows = near_dedup.near_duplicates(docs_of(texts)).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows} == near_dedup.brute(dict(enumerate(texts)))
