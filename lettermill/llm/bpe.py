@@ -25,7 +25,7 @@ from .common import table, text_of, with_columns
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Pieces, and words, whose ids a worker remembers, twice over at most; longer ones it doesn't.
-PIECES, WORDS, LONG = 250_000, 150_000, 64
+PIECES, WORDS, LONG = 160_000, 100_000, 64
 NONE = 1 << 62
 SHIFT, LOW = 32, 0xFFFFFFFF  # a tree's value is rank << SHIFT | position
 
