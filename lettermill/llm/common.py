@@ -56,6 +56,14 @@ def _names(fields: T.StructType) -> set[str]:
     return {f.name.lower() for f in fields}
 
 
+def _parts(batch: pa.RecordBatch, rows: int = 1000, size: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of about so many bytes at most, which keeps small what is in Python at once. A batch
+    without rows is one slice."""
+    each = max(1, min(rows, batch.num_rows * size // max(1, batch.nbytes)))
+    for at in range(0, max(batch.num_rows, 1), each):
+        yield batch.slice(at, each)
+
+
 def with_columns(df: DataFrame, reads: list[str], fields: T.StructType, start: Callable[[], Step], lists: bool = True) -> DataFrame:
     """df with columns computed from Arrow batches.
 
@@ -72,8 +80,7 @@ def with_columns(df: DataFrame, reads: list[str], fields: T.StructType, start: C
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = start()
         for batch in batches:
-            for at in range(0, max(batch.num_rows, 1), 1000):  # keeps what is in Python small
-                part = batch.slice(at, 1000)
+            for part in _parts(batch):
                 new = step({c: part.column(real).to_pylist() if lists else part.column(real) for c, real in need.items()})
                 columns = [part.column(c) for c in names]
                 columns += [new[c] if isinstance(new[c], pa.Array) else pa.array(new[c], kind) for c, kind in kinds]
@@ -90,8 +97,7 @@ def rows_from(df: DataFrame, reads: list[str], fields: T.StructType, start: Call
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = start()
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for part in _parts(batch):
                 new = step({c: part.column(c).to_pylist() for c in reads})
                 columns = [pa.array(new[c], kind) for c, kind in kinds]
                 if len(columns[0]):
