@@ -18,7 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table, text_of, with_columns
+from . import near_dedup
+from .common import table, text_of, with_columns, written
 
 #: Bounds of the samples for fitting: labelled rows for the lexicon, documents for the scorer.
 LABELLED = 20_000
@@ -101,22 +102,26 @@ def vote(text: str | None, learned: frozenset[str]) -> tuple[str, Facts]:
 
 def learn_lexicon(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> frozenset[str]:
     """Words that labelled toxic documents have far more often than others: in at least 3 and one
-    in 200 of them, and 15 times as often. At most LEXICON, those in most toxic documents. Near
-    copies mostly have one and the same word of least hash; documents that share it count once.
+    in 200 of them, and 15 times as often. At most LEXICON, those in most toxic documents. Documents
+    are counted by groups of near copies (op6's components, over the labelled texts), both where a
+    word occurs and in all: a group counts once as toxic and once as not, if it has such members.
 
     Fitted on at most `labelled` labelled rows, those of least hash. They are broadcast, for that
-    bound; of the counts of words only the chosen ones go to the driver.
+    bound; of the counts of words only the chosen ones go to the driver. A labelled id without a
+    document counts nowhere; where documents repeat an id, each counts by its own text.
     """
     sample = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled)
-    counts = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    bad, good = counts.get(1, 0), counts.get(0, 0)
-    if not bad or not good:
+    texts = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(sample), "doc_id")
+    texts = written(texts.select("toxic", F.xxhash64("text").alias("doc_id"), "text").distinct())
+    if texts.select("toxic").where("toxic IN (0, 1)").distinct().count() < 2:
         return frozenset()
-    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-    own = texts.select("toxic", F.array_distinct(F.split(F.lower(text_of()), r"(?U)\W+")).alias("own"))
-    own = own.withColumn("sketch", F.array_min(F.transform("own", lambda w: F.xxhash64(w))))
-    words = own.select("toxic", "sketch", F.explode("own").alias("word")).where("word <> ''").distinct()
+    groups = near_dedup.near_duplicates(texts).select("doc_id", "component_id").distinct()
+    units = written(texts.join(groups, "doc_id").select("toxic", "component_id", "text"))
+    counts = {r["toxic"]: r["n"] for r in units.groupBy("toxic").agg(F.countDistinct("component_id").alias("n")).collect()}
+    bad, good = counts[1], counts[0]
+    own = units.select("toxic", "component_id", F.array_distinct(F.split(F.lower("text"), r"(?U)\W+")).alias("own"))
+    words = own.select("toxic", "component_id", F.explode("own").alias("word")).where("word <> ''").distinct()
     each = words.groupBy("word").agg(F.sum("toxic").alias("in_bad"), F.sum(1 - F.col("toxic")).alias("in_good"))
     lift = F.col("in_bad") / bad / ((F.col("in_good") + 0.5) / good)
     chosen = each.where((F.col("in_bad") >= max(3, bad / 200)) & (lift >= 15)).orderBy(F.desc("in_bad"), "word").limit(LEXICON)

@@ -49,3 +49,23 @@ def test_held_out_accuracy(spark):
     assert len(judged) > 150
     assert sum(r["kept"] != bad(r) for r in judged) / len(judged) >= 0.93
     assert sum(r["kept"] for r in judged if not bad(r)) >= 0.98 * sum(not bad(r) for r in judged)
+
+
+def labelled_words(spark, copies):
+    """The lexicon of 240 toxic and 240 clean unlike texts, and of further toxic rows."""
+    rnd = random.Random(5)
+    taught = [f"slur{k}" for k in range(30)]
+    plain = lambda n: [f"w{rnd.randrange(3000)}" for _ in range(n)]
+    bad = [" ".join(["the", "and", *plain(20), taught[i % 30], taught[(i * 7 + 1) % 30], *plain(5)]) for i in range(240)]
+    clean = [" ".join(["the", "and", *plain(28)]) for _ in range(240)]
+    rows = [(i, t, toxic) for i, (t, toxic) in enumerate([(t, 1) for t in bad] + [(t, 0) for t in clean] + [(t, 1) for t in copies(bad[0])])]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, 1, toxic) for i, _, toxic in rows], "doc_id long, quality int, toxic int")
+    return set(quality.learn_lexicon(docs, labels)), set(taught)
+
+
+def test_lexicon_with_a_third_of_copies(spark):
+    """A third of the labelled rows are copies or near copies of one toxic text."""
+    alone, taught = labelled_words(spark, lambda text: [])
+    assert labelled_words(spark, lambda text: [text] * 240)[0] == alone
+    assert labelled_words(spark, lambda text: [f"{text} more{i}" for i in range(240)])[0] == alone >= taught
