@@ -219,7 +219,8 @@ SAMPLE = T.StructType([T.StructField("votes", T.StringType()), T.StructField("bu
 
 def fit(docs: DataFrame, labels: DataFrame, trained: int = TRAINED, labelled: int = LABELLED) -> Model:
     """Votes are counted over all documents. The scorer learns from about `trained` documents (at
-    most), chosen by the hash of their id and text; of them the distinct buckets go to the driver.
+    most), those of least hash of id and text, whatever the order of rows; of them the distinct
+    buckets go to the driver.
 
     Without documents, every score is 0.5 and all are kept; without labels there is no learned
     lexicon.
@@ -229,7 +230,8 @@ def fit(docs: DataFrame, labels: DataFrame, trained: int = TRAINED, labelled: in
     counts = {r["votes"]: r["n"] for r in vote_column(texts, learned).groupBy("votes").agg(F.count(F.lit(1)).alias("n")).collect()}
     right, after = accuracies(counts)
     share = min(1.0, trained / max(1, sum(counts.values())))
-    part = texts.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < F.lit(math.ceil(share * 1_000_000))).limit(trained)
+    part = texts.withColumn("place", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000))).where(F.col("place") < F.lit(math.ceil(share * 1_000_000)))
+    part = part.orderBy("place", "doc_id", "text").limit(trained).drop("place")
 
     def start():
         buckets = Buckets()

@@ -69,3 +69,12 @@ def test_lexicon_with_a_third_of_copies(spark):
     alone, taught = labelled_words(spark, lambda text: [])
     assert labelled_words(spark, lambda text: [text] * 240)[0] == alone
     assert labelled_words(spark, lambda text: [f"{text} more{i}" for i in range(240)])[0] == alone >= taught
+
+
+def test_scorer_sample_does_not_depend_on_order(spark):
+    docs = spark.range(400).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(1, 9), i -> concat('w', (id * i * i) % 97))) AS text")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    over = [n for n in range(20, 60) if docs.where(f"pmod(xxhash64(doc_id, text), 1000000) < {n * 2500}").count() > n][:1]
+    assert over  # more rows have the hash than the scorer takes
+    up, down = (quality.fit(docs.orderBy(o).coalesce(1), labels, trained=over[0]) for o in ("doc_id", docs.doc_id.desc()))
+    assert (up.weights == down.weights).all() and up.weights.any()
