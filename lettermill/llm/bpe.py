@@ -9,6 +9,7 @@ leaves: the merged position's, its swallowed neighbour's and its left neighbour'
 from __future__ import annotations
 
 import base64
+import hashlib
 import re
 import unicodedata
 from collections.abc import Callable
@@ -18,10 +19,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table, text_of, with_columns
+from .common import table, with_columns
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Pieces, and words, whose ids a worker remembers, twice over at most; longer ones it doesn't.
@@ -201,6 +201,23 @@ def joined(ids: pa.Array, tokens: pa.Array) -> pa.Array:
     return pc.if_else(ids.is_valid(), rows, pa.scalar(None, pa.binary()))
 
 
+IDS = pa.list_(pa.int32())
+
+
+def id_lists(texts: list[str | None], encoder: Encoder) -> pa.Array:
+    found = [encoder.encode(x or "") for x in texts]
+    if not found:
+        return pa.array([], IDS)
+    ends = np.cumsum([0] + [len(x) for x in found])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found), pa.int32()), type=IDS)
+
+
+def _vocabulary(path: str | None, pattern: str | None) -> tuple[str, str]:
+    import public_tokenizers
+
+    return path or default_path(), pattern or public_tokenizers.PATTERN
+
+
 def encode_column(df: DataFrame, text: str = "text", out: str = "ids", path: str | None = None, pattern: str | None = None) -> DataFrame:
     """df with the ids of each text, without special tokens.
 
@@ -208,21 +225,11 @@ def encode_column(df: DataFrame, text: str = "text", out: str = "ids", path: str
     O(n log n). A column named like `out` is replaced; other columns and repeated rows stay. Every
     executor reads the vocabulary at `path`.
     """
-    import public_tokenizers
-
-    path, pattern = path or default_path(), pattern or public_tokenizers.PATTERN
-    kind = pa.list_(pa.int32())
+    path, pattern = _vocabulary(path, pattern)
 
     def start():
         encoder = encoder_of(path, pattern)
-
-        def step(rows):
-            found = [encoder.encode(x or "") for x in rows[text]]
-            ends = np.cumsum([0] + [len(x) for x in found])
-            flat = np.concatenate(found) if found else np.empty(0, "<i4")
-            return {out: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()), type=kind) if found else pa.array([], kind)}
-
-        return step
+        return lambda rows: {out: id_lists(rows[text], encoder)}
 
     return with_columns(df, [text], T.StructType([T.StructField(out, T.ArrayType(T.IntegerType()))]), start)
 
@@ -235,15 +242,26 @@ def decode_column(df: DataFrame, ids: str = "ids", out: str = "decoded", path: s
     return with_columns(df, [ids], field, lambda: lambda rows: {out: joined(rows[ids], tokens_of(path))}, lists=False)
 
 
-def digests(docs: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each text, encoded and decoded."""
-    coded = decode_column(encode_column(docs.select("doc_id", text_of().alias("text"))).drop("text"))
-    return coded.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+DIGESTS = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
+
+
+def digests(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each text, encoded and decoded: both in one
+    pass through Python, so that ids never go through the JVM."""
+    path, pattern = _vocabulary(path, pattern)
+    sha = lambda values: [hashlib.sha256(x.as_buffer()).hexdigest() for x in values]
+
+    def start():
+        encoder, tokens = encoder_of(path, pattern), tokens_of(path)
+
+        def step(rows):
+            ids = id_lists(rows["text"], encoder)
+            shown = pc.binary_join(ids.cast(pa.list_(pa.string())), " ")
+            return {"n_tokens": pc.list_value_length(ids).cast(pa.int64()), "ids_sha256": sha(shown), "decoded_sha256": sha(joined(ids, tokens))}
+
+        return step
+
+    return with_columns(docs.select("doc_id", "text"), ["text"], DIGESTS, start, without=["text"])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

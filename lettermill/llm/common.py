@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import re
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,26 +22,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new path in the folder that driver and executors share.
+    """A new path in the folder that driver and executors share: the session's spark.checkpoint.dir.
 
-    The folder is the session's spark.checkpoint.dir. Only where no such setting exists (local
-    tests) a temporary folder is taken and set.
+    Where no such setting exists, a session in one process (tests) takes a temporary folder and sets
+    it; on a cluster that is an error, for executors don't see one another's folders.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.sparkContext.setCheckpointDir(found)
     return f"{found.rstrip('/')}/lettermill-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, scratch: list[str] | None = None) -> DataFrame:
     """df, stored as a table in the shared folder and read again: later reads don't compute it
-    anew, and a lost executor loses nothing of it."""
+    anew, and a lost executor loses nothing of it. Its path is added to scratch, if given."""
     path = shared_folder(df.sparkSession)
     df.write.parquet(path)
+    if scratch is not None:
+        scratch.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_tables(spark: SparkSession, scratch: list[str]) -> None:
+    """Deletes stored tables that nothing reads any more, and empties the list. What `written` stores
+    without a list stays until the shared folder is cleared: results read from it."""
+    for path in map(spark._jvm.org.apache.hadoop.fs.Path, scratch):
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    scratch.clear()
+
+
 def text_of(column: str = "text") -> Column:
     """The text, empty where null."""
     return F.coalesce(F.col(column), F.lit(""))
@@ -56,7 +70,7 @@ def _names(fields: T.StructType) -> set[str]:
     return {f.name.lower() for f in fields}
 
 
-def _parts(batch: pa.RecordBatch, rows: int = 1000, size: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+def _parts(batch: pa.RecordBatch, rows: int = 1000, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of about so many bytes at most, which keeps small what is in Python at once. A batch
     without rows is one slice."""
     each = max(1, min(rows, batch.num_rows * size // max(1, batch.nbytes)))
@@ -64,14 +78,22 @@ def _parts(batch: pa.RecordBatch, rows: int = 1000, size: int = 16 << 20) -> Ite
         yield batch.slice(at, each)
 
 
-def with_columns(df: DataFrame, reads: list[str], fields: T.StructType, start: Callable[[], Step], lists: bool = True) -> DataFrame:
+def _give_back() -> None:
+    """Returns freed memory to the system when a task ends: workers stay alive for later tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def with_columns(df: DataFrame, reads: list[str], fields: T.StructType, start: Callable[[], Step], lists: bool = True, without: Sequence[str] = ()) -> DataFrame:
     """df with columns computed from Arrow batches.
 
     start() runs once for each task and returns a function from the read columns' values to
     those of the new fields: lists of values, or Arrow arrays if not `lists`. A column of df whose
-    name a new field has is replaced.
+    name a new field has is replaced; those in `without` are read at most, and not returned.
     """
-    kept = [f for f in df.schema if f.name.lower() not in _names(fields)]
+    kept = [f for f in df.schema if f.name.lower() not in _names(fields) | set(without)]
     names = [f.name for f in kept]
     kinds = [(f.name, to_arrow_type(f.dataType)) for f in fields]
     read_at = {c.lower(): c for c in df.columns}
@@ -85,6 +107,7 @@ def with_columns(df: DataFrame, reads: list[str], fields: T.StructType, start: C
                 columns = [part.column(c) for c in names]
                 columns += [new[c] if isinstance(new[c], pa.Array) else pa.array(new[c], kind) for c, kind in kinds]
                 yield pa.RecordBatch.from_arrays(columns, names=names + [c for c, _ in kinds])
+        _give_back()
 
     return df.mapInArrow(run, T.StructType(kept + list(fields)))
 
@@ -102,5 +125,6 @@ def rows_from(df: DataFrame, reads: list[str], fields: T.StructType, start: Call
                 columns = [pa.array(new[c], kind) for c, kind in kinds]
                 if len(columns[0]):
                     yield pa.RecordBatch.from_arrays(columns, names=[c for c, _ in kinds])
+        _give_back()
 
     return df.select(*reads).mapInArrow(run, fields)

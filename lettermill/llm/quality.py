@@ -1,15 +1,16 @@
 """Quality classifier from weak labels.
 
-Heuristic labelers vote on each document (good, bad, or nothing); some overlap. Expectation-
-maximisation over the counts of all vote patterns estimates each labeler's accuracy. The posterior
-labels train a hashed linear scorer, which decides.
+Heuristic labelers vote on each document (good, bad, or nothing); some overlap. A document is good or
+has one of a few faults; labelers look for one fault each. Expectation-maximisation over the counts of
+all vote patterns estimates how often each labeler votes bad on good documents and on those of each
+fault. The posterior labels train a hashed linear scorer, which decides.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from operator import eq
 
 import numpy as np
@@ -19,16 +20,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import near_dedup
-from .common import table, text_of, with_columns, written
+from .common import drop_tables, table, text_of, with_columns, written
 
 #: Bounds of the samples for fitting: labelled rows for the lexicon, documents for the scorer.
 LABELLED = 20_000
 TRAINED = 3_000
-LEXICON = 500  # most learned words
 BUCKETS = 1 << 16
 KEEP = 0.5
-#: Words of abuse.
-ABUSE = frozenset("trash pathetic idiot worthless disgusting stupid clown scum loser moron".split())
 
 TOKEN = re.compile(r"\w+")
 MARKS = re.compile(r"[^\w\s]{3,}")
@@ -42,56 +40,38 @@ class Facts:
         words = text.split()
         self.n = n = len(words)
         most = max(1, n)
-        self.tokens = TOKEN.findall(text.lower())
-        self.distinct = set(self.tokens)
-        self.marked = len(MARKS.findall(text)) / most
-        self.bare = len(BARE.findall(text)) / most
+        tokens = TOKEN.findall(text.lower())
+        self.distinct = set(tokens)
+        self.marks = (len(MARKS.findall(text)) + len(BARE.findall(text))) / most
         self.upper = sum(map(str.isupper, words)) / most
         self.shouts = text.count("!!") / most
         self.doubled = sum(map(eq, words, words[1:])) / most
         triples = max(0, n - 2)
         self.fresh = len(set(zip(words, words[1:], words[2:]))) / triples if triples else 1.0
         self.ends = sum(w[-1] in ".!?" for w in words) / most
-        tokens = max(1, len(self.tokens))
-        known, taught = self.distinct & ABUSE, self.distinct & learned
-        self.abuse = sum(map(known.__contains__, self.tokens)) if known else 0
-        self.taught = sum(map(taught.__contains__, self.tokens)) if taught else 0
-        self.abuse_share, self.taught_share = self.abuse / tokens, self.taught / tokens
-        both = known | taught
-        self.toxic = sum(map(both.__contains__, self.tokens)) if both else 0
-        self.toxic_share = self.toxic / tokens
-        self.taught_words = len(taught)
+        taught = self.distinct & learned
+        self.taught = sum(map(taught.__contains__, tokens)) if taught else 0
+        self.taught_share = self.taught / max(1, len(tokens))
 
 
-def _bad(test: Callable[[Facts], bool]) -> Callable[[Facts], int]:
-    return lambda f: -1 if test(f) else 0
-
-
-def _good(test: Callable[[Facts], bool]) -> Callable[[Facts], int]:
-    return lambda f: 1 if test(f) else 0
-
-
-def _usual(f: Facts) -> bool:
-    return f.n > 0 and f.marked < 0.05 and f.bare < 0.05 and f.upper < 0.4 and f.shouts < 0.05 and f.toxic_share < 0.004 and f.doubled < 0.1 and (f.n < 20 or f.fresh > 0.5)
+def _between(value: Callable[[Facts], float], good: float, bad: float, least: int = 1) -> Callable[[Facts], int]:
+    """Good up to one value, bad from another on, nothing between them or for fewer words."""
+    return lambda f: 0 if f.n < least else 1 if value(f) <= good else -1 if value(f) >= bad else 0
 
 
+#: What may be wrong with a document, and who looks for it. Labelers of one fault overlap.
+FAULTS = {"symbols": ("marks",), "shouting": ("upper", "shouts"), "repeating": ("doubled", "loops", "sentences"), "toxic": ("taught",), "empty": ("empty",)}
 LABELERS: dict[str, Callable[[Facts], int]] = {
-    "marks": _bad(lambda f: f.marked > 0.2),
-    "bare": _bad(lambda f: f.bare > 0.1),
-    "symbols": _bad(lambda f: f.marked + f.bare > 0.25),
-    "upper": _bad(lambda f: f.n >= 5 and f.upper > 0.6),
-    "shouts": _bad(lambda f: f.n >= 3 and f.shouts > 0.2),
-    "doubled": _bad(lambda f: f.n >= 10 and f.doubled > 0.15),
-    "loops": _bad(lambda f: f.n >= 20 and f.fresh < 0.4),
-    "stale": _bad(lambda f: f.n >= 20 and f.fresh < 0.25),
-    "abuse": _bad(lambda f: f.abuse_share >= 0.006),
-    "taught": _bad(lambda f: f.taught_share >= 0.006 and f.taught >= 2),
-    "toxic": _bad(lambda f: f.toxic_share >= 0.008 and f.abuse + f.taught_words >= 2),
-    "empty": _bad(lambda f: f.n == 0),
-    "usual": _good(_usual),
-    "prose": _good(lambda f: _usual(f) and (f.n < 20 or f.fresh > 0.7)),
-    "sentences": _good(lambda f: _usual(f) and 0.005 < f.ends < 0.7),
+    "marks": lambda f: 0 if f.n == 0 else 1 if f.marks <= 0.04 or f.marks * f.n < 3 else -1 if f.marks >= 0.12 else 0,
+    "upper": _between(lambda f: f.upper, 0.3, 0.5, 5),
+    "shouts": _between(lambda f: f.shouts, 0.05, 0.15, 3),
+    "doubled": _between(lambda f: f.doubled, 0.05, 0.12, 10),
+    "loops": _between(lambda f: 1 - f.fresh, 0.4, 0.6, 20),
+    "sentences": lambda f: 0 if f.n < 30 else 1 if 0.004 <= f.ends <= 0.6 else -1,
+    "taught": lambda f: 0 if f.n == 0 else -1 if f.taught >= 2 and f.taught_share >= 0.006 else 1 if f.taught_share < 0.002 else 0,
+    "empty": lambda f: -1 if f.n == 0 else 1,
 }
+EMPTY = list(LABELERS).index("empty")
 
 
 def vote(text: str | None, learned: frozenset[str]) -> tuple[str, Facts]:
@@ -100,60 +80,102 @@ def vote(text: str | None, learned: frozenset[str]) -> tuple[str, Facts]:
     return "".join("0+-"[test(facts)] for test in LABELERS.values()), facts
 
 
+def sample_units(rows: list[tuple[int, bytes | None]]) -> list[int]:
+    """A number for each (key, HyperMinHash registers) of a sample: the same for those that share a
+    band with, and by estimate are as similar as near copies to, one of the group."""
+    top = list(range(len(rows)))
+
+    def find(x: int) -> int:
+        while top[x] != x:
+            top[x] = x = top[top[x]]
+        return x
+
+    with_words = [i for i, (_, r) in enumerate(rows) if r]
+    if with_words:
+        registers = np.stack([np.frombuffer(rows[i][1], np.uint16) for i in with_words])
+        for at in range(0, near_dedup.REGISTERS, near_dedup.ROWS):
+            _, first, bucket = np.unique(registers[:, at : at + near_dedup.ROWS], axis=0, return_index=True, return_inverse=True)
+            leader = first[bucket.ravel()]
+            near = np.flatnonzero((leader != np.arange(len(leader))) & ((registers == registers[leader]).mean(axis=1) * near_dedup.SHARE[1] >= near_dedup.SHARE[0]))
+            for i in near.tolist():
+                x, y = sorted((find(with_words[i]), find(with_words[leader[i]])))
+                top[y] = x
+    return [find(i) for i in range(len(rows))]
+
+
 def learn_lexicon(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> frozenset[str]:
     """Words that labelled toxic documents have far more often than others: in at least 3 and one
-    in 200 of them, and 15 times as often. At most LEXICON, those in most toxic documents. Documents
-    are counted by groups of near copies (op6's components, over the labelled texts), both where a
-    word occurs and in all: a group counts once as toxic and once as not, if it has such members.
-
-    Fitted on at most `labelled` labelled rows, those of least hash. They are broadcast, for that
-    bound; of the counts of words only the chosen ones go to the driver. A labelled id without a
-    document counts nowhere; where documents repeat an id, each counts by its own text.
+    in 200 of them, and 15 times as often. Documents are counted by groups of near copies (by the
+    sketches of near_dedup), both where a word occurs and in all: a group counts once as toxic and
+    once as not, if it has such members.
+
+    Fitted on at most `labelled` labelled rows, those of least hash. Their ids and 520-byte sketches
+    go to the driver, for that bound, and so do the chosen words: at most 200 times the words of a
+    toxic document. A labelled id without a document counts nowhere; where documents repeat an id,
+    each counts by its own text.
     """
+    spark, scratch = docs.sparkSession, []
     sample = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled)
-    texts = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(sample), "doc_id")
-    texts = written(texts.select("toxic", F.xxhash64("text").alias("doc_id"), "text").distinct())
-    if texts.select("toxic").where("toxic IN (0, 1)").distinct().count() < 2:
+    texts = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(sample), "doc_id").where("toxic IN (0, 1)")
+    texts = written(texts.select("toxic", F.xxhash64("text").alias("text_key"), "text").dropDuplicates(["toxic", "text_key"]), scratch)
+    sketches = near_dedup.sketch_column(texts.select("text_key", "text")).select("text_key", "registers").orderBy("text_key").collect()
+    units = sample_units([(r["text_key"], r["registers"]) for r in sketches])
+    numbered = spark.createDataFrame([(r["text_key"], unit) for r, unit in zip(sketches, units, strict=True)], "text_key long, unit int").distinct()
+    own = texts.join(F.broadcast(numbered), "text_key").select("toxic", "unit", F.array_distinct(F.split(F.lower("text"), r"(?U)\W+")).alias("own"))
+    counts = {r["toxic"]: r["n"] for r in own.groupBy("toxic").agg(F.countDistinct("unit").alias("n")).collect()}
+    if len(counts) < 2:
+        drop_tables(spark, scratch)
         return frozenset()
-    groups = near_dedup.near_duplicates(texts).select("doc_id", "component_id").distinct()
-    units = written(texts.join(groups, "doc_id").select("toxic", "component_id", "text"))
-    counts = {r["toxic"]: r["n"] for r in units.groupBy("toxic").agg(F.countDistinct("component_id").alias("n")).collect()}
     bad, good = counts[1], counts[0]
-    own = units.select("toxic", "component_id", F.array_distinct(F.split(F.lower("text"), r"(?U)\W+")).alias("own"))
-    words = own.select("toxic", "component_id", F.explode("own").alias("word")).where("word <> ''").distinct()
+    words = own.select("toxic", "unit", F.explode("own").alias("word")).where("word <> ''").distinct()
     each = words.groupBy("word").agg(F.sum("toxic").alias("in_bad"), F.sum(1 - F.col("toxic")).alias("in_good"))
     lift = F.col("in_bad") / bad / ((F.col("in_good") + 0.5) / good)
-    chosen = each.where((F.col("in_bad") >= max(3, bad / 200)) & (lift >= 15)).orderBy(F.desc("in_bad"), "word").limit(LEXICON)
-    return frozenset(r["word"] for r in chosen.select("word").collect())
-
-
-VOTES = T.StructType([T.StructField("votes", T.StringType())])
-
-
-def vote_column(docs: DataFrame, learned: frozenset[str]) -> DataFrame:
-    return with_columns(docs, ["text"], VOTES, lambda: lambda rows: {"votes": [vote(t, learned)[0] for t in rows["text"]]})
-
-
-def accuracies(counts: dict[str, int], rounds: int = 60) -> tuple[list[float], dict[str, float]]:
-    """Each labeler's chance that a vote is right, and each pattern's posterior of being good.
-    Chances are held between 0.6 and 0.98: labelers are better than chance."""
-    signs = {p: np.array([(c == "+") - (c == "-") for c in p], float) for p in counts}
-    right, share = np.full(len(LABELERS), 0.85), 0.8
-    after: dict[str, float] = {}
+    chosen = each.where((F.col("in_bad") >= max(3, bad / 200)) & (lift >= 15))
+    learned = frozenset(r["word"] for r in chosen.select("word").collect())
+    drop_tables(spark, scratch)
+    return learned
+
+
+class Estimate:
+    """What expectation-maximisation finds: the share of good documents and of each fault; bad[k, j],
+    the chance that labeler j's vote is bad where k holds (0: good); each pattern's posterior of
+    being good."""
+
+    def __init__(self, share: np.ndarray, bad: np.ndarray, after: dict[str, float]):
+        self.share, self.bad, self.after = share, bad, after
+
+    def right(self) -> dict[str, tuple[float, float]]:
+        """For each labeler, how often its vote is right: on good documents, on those of its fault."""
+        own = [k for name in LABELERS for k, names in enumerate(FAULTS.values(), 1) if name in names]
+        return {name: (1 - self.bad[0, j], self.bad[own[j], j]) for j, name in enumerate(LABELERS)}
+
+
+def estimate(counts: dict[str, int], rounds: int = 200) -> Estimate:
+    """A vote of nothing says nothing. Ten votes, mostly right, are added to each count of votes,
+    so no chance is 0 or 1. On good documents a quarter of all votes is added, of which one in 500
+    is bad: a bad vote alone could as well be an error as a fault, and labelers are made to err
+    seldom. A labeler votes bad nowhere more often than on its own fault, which holds the faults in
+    their places."""
+    own = np.array([[name in names for name in LABELERS] for names in [(), *FAULTS.values()]])
+    signs = np.array([[(c == "+") - (c == "-") for c in p] for p in counts], float).reshape(len(counts), len(LABELERS))
+    n = np.array(list(counts.values()), float)
+    plus, minus = (signs > 0).astype(float), (signs < 0).astype(float)
+    start = np.where(own, 0.9, 0.05)
+    start[0] = 0.002
+    added = np.where(np.arange(len(own)) == 0, 10 + n.sum() / 4, 10.0)[:, None]
+    begin = np.where(np.arange(len(own)) == 0, 0.8, 0.2 / len(FAULTS))
+    bad, share = start, begin
+    after = np.empty((len(counts), len(own)))
     for _ in range(rounds):
-        odds = np.log(right / (1 - right))
-        for p, v in signs.items():
-            after[p] = 1 / (1 + math.exp(-max(-40.0, min(40.0, math.log(share / (1 - share)) + float(v @ odds)))))
-        good, cast = np.full(len(LABELERS), 8.5), np.full(len(LABELERS), 10.0)
-        for p, n in counts.items():
-            v = signs[p]
-            good += n * np.where(v > 0, after[p], np.where(v < 0, 1 - after[p], 0))
-            cast += n * (v != 0)
-        right = (good / cast).clip(0.6, 0.98)
-        total = sum(counts.values())
-        share = min(0.95, max(0.05, (sum(n * after[p] for p, n in counts.items()) + 1) / (total + 2)))
-    return right.tolist(), after
+        log = np.log(share) + minus @ np.log(bad.T) + plus @ np.log(1 - bad.T)
+        after = np.exp(log - log.max(axis=1, keepdims=True))
+        after /= after.sum(axis=1, keepdims=True)
+        held = n[:, None] * after
+        bad = (held.T @ minus + added * start) / (held.T @ (plus + minus) + added)
+        bad = np.where(own, bad, np.minimum(bad, (bad * own).max(axis=0)))
+        share = (held.sum(axis=0) + 10 * begin) / (n.sum() + 10)
+    return Estimate(share, bad, dict(zip(counts, after[:, 0].tolist(), strict=True)))
 
 
 class Buckets(dict):
@@ -173,11 +195,6 @@ def vote_buckets(votes: str) -> list[int]:
     return [xxhash.xxh3_64_intdigest(f"vote {name} {c}") & (BUCKETS - 1) for name, c in zip(LABELERS, votes, strict=True) if c != "0"]
 
 
-def linear(weights: np.ndarray, own: np.ndarray, votes: str) -> float:
-    """The scorer: a bias, words' weights over the root of their number, votes' weights."""
-    return float(weights[-1] + weights[own].sum() / math.sqrt(max(1, len(own))) + sum(weights[b] for b in vote_buckets(votes)))
-
-
 def train(rows: list[tuple[np.ndarray, str, float]], rounds: int = 80) -> np.ndarray:
     """Logistic regression on (word buckets, votes, posterior), by gradient descent with a step
     for each weight."""
@@ -203,81 +220,100 @@ def train(rows: list[tuple[np.ndarray, str, float]], rounds: int = 80) -> np.nda
 
 
 class Model:
-    """A learned lexicon, the labelers' accuracies and the scorer's weights."""
-
-    def __init__(self, learned: frozenset[str], right: list[float], weights: np.ndarray):
-        self.learned, self.right, self.weights = learned, right, weights
+    """A learned lexicon, what is known of the labelers, and the scorer's weights."""
 
-    def score(self, text: str | None, buckets: Buckets) -> tuple[float, str]:
-        votes, facts = vote(text, self.learned)
-        z = linear(self.weights, word_buckets(facts, buckets), votes)
-        return 1 / (1 + math.exp(-max(-40.0, min(40.0, z)))), votes
+    def __init__(self, learned: frozenset[str], labelers: Estimate, weights: np.ndarray):
+        self.learned, self.labelers, self.weights = learned, labelers, weights
 
 
-SAMPLE = T.StructType([T.StructField("votes", T.StringType()), T.StructField("buckets", T.ArrayType(T.IntegerType()))])
+VOTED = T.StructType([T.StructField("votes", T.StringType()), T.StructField("buckets", T.BinaryType())])
 
 
-def fit(docs: DataFrame, labels: DataFrame, trained: int = TRAINED, labelled: int = LABELLED) -> Model:
-    """Votes are counted over all documents. The scorer learns from about `trained` documents (at
-    most), those of least hash of id and text, whatever the order of rows; of them the distinct
-    buckets go to the driver.
-
-    Without documents, every score is 0.5 and all are kept; without labels there is no learned
-    lexicon.
-    """
-    texts = docs.select("doc_id", "text")
-    learned = learn_lexicon(texts, labels, labelled)
-    counts = {r["votes"]: r["n"] for r in vote_column(texts, learned).groupBy("votes").agg(F.count(F.lit(1)).alias("n")).collect()}
-    right, after = accuracies(counts)
-    share = min(1.0, trained / max(1, sum(counts.values())))
-    part = texts.withColumn("place", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000))).where(F.col("place") < F.lit(math.ceil(share * 1_000_000)))
-    part = part.orderBy("place", "doc_id", "text").limit(trained).drop("place")
+def vote_column(docs: DataFrame, learned: frozenset[str], without: Iterable[str] = ()) -> DataFrame:
+    """docs with votes and buckets (of the text's words, two bytes each): all that the scorer needs."""
 
     def start():
         buckets = Buckets()
 
         def step(rows):
             found = [vote(t, learned) for t in rows["text"]]
-            return {"votes": [v for v, _ in found], "buckets": [word_buckets(f, buckets).tolist() for _, f in found]}
+            return {"votes": [v for v, _ in found], "buckets": [word_buckets(f, buckets).astype("<u2").tobytes() for _, f in found]}
 
         return step
 
-    rows = with_columns(part, ["text"], SAMPLE, start).select("votes", "buckets").collect()
-    return Model(learned, right, train([(np.array(r["buckets"], np.int32), r["votes"], after.get(r["votes"], 0.5)) for r in rows]))
+    return with_columns(docs, ["text"], VOTED, start, without=list(without))
 
 
-SCORE = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("votes", T.StringType()), T.StructField("kept", T.BooleanType())])
+def fit(voted: DataFrame, learned: frozenset[str], trained: int = TRAINED) -> Model:
+    """From votes, buckets and text_key: votes are counted over all documents, copies of a text
+    once. The scorer learns from at most `trained` different texts, those of least hash, whatever
+    the order of rows; their buckets go to the driver. Without documents every score is 0.5."""
+    each = voted.groupBy("text_key").agg(F.min("votes").alias("votes"))
+    counts = {r["votes"]: r["n"] for r in each.groupBy("votes").agg(F.count(F.lit(1)).alias("n")).collect()}
+    found = estimate(counts)
+    # Twice the share that is wanted, so that what the limit cuts off is chosen by hash alone.
+    share = min(1.0, 2 * trained / max(1, sum(counts.values())))
+    place = F.pmod(F.xxhash64("text_key"), F.lit(1_000_000))
+    part = voted.select("text_key", place.alias("place"), "votes", "buckets").where(F.col("place") < F.lit(math.ceil(share * 1_000_000)))
+    part = part.dropDuplicates(["text_key"]).orderBy("place", "text_key").limit(trained)
+    rows = [(np.frombuffer(r["buckets"], "<u2").astype(np.int32), r["votes"], found.after[r["votes"]]) for r in part.collect()]
+    return Model(learned, found, train(rows))
 
 
-def classify(docs: DataFrame, model: Model, keep: float = KEEP) -> DataFrame:
-    """docs with score (the chance of being good), votes and kept.
+SCORE = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("kept", T.BooleanType())])
 
-    Null and empty texts get the vote of the `empty` labeler and are rejected. Rows are judged one
-    by one: ids may be null or repeated. Columns of docs with these names are replaced.
-    """
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # fixed size: BUCKETS weights, LEXICON words
+
+def score_column(voted: DataFrame, model: Model, keep: float = KEEP) -> DataFrame:
+    """voted with score (the chance of being good) and kept, instead of buckets and text_key."""
+    sent = voted.sparkSession.sparkContext.broadcast(model.weights)  # fixed size
 
     def start():
-        own, buckets = sent.value, Buckets()
+        weights, of_votes = sent.value, {}
 
         def step(rows):
-            found = [own.score(t, buckets) for t in rows["text"]]
-            return {"score": [s for s, _ in found], "votes": [v for _, v in found], "kept": [s >= keep and v[EMPTY] != "-" for s, v in found]}
+            if not rows["votes"]:
+                return {"score": [], "kept": []}
+            for v in set(rows["votes"]):
+                if v not in of_votes:
+                    of_votes[v] = float(weights[-1] + sum(weights[b] for b in vote_buckets(v)))
+            sizes = np.array([len(b) // 2 for b in rows["buckets"]])
+            flat = np.concatenate(([0.0], np.cumsum(weights[np.frombuffer(b"".join(rows["buckets"]), "<u2")])))
+            ends = np.cumsum(sizes)
+            z = np.array([of_votes[v] for v in rows["votes"]]) + (flat[ends] - flat[ends - sizes]) / np.sqrt(np.maximum(1, sizes))
+            score = 1 / (1 + np.exp(-z.clip(-40, 40)))
+            return {"score": score, "kept": [s >= keep and v[EMPTY] != "-" for s, v in zip(score.tolist(), rows["votes"], strict=True)]}
 
         return step
 
-    return with_columns(docs, ["text"], SCORE, start)
+    return with_columns(voted, ["votes", "buckets"], SCORE, start, without=["buckets", "text_key"])
 
 
-EMPTY = list(LABELERS).index("empty")
+def classify(docs: DataFrame, labels: DataFrame, trained: int = TRAINED, labelled: int = LABELLED, keep: float = KEEP, without: Iterable[str] = (), scratch: list[str] | None = None) -> tuple[DataFrame, Model]:
+    """(docs with score, votes and kept; the model), fitted to the same docs.
+
+    Null and empty texts get the vote of the `empty` labeler and are rejected. Rows are judged one
+    by one: ids may be null or repeated. Columns of docs with these names are replaced; the text is
+    dropped if it is in `without`. Without labels there is no learned lexicon.
+
+    Each text goes through Python once: its votes and its words' buckets are stored in the shared
+    folder with the columns asked for.
+    """
+    texts = docs.select("doc_id", "text")
+    learned = learn_lexicon(texts, labels, labelled)
+    named = docs.withColumn("text_key", F.xxhash64(text_of()))
+    voted = written(vote_column(named, learned, without), scratch)
+    model = fit(voted, learned, trained)
+    return score_column(voted, model, keep), model
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the classifier doesn't reject, with the columns of docs."""
-    judged = classify(docs.select(*docs.columns), fit(docs, labels))
-    return judged.where("kept").select(*docs.columns)
+    taken = {c.lower() for c in (*VOTED.names, *SCORE.names, "text_key")}
+    own = {c: f"own {c}" if c.lower() in taken else c for c in docs.columns}
+    judged, _ = classify(docs.withColumnsRenamed(own), labels)
+    return judged.where("kept").select(*(F.col(f"`{name}`").alias(c) for c, name in own.items()))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return classify(docs, fit(docs, table(spark, sf_dir, "labels"))).select("doc_id", "score", "votes", "kept")
+    return classify(docs, table(spark, sf_dir, "labels"), without=["text"])[0].select("doc_id", "score", "votes", "kept")

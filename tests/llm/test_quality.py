@@ -8,27 +8,51 @@ from lettermill.llm import quality
 DATA = "/root/testdata/sf0.01"
 
 
-def test_accuracies_from_patterns():
+def test_estimates_from_patterns():
+    """Patterns drawn from known chances, with a fault that two labelers share and votes of nothing."""
     rnd = random.Random(1)
-    truth = [0.9, 0.7, 0.95, 0.65, 0.9] + [0.85] * (len(quality.LABELERS) - 5)
+    names, faults = list(quality.LABELERS), list(quality.FAULTS)
+    share = [0.7, 0.1, 0.05, 0.08, 0.06, 0.01]
+    own = {name: k for k, members in enumerate(quality.FAULTS.values(), 1) for name in members}
+    truth = {name: (0.003, 0.95 - 0.04 * i) for i, name in enumerate(names)}
     counts = {}
-    for _ in range(5000):
-        good = rnd.random() < 0.7
-        votes = "".join("0" if rnd.random() < 0.4 else "+-"[(rnd.random() < p) != good] for p in truth)
+    for _ in range(40_000):
+        kind = rnd.choices(range(6), share)[0]
+        votes = "".join("0" if rnd.random() < 0.2 else "+-"[rnd.random() < truth[name][own[name] == kind]] for name in names)
         counts[votes] = counts.get(votes, 0) + 1
-    right, after = quality.accuracies(counts)
-    assert all(abs(a - b) < 0.05 for a, b in zip(right, truth))
-    assert all(0 <= p <= 1 for p in after.values())
+    found = quality.estimate(counts)
+    assert len(faults) == 5 and all(abs(a - b) < 0.03 for a, b in zip(found.share, share))
+    for name, (good, bad) in found.right().items():
+        k = own[name]
+        assert abs(good - 0.997) < 0.004 and abs(bad * found.share[k] - truth[name][1] * share[k]) < 0.01, name
+        # How often a fault's only labeler misses it can't be told from votes; with others it can.
+        assert len(quality.FAULTS[faults[k - 1]]) == 1 or abs(bad - truth[name][1]) < 0.05, name
+    assert all(0 <= p <= 1 for p in found.after.values())
+    assert quality.estimate({}).after == {}
 
 
 def test_votes():
     name = list(quality.LABELERS).index
-    assert quality.vote(None, frozenset())[0][name("empty")] == "-"
+    assert quality.vote(None, frozenset())[0] == "0" * (len(quality.LABELERS) - 1) + "-"
     votes = quality.vote("The cat sat. It was warm and the sun shone over all the fields there.", frozenset())[0]
-    assert "-" not in votes and votes.count("+") == 3
-    assert quality.vote("you utter scum and trash idiot", frozenset())[0][name("abuse")] == "-"
+    assert "-" not in votes and votes[name("marks")] == "+"
+    assert quality.vote("you utter scum and trash idiot", frozenset({"scum", "idiot"}))[0][name("taught")] == "-"
     assert quality.vote("x " * 50, frozenset())[0][name("doubled")] == "-"
     assert quality.vote("WHY!! NOT!! THIS!! AGAIN!! AND!! MORE!!", frozenset())[0][name("shouts")] == "-"
+    assert quality.vote("one | two | three | four | five", frozenset())[0][name("marks")] == "-"
+    assert quality.vote('token = "abc" and more words', frozenset())[0][name("marks")] == "+"
+
+
+def test_sample_units():
+    from lettermill.llm import near_dedup
+
+    rnd = random.Random(2)
+    base = [f"w{rnd.randrange(10**6)}" for _ in range(200)]
+    texts = [" ".join(base), " ".join([*base, "more"]), " ".join(f"v{rnd.randrange(10**6)}" for _ in range(200)), " ".join(["new", *base])]
+    hashes = near_dedup.WordHashes()
+    rows = [(i, near_dedup.registers(near_dedup.shingles(t, hashes)).tobytes()) for i, t in enumerate(texts)] + [(9, None), (10, None)]
+    assert quality.sample_units(rows) == [0, 0, 2, 0, 4, 5]
+    assert quality.sample_units([]) == []
 
 
 def test_odd_rows(spark, docs_of):
@@ -44,7 +68,7 @@ def test_odd_rows(spark, docs_of):
 def test_held_out_accuracy(spark):
     docs, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
     shown = labels.where("doc_id % 2 = 0")
-    judged = quality.classify(docs, quality.fit(docs, shown)).join(labels.where("doc_id % 2 = 1"), "doc_id").collect()
+    judged = quality.classify(docs, shown)[0].join(labels.where("doc_id % 2 = 1"), "doc_id").collect()
     bad = lambda r: r["quality"] == 0 or r["toxic"] == 1
     assert len(judged) > 150
     assert sum(r["kept"] != bad(r) for r in judged) / len(judged) >= 0.93
@@ -74,7 +98,24 @@ def test_lexicon_with_a_third_of_copies(spark):
 def test_scorer_sample_does_not_depend_on_order(spark):
     docs = spark.range(400).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(1, 9), i -> concat('w', (id * i * i) % 97))) AS text")
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
-    over = [n for n in range(20, 60) if docs.where(f"pmod(xxhash64(doc_id, text), 1000000) < {n * 2500}").count() > n][:1]
-    assert over  # more rows have the hash than the scorer takes
-    up, down = (quality.fit(docs.orderBy(o).coalesce(1), labels, trained=over[0]) for o in ("doc_id", docs.doc_id.desc()))
-    assert (up.weights == down.weights).all() and up.weights.any()
+    models = [quality.classify(d, labels, trained=20)[1] for d in (docs.orderBy("doc_id").coalesce(1), docs.orderBy(docs.doc_id.desc()).coalesce(1), docs.repartition(13))]
+    assert all((m.weights == models[0].weights).all() for m in models) and models[0].weights.any()
+
+
+def test_copies_count_once(spark):
+    """A third of the rows are copies of one text: neither the estimates nor the sample change."""
+    texts = [f"Word{i} and other{i} words stand here. It goes on." for i in range(60)] + [f"BUY{i}!! NOW!! " * 6 for i in range(20)]
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    one = quality.classify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), labels)[1]
+    many = quality.classify(spark.createDataFrame(list(enumerate(texts + texts[:1] * 40)), "doc_id long, text string"), labels)[1]
+    assert (one.labelers.bad == many.labelers.bad).all() and (one.weights == many.weights).all()
+
+
+def test_query_and_clashing_columns(spark, docs_of, folder):
+    texts = ["A plain line of words here. And one more of them.", None, "", "BUY!! NOW!! " * 8]
+    labels = spark.createDataFrame([(0, 1, 0), (None, 1, 1), (77, 0, None)], "doc_id long, quality int, toxic int")
+    rows = {r["doc_id"]: r for r in quality.query(spark, folder(documents=docs_of(texts), labels=labels)).collect()}
+    assert {i: r["kept"] for i, r in rows.items()} == {0: True, 1: False, 2: False, 3: False}
+    named = docs_of(texts).selectExpr("*", "'mine' AS votes", "1 AS Kept", "2 AS text_key")
+    kept = quality.keep_good(named, labels)
+    assert kept.columns == named.columns and [(r["doc_id"], r["votes"], r["Kept"], r["text_key"]) for r in kept.collect()] == [(0, "mine", 1, 2)]
