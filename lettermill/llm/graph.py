@@ -27,7 +27,7 @@ def _settled(links: DataFrame) -> bool:
     return links.join(links.select(F.col("small").alias("big")).distinct(), "big", "left_semi").isEmpty()
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, scratch: list[str] | None = None, most_rounds: int = 60) -> DataFrame:
     """(node, component) of every node with a link, from links (a, b) in any order; the component
     is its smallest node. Loops and repeated links do no harm; no links give no rows.
 
@@ -35,11 +35,11 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     A node with very many links is aggregated before the shuffle, and its join is one that Spark
     splits where it is skewed. Nothing but one number goes to the driver.
     """
-    now = written(links.where("a <> b").select(F.greatest("a", "b").alias("big"), F.least("a", "b").alias("small")).distinct())
+    now = written(links.where("a <> b").select(F.greatest("a", "b").alias("big"), F.least("a", "b").alias("small")).distinct(), scratch)
     for _ in range(most_rounds):
         if _settled(now):
             break
-        now = written(_round(now))
+        now = written(_round(now), scratch)
     else:
         raise RuntimeError("the components did not settle")
     centers = now.select(F.col("small").alias("node"), F.col("small").alias("component")).distinct()

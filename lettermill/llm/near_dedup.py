@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import rows_from, table, with_columns, written
+from .common import drop_tables, rows_from, table, with_columns, written
 from .graph import components
 
 WORDS = 5
@@ -33,8 +33,8 @@ SLACK = 0.14
 QUICK, AGREE = 64, 31
 #: Bits of the map of a set's shingles, which bounds what two sets can share.
 BITS = 4096
-#: Before all of those are compared, buckets are dealt into groups of about so many, so many times
-#: over, and each group is compared with its smallest.
+#: Before the last comparison, buckets are dealt into groups of about so many, so many times over,
+#: and each group is compared with its smallest.
 GROUP, TURNS = 8, 2
 #: Word hashes that a task remembers.
 REMEMBERED = 300_000
@@ -124,7 +124,7 @@ SKETCH = T.StructType([
 
 
 def sketch_column(docs: DataFrame) -> DataFrame:
-    """docs with n_shingles, set_key (a 128-bit digest of the set), registers, and quick (low bytes
+    """docs, but for the text, with n_shingles, set_key (a 128-bit digest of the set), registers, and quick (low bytes
     of the first registers, eight in a long); all but the first are null for documents without
     words."""
 
@@ -144,7 +144,7 @@ def sketch_column(docs: DataFrame) -> DataFrame:
 
         return step
 
-    return with_columns(docs, ["text"], SKETCH, start)
+    return with_columns(docs, ["text"], SKETCH, start, without=["text"])
 
 
 def band_keys() -> Column:
@@ -153,8 +153,8 @@ def band_keys() -> Column:
 
 
 def band_rows(sets: DataFrame) -> DataFrame:
-    """(band, at, rep) for each band of each set's registers; at is its number."""
-    return sets.select("rep", F.posexplode(band_keys()).alias("at", "band"))
+    """(id, band) for each band of each set's registers."""
+    return sets.select("id", F.explode(band_keys()).alias("band"))
 
 
 def agreeing(a: str, b: str) -> Column:
@@ -186,29 +186,33 @@ def comparable(n: str, m: str, common_a: str, common_b: str, a: str, b: str) ->
     return sizes & enough & (agreeing(a, b) >= AGREE)
 
 
-def unique_shingles(texts: DataFrame) -> DataFrame:
-    """(rep, unique): of texts (doc_id, text), how many shingles no other of them has. Documents
-    without such shingles, or with several texts, are left out. Counted before the shuffle, so
-    common shingles are no load."""
+def prefixes(texts: DataFrame, scratch: list[str]) -> DataFrame:
+    """(id, common, prefix): of texts (id, text), how many shingles another of them has too, and the
+    rarest of those. Two sets of which each has three quarters in common with the other share one of
+    the rarest n - 0.75 n + 1 shingles of both, in one order of all; those that no other has are the
+    first of them, and can't be shared. Sets with nothing else there are left out."""
 
     def start():
         hashes = WordHashes()
 
         def step(rows):
             found = [shingles(t, hashes) for t in rows["text"]]
-            reps = [np.full(len(f), key, np.int64) for key, f in zip(rows["doc_id"], found, strict=True)]
-            return {"rep": np.concatenate(reps) if reps else [], "shingle": np.concatenate(found).view(np.int64) if found else []}
+            ids = [np.full(len(f), key, np.int64) for key, f in zip(rows["id"], found, strict=True)]
+            return {"id": np.concatenate(ids) if ids else [], "shingle": np.concatenate(found).view(np.int64) if found else []}
 
         return step
 
-    each = rows_from(texts, ["doc_id", "text"], T.StructType([T.StructField(c, T.LongType()) for c in ("rep", "shingle")]), start)
-    alone = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("rep")).where("n = 1")
-    single = texts.groupBy(F.col("doc_id").alias("rep")).agg(F.count(F.lit(1)).alias("n")).where("n = 1").select("rep")
-    return alone.groupBy("rep").agg(F.count(F.lit(1)).alias("unique")).join(single, "rep")
+    each = written(rows_from(texts, ["id", "text"], T.StructType([T.StructField(c, T.LongType()) for c in ("id", "shingle")]), start), scratch)
+    often = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
+    own = each.join(often, "shingle").groupBy("id").agg(F.count(F.lit(1)).alias("common"), F.sort_array(F.collect_list(F.struct("often", "shingle"))).alias("own"))
+    n = each.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    room = F.col("n") - F.ceil(F.col("n") * SHARE[0] / SHARE[1]) + 1 - (F.col("n") - F.col("common"))
+    kept = own.join(n, "id").withColumn("room", room.cast("int")).where("room > 0")
+    return kept.select("id", "common", F.slice("own.shingle", F.lit(1), F.col("room")).alias("prefix"))
 
 
 def bit_maps(texts: DataFrame) -> DataFrame:
-    """(rep, bits): for documents with one text, the map of its shingles as longs."""
+    """(id, bits): the map of each text's shingles as longs."""
 
     def start():
         hashes = WordHashes()
@@ -223,22 +227,24 @@ def bit_maps(texts: DataFrame) -> DataFrame:
 
         return step
 
-    single = texts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.first("text").alias("text")).where("n = 1").select(F.col("doc_id").alias("rep"), "text")
-    return with_columns(single, ["text"], T.StructType([T.StructField("bits", T.ArrayType(T.LongType()))]), start).drop("text")
+    return with_columns(texts.select("id", "text"), ["text"], T.StructType([T.StructField("bits", T.ArrayType(T.LongType()))]), start, without=["text"])
 
 
-def open_rows(members: DataFrame, grouped: DataFrame, sets: DataFrame) -> DataFrame:
-    """band, rep, component, members of the bands whose sets are still in several components, with
-    the columns of sets."""
-    labelled = members.join(grouped.toDF("rep", "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    bands = labelled.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("members"))
-    rest = labelled.join(written(bands.where("low <> high").select("band", "members")), "band")
-    return rest.join(sets, "rep")
+def labelled(rows: DataFrame, grouped: DataFrame) -> DataFrame:
+    """rows with the component of their id."""
+    return rows.join(grouped.toDF("id", "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+
+
+def open_rows(members: DataFrame, grouped: DataFrame, scratch: list[str]) -> DataFrame:
+    """(id, band, component, members) of the bands whose sets are still in several components."""
+    rows = labelled(members, grouped)
+    bands = rows.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("members"))
+    return rows.join(written(bands.where("low <> high").select("band", "members"), scratch), "band")
 
 
 def likely(pairs: DataFrame, sets: DataFrame, share: tuple[int, int] = SHARE) -> DataFrame:
     """The pairs (a, b) whose sizes allow the similarity and whose estimate isn't far below it."""
-    part = sets.select("rep", "n_shingles", "registers")
+    part = sets.select("id", "n_shingles", "registers")
     both = pairs.join(part.toDF("a", "n", "ra"), "a").join(part.toDF("b", "m", "rb"), "b")
     both = both.where((F.least("n", "m") * share[1] >= F.greatest("n", "m") * share[0]))
     bar = share[0] / share[1] - SLACK
@@ -249,12 +255,12 @@ def likely(pairs: DataFrame, sets: DataFrame, share: tuple[int, int] = SHARE) ->
         a, b = (np.frombuffer(b"".join(rows[c]), np.uint16).reshape(-1, REGISTERS) for c in ("ra", "rb"))
         return {"estimate": estimate(a, b, np.array(rows["n"], float), np.array(rows["m"], float)).tolist()}
 
-    judged = with_columns(both, ["ra", "rb", "n", "m"], T.StructType([T.StructField("estimate", T.DoubleType())]), lambda: step)
+    judged = with_columns(both, ["ra", "rb", "n", "m"], T.StructType([T.StructField("estimate", T.DoubleType())]), lambda: step, without=["ra", "rb"])
     return judged.where(F.col("estimate") >= bar).select("a", "b")
 
 
 def linked(pairs: DataFrame, texts: DataFrame, share: tuple[int, int] = SHARE) -> DataFrame:
-    """The pairs whose full sets are as similar as that."""
+    """The pairs (a, b) whose full sets are as similar as that; texts: (id, text), each id once."""
 
     def start():
         hashes, known = WordHashes(), OrderedDict()
@@ -269,7 +275,7 @@ def linked(pairs: DataFrame, texts: DataFrame, share: tuple[int, int] = SHARE) -
         def step(rows):
             a, b = [], []
             for x, y, s, t in zip(rows["a"], rows["b"], rows["ta"], rows["tb"], strict=True):
-                u, v = of((x, hash(s)), s), of((y, hash(t)), t)
+                u, v = of(x, s), of(y, t)
                 common = len(np.intersect1d(u, v, assume_unique=True))
                 if len(u) and share[1] * common >= share[0] * (len(u) + len(v) - common):
                     a.append(x)
@@ -282,76 +288,110 @@ def linked(pairs: DataFrame, texts: DataFrame, share: tuple[int, int] = SHARE) -
     return rows_from(both, ["a", "b", "ta", "tb"], T.StructType([T.StructField(c, T.LongType()) for c in "ab"]), start)
 
 
+def last_pairs(facts: DataFrame, grouped: DataFrame, scratch: list[str]) -> DataFrame:
+    """The pairs (a, b) of different components that share one of their rarest shingles and whose
+    sizes, common shingles and first registers allow the similarity.
+
+    In each bucket, the sets of its largest component are met by the others only, never by one
+    another, so a large group that is joined already costs nothing but its outsiders."""
+    rows = written(labelled(facts.select("id", "n_shingles", "common", "quick", F.explode("prefix").alias("shingle")), grouped), scratch)
+    each = rows.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("n"))
+    several = each.groupBy("shingle").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("components"))
+    rows = rows.join(written(several.where("components > 1").select("shingle", "main"), scratch), "shingle").withColumn("main", F.col("main") == F.col("component"))
+    rows = written(rows, scratch)
+    left = rows.where("NOT main").drop("main").toDF("shingle", *(f"{c}_a" for c in ("id", "n", "common", "quick", "component")))
+    right = rows.select("shingle", "id", "n_shingles", "common", "quick", "component", "main").toDF("shingle", *(f"{c}_b" for c in ("id", "n", "common", "quick", "component")), "main")
+    near = F.expr("component_a <> component_b AND (main OR id_a < id_b)") & comparable("n_a", "n_b", "common_a", "common_b", "quick_a", "quick_b")
+    return left.join(right, "shingle").where(near).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs; other columns are ignored.
 
-    Empty and null texts have no shingles and no links. doc_id is taken as a key: where rows repeat
-    it with other texts, each returns the group of its own text. Rows without a doc_id aren't
-    linked: component_id is null and kept true. Repeated rows each return. An empty table gives no
-    rows.
+    Empty and null texts have no shingles and no links. Where rows repeat a doc_id with other texts,
+    each returns the group of its own text; component_id is the smallest id of the group's rows.
+    Rows without a doc_id aren't linked: component_id is null and kept true. Repeated rows each
+    return. An empty table gives no rows.
 
-    Documents with equal sets become one class first, so copies are never compared. In each band,
-    every class is compared with the smallest of its bucket; the links found give components.
+    Documents with equal sets become one numbered class first, so copies are never compared. In each
+    band, every class is compared with the first of its bucket; the links found give components.
     Buckets whose classes are still in several components are dealt into small groups, each with
     its own leader, and so joined further: groups of near copies grow together in this way with
-    few comparisons for each member. What is left in several components is compared in pairs, if
-    sizes, shingles that others have too, and first registers allow it. So each pair that shares a band is compared or already
-    joined.
+    few comparisons for each member. Of what is left in several components, those that share one
+    of their rarest shingles are compared, which no similar pair fails to do.
+
+    All steps are stored; what only they need is deleted at the end.
     """
-    docs = docs.select("doc_id", "text")
-    sketched = written(sketch_column(docs).drop("text"))
+    scratch: list[str] = []
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
+    sketched = written(sketch_column(docs), scratch)
     named = sketched.where("doc_id IS NOT NULL AND set_key IS NOT NULL")
-    sets = named.groupBy("set_key").agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("n_shingles", "registers", "quick")))
-    sets = written(sets)
+    sets = named.groupBy("set_key").agg(F.min(F.struct("doc_id", "text_key")).alias("row"), *(F.first(c).alias(c) for c in ("n_shingles", "registers", "quick")))
+    sets = written(sets.withColumn("id", F.monotonically_increasing_id()), scratch)  # the numbers stay, once written
     bands = band_rows(sets)
     # What is joined is written first: Spark then can split a bucket with very many sets in the join.
-    shared = bands.groupBy("band").agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    members = written(bands.join(written(shared.select("band", "leader")), "band"))
+    shared = bands.groupBy("band").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("members")).where("members > 1")
+    members = written(bands.join(written(shared.select("band", "leader"), scratch), "band"), scratch)
 
-    within = docs.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    texts = within.groupBy("doc_id", F.xxhash64("text").alias("which")).agg(F.first("text").alias("text"))
-    texts = written(texts.select("doc_id", "text"))
+    # One row of each class with company, and its text.
+    wanted = sets.join(members.select("id").distinct(), "id", "left_semi").select("id", "row.doc_id", "row.text_key")
+    texts = docs.join(written(wanted, scratch), ["doc_id", "text_key"]).groupBy("id").agg(F.first("text").alias("text"))
+    texts = written(texts, scratch)
 
-    first = members.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
-    links = written(linked(likely(first, sets), texts))
-    members, grouped = members.select("band", "at", "rep"), components(links)
+    first = members.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
+    links = written(linked(likely(first, sets), texts), scratch)
+    members, grouped = members.select("id", "band"), components(links, scratch)
     # The only sets that can still have links are those of open buckets, and only with one another.
-    left_over = open_rows(members, grouped, sets.select("rep")).select(F.col("rep").alias("doc_id")).distinct()
-    left_over = written(texts.join(written(left_over), "doc_id", "left_semi"))
-    facts = sets.select("rep", "n_shingles", "quick", F.transform(band_keys(), lambda k: F.pmod(k, F.lit(1 << 31)).cast("int")).alias("keys"))
-    facts = facts.join(bit_maps(left_over), "rep", "left").join(unique_shingles(left_over), "rep", "left")
-    facts = facts.join(left_over.select(F.col("doc_id").alias("rep")).distinct(), "rep", "left_semi")
-    facts = facts.select("rep", "n_shingles", "quick", "keys", "bits", (F.col("n_shingles") - F.coalesce("unique", F.lit(0))).alias("common"))
-    facts = written(facts.where(F.col("common") * SHARE[1] >= F.col("n_shingles") * SHARE[0]))
-    for turn in range(1, TURNS + 1):
-        rest = open_rows(members, grouped, facts.drop("keys", "bits"))
-        group = F.pmod(F.xxhash64("rep", F.lit(turn)), F.greatest(F.lit(1), F.floor(F.col("members") / GROUP).cast("int")))
-        rest = written(rest.withColumn("part", group))
-        leaders = rest.groupBy("band", "part").agg(F.min(F.struct("rep", "component", "n_shingles", "common", "quick")).alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1")
-        both = rest.join(written(leaders.select("band", "part", "lead.*").toDF("band", "part", "a", "ca", "m", "common_a", "qa")), ["band", "part"])
+    left_over = open_rows(members, grouped, scratch).select("id").distinct()
+    left_over = written(texts.join(written(left_over, scratch), "id", "left_semi"), scratch)
+    facts = sets.select("id", "n_shingles", "quick").join(prefixes(left_over, scratch), "id")
+    facts = written(facts, scratch)
+    for turn in range(1, TURNS + 1 if not facts.isEmpty() else 1):
+        rest = open_rows(members, grouped, scratch).join(facts.drop("prefix"), "id")
+        group = F.pmod(F.xxhash64("id", F.lit(turn)), F.greatest(F.lit(1), F.floor(F.col("members") / GROUP).cast("int")))
+        rest = written(rest.withColumn("part", group), scratch)
+        leaders = rest.groupBy("band", "part").agg(F.min(F.struct("id", "component", "n_shingles", "common", "quick")).alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        both = rest.join(written(leaders.select("band", "part", "lead.*").toDF("band", "part", "a", "ca", "m", "common_a", "qa"), scratch), ["band", "part"])
         found = both.where(F.col("ca") != F.col("component")).where(comparable("n_shingles", "m", "common", "common_a", "quick", "qa"))
-        pairs = found.select("a", F.col("rep").alias("b")).distinct()
-        links = links.unionAll(written(linked(likely(pairs, sets), texts)))
-        grouped = components(links)
-    columns = ["rep", "component", "n_shingles", "common", "quick", "keys", "bits"]
-    rest = written(open_rows(members, grouped, facts).select("band", "at", *columns))
-    left, right = rest.toDF("band", "at", *(f"{c}_a" for c in columns)), rest.drop("at").toDF("band", *(f"{c}_b" for c in columns))
-    earlier = F.exists(F.zip_with(F.slice("keys_a", F.lit(1), F.col("at")), F.slice("keys_b", F.lit(1), F.col("at")), lambda x, y: x == y), lambda x: x)
-    near = comparable("n_shingles_a", "n_shingles_b", "common_a", "common_b", "quick_a", "quick_b") & can_share("n_shingles_a", "n_shingles_b", "bits_a", "bits_b")
-    both = left.join(right, (left["band"] == right["band"]) & F.expr("rep_a < rep_b AND component_a <> component_b") & near & ~earlier)
-    pairs = both.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
-    final = components(links.unionAll(linked(likely(pairs, sets), texts))).toDF("rep", "component")
-
-    classes = sets.select("set_key", "rep").join(final, "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component"))
+        pairs = found.select("a", F.col("id").alias("b")).distinct()
+        links = links.unionAll(written(linked(likely(pairs, sets), left_over), scratch))
+        grouped = components(links, scratch)
+    pairs = written(last_pairs(facts, grouped, scratch), scratch)
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    maps = written(bit_maps(left_over.join(asked, "id", "left_semi")).join(facts.select("id", "n_shingles"), "id"), scratch)
+    both = pairs.join(maps.toDF("a", "bits_a", "n"), "a").join(maps.toDF("b", "bits_b", "m"), "b")
+    pairs = both.where(can_share("n", "m", "bits_a", "bits_b")).select("a", "b")
+    final = components(links.unionAll(linked(likely(pairs, sets), left_over)), scratch)
+
+    classes = labelled(sets.select("id", "set_key", F.col("row.doc_id").alias("least")), final)
+    several = classes.groupBy("component").agg(F.min("least").alias("component_id"))
+    classes = classes.join(several, "component").select("set_key", "component_id")
     out = sketched.select("doc_id", "n_shingles", "set_key").join(classes, "set_key", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    out = out.select("doc_id", "n_shingles", component.alias("component_id"))
+    out = written(out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
+    drop_tables(docs.sparkSession, scratch)
+    return out
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs without the documents that aren't the first of their group; same columns."""
-    gone = near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of near copies, that of the smallest doc_id, and all rows without words;
+    same columns.
+
+    Rows are what is grouped, whatever their ids: of repeated rows one stays, a repeated id with
+    another text counts as another document, and rows without an id are grouped like others and
+    come last. Of several rows with the smallest id, one stays.
+    """
+    scratch: list[str] = []
+    own = {c: f"own {c}" for c in docs.columns}
+    rows = written(docs.withColumnsRenamed(own).withColumn("row", F.monotonically_increasing_id()), scratch)
+    found = near_duplicates(rows.select(F.col("row").alias("doc_id"), F.col("own text").alias("text")))
+    groups = found.select(F.col("doc_id").alias("row"), "component_id").join(rows.select("row", "own doc_id"), "row")
+    order = F.struct(F.col("own doc_id").isNull().alias("none"), F.col("own doc_id").alias("id"), F.col("row").alias("row"))
+    first = groups.groupBy("component_id").agg(F.min(order).alias("first")).select(F.col("first.row").alias("row"))
+    out = written(rows.join(first, "row", "left_semi").select(*(F.col(f"`{name}`").alias(c) for c, name in own.items())))
+    drop_tables(docs.sparkSession, scratch)
+    return out
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -67,9 +67,9 @@ def test_components(spark):
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-def test_against_brute(spark, docs_of, seed):
+def test_against_brute(spark, docs_of, folder, seed):
     texts = corpus(seed) + [None, "", "same text here"] + ["same text here"] * 20
-    rows = near_dedup.near_duplicates(docs_of(texts)).collect()
+    rows = near_dedup.query(spark, folder(documents=docs_of(texts))).collect()
     want = near_dedup.brute(dict(enumerate(texts)))
     assert len(rows) == len(texts)
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows} == want
@@ -105,19 +105,73 @@ def test_maps_never_rule_out_similar_sets(spark):
         for _ in range(rnd.randrange(1, 2 + len(words) // 12)):
             other[rnd.randrange(len(other))] = "changed" + str(rnd.randrange(10**6))
         rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
-    maps = near_dedup.bit_maps(spark.createDataFrame(rows, "doc_id long, text string"))
+    maps = near_dedup.bit_maps(spark.createDataFrame(rows, "id long, text string"))
     hashes = near_dedup.WordHashes()
     sets = {i: near_dedup.shingles(t, hashes) for i, t in rows}
-    facts = maps.join(spark.createDataFrame([(i, len(x)) for i, x in sets.items()], "rep long, n long"), "rep")
+    facts = maps.join(spark.createDataFrame([(i, len(x)) for i, x in sets.items()], "id long, n long"), "id")
     both = facts.toDF("a", "ba", "n").join(facts.toDF("b", "bb", "m"), F.expr("b = a + 1 AND a % 2 = 0"))
     got = {r["a"]: r["ok"] for r in both.withColumn("ok", near_dedup.can_share("n", "m", "ba", "bb")).collect()}
     similar = {2 * i for i in range(120) for n in [len(np.intersect1d(sets[2 * i], sets[2 * i + 1]))] if 100 * n >= 75 * (len(sets[2 * i]) + len(sets[2 * i + 1]) - n)}
     assert len(got) == 120 and all(got[a] for a in similar) and not all(got.values())
 
 
-def test_unique_shingles(spark):
-    texts = spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e g h"), (3, "a b c d e"), (4, None), (5, "p q"), (5, "r s")], "doc_id long, text string")
-    assert {r["rep"]: r["unique"] for r in near_dedup.unique_shingles(texts).collect()} == {1: 1, 2: 2}
+def test_prefixes(spark):
+    texts = [(1, "a b c d e f"), (2, "a b c d e g h"), (3, "a b c d e"), (4, None), (5, "p q")]
+    got = {r["id"]: (r["common"], len(r["prefix"])) for r in near_dedup.prefixes(spark.createDataFrame(texts, "id long, text string"), []).collect()}
+    assert got == {3: (1, 1)}  # 1 and 2 have more shingles of their own than similar sets can
+    rnd = random.Random(9)
+    texts = [(i, t) for i, t in enumerate(corpus(9, 80))]
+    found = {r["id"]: set(r["prefix"]) for r in near_dedup.prefixes(spark.createDataFrame(texts, "id long, text string"), []).collect()}
+    hashes = near_dedup.WordHashes()
+    sets = {i: near_dedup.shingles(t, hashes) for i, t in texts}
+    similar = 0
+    for a in sets:
+        for b in range(a):
+            n = len(np.intersect1d(sets[a], sets[b]))
+            if n and 100 * n >= 75 * (len(sets[a]) + len(sets[b]) - n):
+                similar += 1
+                assert found[a] & found[b]
+    assert similar > 10 and rnd
+
+
+def by_rows(rows):
+    """(doc_id, n_shingles, component_id) of rows with repeated ids: rows are compared by number."""
+    found = near_dedup.brute({i: text for i, (_, text) in enumerate(rows)})
+    least = {}
+    for i, (doc_id, _) in enumerate(rows):
+        least[found[i][1]] = min(least.get(found[i][1], doc_id), doc_id)
+    return sorted((doc_id, found[i][0], least[found[i][1]] if found[i][0] else doc_id) for i, (doc_id, _) in enumerate(rows))
+
+
+def test_repeated_ids_against_brute(spark, docs_of):
+    rnd = random.Random(11)
+    rows = [(rnd.randrange(25), t) for t in corpus(11, 70)]
+    rows += rnd.sample(rows, 15)
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    rows += [(102, b), (105, b + " tail"), (105, a), (109, a), (201, c), (205, c), (205, d), (303, ""), (303, d), (303, None), (304, d + " x")]
+    got = near_dedup.near_duplicates(docs_of(rows)).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == by_rows(rows)
+    assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
+
+
+def test_keep_one_keeps_a_row_of_each_group(spark, docs_of):
+    a, b, c, d, e = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcde")
+    rows = [(1, a), (5, a), (5, b), (7, c), (7, c), (None, c), (None, d), (None, d), (19, e + " tail"), (13, e), (8, ""), (8, "")]
+    kept = near_dedup.keep_one(docs_of(rows))
+    assert kept.columns == docs_of([]).columns
+    assert sorted((r["doc_id"] or -1, r["text"]) for r in kept.collect()) == [(-1, d), (1, a), (5, b), (7, c), (8, ""), (8, ""), (13, e)]
+    assert near_dedup.keep_one(docs_of([])).count() == 0
+
+
+def test_templates_below_the_bar(spark, docs_of):
+    """A template makes up 7 in 10 words of all texts, which some pairs share the rest of too: most
+    bands are shared, few pairs are similar."""
+    rnd = random.Random(7)
+    template = [f"t{i}" for i in range(105)]
+    rest = [[f"r{rnd.randrange(10**6)}" for _ in range(45)] for _ in range(60)]
+    texts = [" ".join(template + rest[i % 60] + ([f"z{i}"] if i % 3 else [f"y{i}{k}" for k in range(20)])) for i in range(140)]
+    rows = near_dedup.near_duplicates(docs_of(texts)).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows} == near_dedup.brute(dict(enumerate(texts)))
 
 
 @pytest.mark.parametrize("seed", [3, 4])
@@ -133,3 +187,4 @@ def test_one_large_group_of_near_copies(spark, docs_of, seed):
         texts.append(" ".join(words))
     rows = near_dedup.near_duplicates(docs_of(texts)).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows} == near_dedup.brute(dict(enumerate(texts)))
+
