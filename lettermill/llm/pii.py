@@ -2,16 +2,18 @@
 
 Patterns propose spans: the strict ones of the contract, and looser ones. Labelers (form,
 gazetteers, context, surroundings) vote on each span. Expectation-maximisation over the counts of
-vote patterns estimates how reliable each labeler is; the posteriors train a linear span
-classifier, which decides on the spans that aren't strict. Strict spans always stay.
+vote patterns estimates how reliable each labeler is. The posteriors train a linear span classifier
+on features of the span and of what stands around it, which the votes are not among; it decides on
+the spans that aren't strict. Strict spans always stay.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,19 +45,44 @@ CUES = {
 }
 AGAINST = r"version|isbn|issn|doi|release|build|commit|sha|md5|order|invoice|section"
 LABELERS = ("form", "gazetteer", "context", "surroundings", "variety")
-BLOCK = 256
+#: What the classifier sees of a span, each as a small number; and how many values each has.
+FEATURES = {"length": 6, "digits": 4, "marks": 4, "variety": 5, "first": 5, "before": 6, "after": 6, "cue": 3}
+BLOCK = 256  # items that a scan takes at once
+CHUNK = 1024  # code points
 ACCEPT = 0.7
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once, however often body uses it and in whatever loop."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _scan(items: Column, zero: Column, out: str, step: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
+    """The second of what step(state, item) gives, the first being the next state, for each item in
+    turn, as an array of type `out`. Items are taken in blocks, and so results are copied at most
+    BLOCK times: a single aggregate would copy all that it has for each item."""
+
+    def inner(state: Column, block: Column) -> Column:
+        def one(acc: Column, x: Column) -> Column:
+            after, result = step(acc["state"], x)
+            return F.struct(after.alias("state"), F.concat(acc["out"], F.array(result)).alias("out"))
+
+        return F.aggregate(block, F.struct(state.alias("state"), F.array().cast(f"array<{out}>").alias("out")), one)
+
+    def whole(array: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(array) - 1) / BLOCK).cast("int")), lambda b: F.slice(array, b * BLOCK + 1, F.lit(BLOCK)))
+        begin = F.struct(zero.alias("state"), F.array().cast(f"array<array<{out}>>").alias("outs"))
+        every = F.aggregate(
+            blocks, begin, lambda acc, block: _let(inner(acc["state"], block), lambda done: F.struct(done["state"].alias("state"), F.concat(acc["outs"], F.array(done["out"])).alias("outs")))
+        )
+        return F.when(F.size(array) > 0, F.flatten(every["outs"])).otherwise(F.array().cast(f"array<{out}>"))
+
+    return _let(items, whole)
+
+
 def _starts(steps: Column) -> Column:
-    """Sums of the steps before each, in blocks: not quadratic in their number."""
-    count = F.size(steps)
-    total = lambda part: F.aggregate(part, F.lit(0), lambda a, x: a + x)
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((count - 1) / BLOCK).cast("int")), lambda b: total(F.slice(steps, b * BLOCK + 1, F.lit(BLOCK))))
-    return F.transform(
-        F.sequence(F.lit(0), count - 1),
-        lambda i: total(F.slice(blocks, F.lit(1), F.floor(i / BLOCK).cast("int"))) + total(F.slice(steps, F.floor(i / BLOCK).cast("int") * BLOCK + 1, i % BLOCK)),
-    )
+    """The sum of the steps before each."""
+    return _scan(steps, F.lit(0), "int", lambda total, x: (total + x, total))
 
 
 def _located(docs: DataFrame) -> DataFrame:
@@ -63,15 +90,15 @@ def _located(docs: DataFrame) -> DataFrame:
 
     Splitting at the pattern gives what lies between the matches, and so their places.
     """
-    gates = {name: F.contains("text", F.lit(must)) if must else F.lit(True) for name, (_, _, must) in PATTERNS.items()}
-    digits = F.col("text").rlike("[0-9]")
-    out = docs.withColumn("_digits", digits)
+    text = text_of()
+    gates = {name: F.contains(text, F.lit(must)) if must else F.lit(True) for name, (_, _, must) in PATTERNS.items()}
+    out = docs.withColumn("_digits", text.rlike("[0-9]"))
     none = F.array().cast("array<string>")
     out = out.withColumns({
-        f"_m_{name}": F.when(gates[name] & (F.lit(True) if name == "email" else F.col("_digits")), F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).otherwise(none)
+        f"_m_{name}": F.when(gates[name] & (F.lit(True) if name == "email" else F.col("_digits")), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(none)
         for name, (_, pattern, _) in PATTERNS.items()
     })
-    out = out.withColumns({f"_p_{name}": F.when(F.size(f"_m_{name}") > 0, F.split("text", pattern, -1)) for name, (_, pattern, _) in PATTERNS.items()})
+    out = out.withColumns({f"_p_{name}": F.when(F.size(f"_m_{name}") > 0, F.split(text, pattern, -1)) for name, (_, pattern, _) in PATTERNS.items()})
     out = out.withColumns({f"_l_{name}": F.zip_with(F.slice(f"_p_{name}", 1, F.size(f"_m_{name}")), f"_m_{name}", lambda p, m: F.length(p) + F.length(m)) for name in PATTERNS})
     out = out.withColumns({f"_s_{name}": F.when(F.size(f"_m_{name}") > 0, _starts(F.col(f"_l_{name}"))) for name in PATTERNS})
 
@@ -155,17 +182,44 @@ def _votes(name: str, s: Column) -> dict[str, Column]:
     }
 
 
+def _steps(value: Column, steps: Sequence[float]) -> Column:
+    return reduce(lambda a, b: a + b, ((value > F.lit(x)).cast("int") for x in steps))
+
+
+def _kind_of(char: Column) -> Column:
+    """0 nothing, 1 space, 2 letter, 3 digit, 4 a quote or bracket, 5 else."""
+    return F.when(char == "", 0).when(char.rlike(r"\s"), 1).when(char.rlike("[0-9]"), 3).when(char.rlike(r"\w"), 2).when(char.rlike(r"[\"'<>(){}\[\]]"), 4).otherwise(5)
+
+
+def _seen(name: str, s: Column) -> dict[str, Column]:
+    """The classifier's features of a span."""
+    match, before, kind = s["match"], s["before"], PATTERNS[name][0]
+    length, plain = F.length(match), F.regexp_replace(match, r"[^0-9A-Za-z]", "")
+    return {
+        "length": _steps(length, (11, 14, 16, 19, 31)),
+        "digits": _steps(F.length(_digits(match)) / length, (0.1, 0.5, 0.8)),
+        "marks": _steps(length - F.length(plain), (0, 2, 4)),
+        "variety": _steps(F.size(F.array_distinct(F.split(plain, ""))), (2, 4, 7, 12)),
+        "first": F.when(F.left(match, F.lit(1)) == "+", 0).when(F.left(match, F.lit(1)) == "(", 1).when(F.left(match, F.lit(1)) == "0", 2).when(F.left(match, F.lit(1)).rlike("[0-9]"), 3).otherwise(4),
+        "before": _kind_of(F.right(before, F.lit(1))),
+        "after": _kind_of(s["after"]),
+        "cue": F.when(before.rlike(AGAINST), 2).when(before.rlike(CUES[kind]), 1).otherwise(0),
+    }
+
+
 def candidates(docs: DataFrame) -> DataFrame:
-    """docs with `_spans`: kind, start, end, strict, votes of every span that a pattern proposes."""
+    """docs with `_spans`: kind, start, end, strict, votes, seen (features in one number) of every
+    span that a pattern proposes."""
     found = _located(docs)
 
     def judged(name: str) -> Column:
         def one(s: Column) -> Column:
-            votes = _votes(name, s)
+            votes, seen = _votes(name, s), _seen(name, s)
             strict = valid(name, s["match"]) if name in STRICT else F.lit(False)
+            code = reduce(lambda a, f: a * FEATURES[f] + seen[f], FEATURES, F.lit(0))
             return F.struct(
                 s["start"].alias("start"), F.lit(KINDS.index(PATTERNS[name][0])).alias("kind"), s["end"].alias("end"),
-                strict.alias("strict"), F.struct(*(votes[v].alias(v) for v in LABELERS)).alias("votes"),
+                strict.alias("strict"), F.struct(*(votes[v].alias(v) for v in LABELERS)).alias("votes"), code.cast("int").alias("seen"),
             )
 
         return F.transform(f"_f_{name}", one)
@@ -197,55 +251,87 @@ def reliabilities(counts: dict[Pattern, int], rounds: int = 40) -> tuple[list[fl
     return right, share, after
 
 
-def features(kind: int, votes: Sequence[int]) -> list[float]:
-    return [1.0, *(float(kind == k) for k in range(len(KINDS))), *(float(v) for v in votes), *(float(v == 0) for v in votes)]
+OFFSETS = np.cumsum([0, *FEATURES.values()])
+WIDTH = 1 + len(KINDS) + len(KINDS) * int(OFFSETS[-1])  # bias, kinds, and each feature's values by kind
+
+
+def places(kind: int, seen: int) -> list[int]:
+    """Which weights a span of this kind and these features has."""
+    values = []
+    for size in reversed(FEATURES.values()):
+        seen, value = divmod(seen, size)
+        values.append(value)
+    first = 1 + len(KINDS) + kind * int(OFFSETS[-1])
+    return [0, 1 + kind, *(first + int(at) + v for at, v in zip(OFFSETS, reversed(values), strict=False))]
 
 
-def train(after: dict[Pattern, float], counts: dict[Pattern, int], rounds: int = 400) -> list[float]:
-    """Logistic regression on the vote patterns, weighted by the logarithm of their counts."""
-    rows = [(features(*p), after[p], 1 + math.log(n)) for p, n in counts.items()]
-    weights = [0.0] * len(features(0, [0] * len(LABELERS)))
-    total = sum(w for *_, w in rows) or 1.0
+def train(rows: Sequence[tuple[int, int, float, int]], rounds: int = 400, hold: float = 0.002) -> np.ndarray:
+    """Logistic regression of (kind, features, posterior, count); a row's part grows with the
+    logarithm of its count."""
+    if not rows:
+        return np.zeros(WIDTH)
+    at = np.array([places(kind, seen) for kind, seen, _, _ in rows])
+    goal = np.array([y for _, _, y, _ in rows])
+    part = 1 + np.log([n for *_, n in rows])
+    weights = np.zeros(WIDTH)
     for _ in range(rounds):
-        slope = [0.002 * x for x in weights]
-        for x, y, w in rows:
-            z = sum(a * b for a, b in zip(x, weights, strict=True))
-            miss = w / total * (1 / (1 + math.exp(-max(-50.0, min(50.0, z)))) - y)
-            for j, v in enumerate(x):
-                if v:
-                    slope[j] += miss * v
-        weights = [a - 1.5 * b for a, b in zip(weights, slope, strict=True)]
+        miss = part / part.sum() * (1 / (1 + np.exp(-weights[at].sum(axis=1).clip(-50, 50))) - goal)
+        weights -= 1.5 * (np.bincount(at.ravel(), np.repeat(miss, at.shape[1]), WIDTH) + hold * weights)
     return weights
 
 
-def score(span: Column, weights: Sequence[float]) -> Column:
+def score(span: Column, weights: np.ndarray) -> Column:
     """The classifier's chance that a span is real."""
-    votes = [span["votes"][v] for v in LABELERS]
-    parts = [F.lit(weights[0])]
-    parts += [F.when(span["kind"] == k, w).otherwise(0.0) for k, w in enumerate(weights[1 : 1 + len(KINDS)])]
-    at = 1 + len(KINDS)
-    parts += [v * F.lit(w) for v, w in zip(votes, weights[at:], strict=False)]
-    parts += [F.when(v == 0, w).otherwise(0.0) for v, w in zip(votes, weights[at + len(votes) :], strict=True)]
-    return 1 / (1 + F.exp(-reduce(lambda a, b: a + b, parts)))
+    z = F.get(F.array(*(F.lit(float(weights[0] + weights[1 + k])) for k in range(len(KINDS)))), span["kind"])
+    below = int(np.prod(list(FEATURES.values())))
+    for (name, size), at in zip(FEATURES.items(), OFFSETS, strict=False):
+        below //= size
+        value = F.floor(span["seen"] / below).cast("int") % size
+        table_of = F.array(*(F.lit(float(weights[1 + len(KINDS) + k * int(OFFSETS[-1]) + int(at) + v])) for k in range(len(KINDS)) for v in range(size)))
+        z = z + F.get(table_of, span["kind"] * size + value)
+    return 1 / (1 + F.exp(-z))
 
 
-def fit(proposed: DataFrame) -> list[float]:
+def fit(proposed: DataFrame) -> np.ndarray:
     """The classifier's weights from the votes on all spans. What goes to the driver is a row for
-    each vote pattern: at most 5 kinds times 3 to the power of 5."""
+    each vote pattern and each pattern with features: their number is bounded by the values that
+    they have, whatever the data."""
     spans = proposed.where(F.size("_spans") > 0).select(F.explode("_spans").alias("s"))
-    rows = spans.groupBy("s.kind", *(F.col(f"s.votes.{v}").alias(v) for v in LABELERS)).count().collect()
-    counts = {(r["kind"], tuple(r[v] for v in LABELERS)): r["count"] for r in rows}
-    return train(reliabilities(counts)[2], counts)
+    each = spans.groupBy("s.kind", "s.seen", *(F.col(f"s.votes.{v}").alias(v) for v in LABELERS)).count().collect()
+    counts: dict[Pattern, int] = {}
+    for r in each:
+        key = r["kind"], tuple(r[v] for v in LABELERS)
+        counts[key] = counts.get(key, 0) + r["count"]
+    after = reliabilities(counts)[2]
+    return train([(r["kind"], r["seen"], after[r["kind"], tuple(r[v] for v in LABELERS)], r["count"]) for r in sorted(each)])
 
 
-def decide(proposed: DataFrame, weights: Sequence[float], accept: float = ACCEPT) -> DataFrame:
-    """`_spans` becomes `_base` and `_all`: arrays of (start, kind, end), sorted."""
+PLAIN = "struct<start:int,kind:int,end:int>"
+
+
+def decide(proposed: DataFrame, weights: np.ndarray, accept: float = ACCEPT) -> DataFrame:
+    """`_spans` becomes `_base` and `_all`: arrays of (start, kind, end), sorted. Of the spans that
+    aren't strict, those stay that the classifier accepts and that overlap no strict one and no
+    accepted one before them."""
     plain = lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))
+    marked = lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["strict"].alias("strict"))
     base = F.array_sort(F.transform(F.filter("_spans", lambda s: s["strict"]), plain))
-    maybe = F.filter("_spans", lambda s: ~s["strict"] & (s["votes"]["form"] == 1) & (score(s, weights) >= accept))
-    out = proposed.withColumn("_base", base).withColumn("_maybe", F.transform(maybe, plain))
-    free = F.filter("_maybe", lambda s: ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    return out.withColumn("_all", F.array_sort(F.array_distinct(F.concat("_base", free)))).drop("_spans", "_maybe")
+    likely = F.filter("_spans", lambda s: s["strict"] | ((s["votes"]["form"] == 1) & (score(s, weights) >= accept)))
+    none = F.lit((1 << 31) - 1)
+    # Backwards: where the next strict span begins. Forwards: where those before end.
+    ahead = _scan(F.reverse(F.array_sort(F.transform(likely, marked))), none, "struct<start:int,kind:int,end:int,strict:boolean,next:int>", lambda next, s: (
+        F.when(s["strict"], s["start"]).otherwise(next),
+        F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["strict"].alias("strict"), next.alias("next")),
+    ))
+
+    def forward(ends: Column, s: Column) -> tuple[Column, Column]:
+        good = s["strict"] | ((s["start"] >= ends) & (s["end"] <= s["next"]))
+        return F.when(good, F.greatest(ends, s["end"])).otherwise(ends), F.struct(s["start"].alias("start"), s["kind"].alias("kind"), F.when(good, s["end"]).otherwise(-1).alias("end"))
+
+    free = F.filter(_scan(F.reverse(ahead), F.lit(0), PLAIN, forward), lambda s: s["end"] >= 0)
+    some = F.exists("_spans", lambda s: ~s["strict"])
+    out = proposed.withColumn("_base", base)
+    return out.withColumn("_all", F.when(some, F.array_sort(F.array_distinct(free))).otherwise(F.col("_base"))).drop("_spans")
 
 
 def shown(spans: str) -> Column:
@@ -261,42 +347,46 @@ def find(docs: DataFrame) -> DataFrame:
     and repeated rows each return; other columns are ignored; an empty table gives no rows.
 
     Proposed spans, without texts, are stored in the shared folder, so texts are searched once.
-    Nothing is shuffled but counts of vote patterns.
+    Nothing is shuffled but counts of patterns. Work grows with the length of a text and the number
+    of its spans, not with their square.
     """
-    proposed = written(candidates(docs.select("doc_id", text_of().alias("text"))).drop("text"))
+    proposed = written(candidates(docs.select("doc_id", "text")).drop("text"))
     done = decide(proposed, fit(proposed))
     count = lambda kind: F.size(F.filter("_base", lambda s: s["kind"] == KINDS.index(kind))).cast("long").alias(f"n_{kind}")
     return done.select("doc_id", *map(count, STRICT), F.sha2(shown("_base"), 256).alias("base_sha256"), shown("_all").alias("spans"))
 
 
+GAP = "struct<from:int,to:int,mark:int>"
+
+
 def redact(docs: DataFrame) -> DataFrame:
     """docs with each span of the text replaced by its kind in angle brackets, and n_chars, where
     there is one, set to the new length. Spans that overlap are replaced as one, by the first's
     kind. Null texts stay null; all rows and columns stay."""
-    named = docs.withColumn("_text", F.col("text")).withColumn("text", text_of())
-    stored = written(candidates(named))
+    own = {c: c if c in ("text", "n_chars") else f"own {c}" for c in docs.columns}
+    stored = written(candidates(docs.withColumnsRenamed(own)))
     done = decide(stored, fit(stored.select("_spans")))
-    joined = F.aggregate(
-        F.slice("_all", 2, F.size("_all")),
-        F.slice("_all", 1, 1),
-        lambda out, s: F.when(
-            F.element_at(out, -1)["end"] > s["start"],
-            F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.struct(F.element_at(out, -1)["start"].alias("start"), F.element_at(out, -1)["kind"].alias("kind"), F.greatest(F.element_at(out, -1)["end"], s["end"]).alias("end")))),
-        ).otherwise(F.concat(out, F.array(s))),
-    )
+    gaps = _scan(F.col("_all"), F.lit(0), GAP, lambda end, s: (
+        F.greatest(end, s["end"]),
+        F.struct(end.alias("from"), s["start"].alias("to"), F.when((s["start"] >= end), s["kind"]).otherwise(-1).alias("mark")),
+    ))
+    last = F.struct(F.array_max(F.transform("_all", lambda s: s["end"])).alias("from"), F.length("text").alias("to"), F.lit(-1).alias("mark"))
     marks = F.array(*(F.lit(f"<{kind.upper()}>") for kind in KINDS))
-    parted = done.withColumn("_cut", F.when(F.size("_all") > 0, joined))
-    pieces = F.transform(
-        F.sequence(F.lit(0), F.size("_cut")),
-        lambda i: F.concat(
-            F.substring("text", F.coalesce(F.get("_cut", i - 1)["end"], F.lit(0)) + 1, F.coalesce(F.get("_cut", i)["start"], F.length("text")) - F.coalesce(F.get("_cut", i - 1)["end"], F.lit(0))),
-            F.coalesce(F.get(marks, F.get("_cut", i)["kind"]), F.lit("")),
-        ),
-    )
-    parted = parted.withColumn("text", F.when(F.col("_cut").isNotNull(), F.array_join(pieces, "")).otherwise(F.col("_text")))
-    if "n_chars" in docs.columns:
-        parted = parted.withColumn("n_chars", F.when(F.col("_cut").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return parted.select(*docs.columns)
+
+    def pieces(chunks: Column) -> Column:
+        def piece(g: Column) -> Column:
+            first = F.floor(g["from"] / CHUNK).cast("int")
+            joined = F.array_join(F.slice(chunks, first + 1, F.floor(g["to"] / CHUNK).cast("int") - first + 1), "")
+            part = F.when(g["to"] > g["from"], F.substring(joined, g["from"] % CHUNK + 1, g["to"] - g["from"])).otherwise("")
+            return F.concat(part, F.coalesce(F.get(marks, g["mark"]), F.lit("")))
+
+        return F.array_join(F.transform(F.concat(gaps, F.array(last)), piece), "")
+
+    cut = F.size("_all") > 0
+    text = F.when(cut, _let(F.regexp_extract_all("text", F.lit("(?s).{1,%d}" % CHUNK), F.lit(0)), pieces)).otherwise(F.col("text"))
+    parted = done.withColumn("new text", text)
+    columns = {"text": F.col("`new text`"), "n_chars": F.when(cut, F.length("new text").cast("long")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None}
+    return parted.select(*((columns[c] if c in columns else F.col(f"`{name}`")).alias(c) for c, name in own.items()))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,8 +38,55 @@ def test_reliabilities_find_the_bad_labeler():
         counts[0, votes] = counts.get((0, votes), 0) + 1
     right, _, after = pii.reliabilities(counts)
     assert all(abs(a - b) < 0.06 for a, b in zip(right, truth))
-    weights = pii.train(after, counts)
-    assert weights[6] > weights[8] and weights[7] > weights[10]
+
+
+def test_classifier_learns_from_features():
+    """Spans of one kind with a cue before them are real, the others are not."""
+    sizes = list(pii.FEATURES.values())
+
+    def code(**values):
+        out = 0
+        for name, size in pii.FEATURES.items():
+            assert values.get(name, 0) < size
+            out = out * size + values.get(name, 0)
+        return out
+
+    rows = [(3, code(cue=cue, length=n), 0.97 if cue == 1 else 0.05, 50) for cue in range(3) for n in range(6)]
+    weights = pii.train(rows)
+    chance = lambda kind, seen: 1 / (1 + 2.718281828 ** -weights[pii.places(kind, seen)].sum())
+    assert all((chance(kind, seen) > 0.7) == (goal > 0.5) for kind, seen, goal, _ in rows)
+    assert not pii.train([]).any() and len({p for k in range(5) for p in pii.places(k, code(cue=2, length=5))}) == 1 + 5 + 5 * len(sizes)
+
+
+def test_accepted_spans_do_not_overlap(spark, docs_of):
+    own = ["call (555) 123-4567 or 555-123-4567 now", "phone 555-123-4567-123-4567 and card 4111 1111 1111 1111 x", "4111111111111111 " * 5 + "key 0123456789abcdef0123456789abcdef", "tel 826-555-4081@mail.example.org 826-555-4081"] * 3
+    rows = pii.find(docs_of(own)).collect()
+    for r in rows:
+        want = {f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in pii.brute(own[r["doc_id"]])}
+        spans = [s for s in r["spans"].split(",") if s]
+        assert want <= set(spans)
+        more = sorted((int(s.split(":")[1]), int(s.split(":")[2])) for s in set(spans) - want)
+        base = [(int(s.split(":")[1]), int(s.split(":")[2])) for s in want]
+        assert all(b <= c for (_, b), (c, _) in zip(more, more[1:]))
+        assert all(b <= c or d <= a for a, b in more for c, d in base)
+    assert any("phone" in r["spans"] and r["n_phone"] == 0 for r in rows)
+
+
+def test_many_spans_in_one_text(spark, docs_of):
+    """Twice the spans take about twice the time."""
+    import time
+
+    took = []
+    for n in (500, 4000, 8000):
+        text = "".join(f"a{i}@b.cc (555) 123-4567 é " for i in range(n))
+        began = time.perf_counter()
+        (row,) = pii.find(docs_of([text])).collect()
+        took.append(time.perf_counter() - began)
+        assert row["n_email"] == n and row["spans"].count("phone") in (0, n)
+    assert took[2] < 3 * took[1] + 2
+    text = "".join(f"<{i}> a{i}@b.cc é😀 " for i in range(3000))
+    (row,) = pii.redact(docs_of([text])).collect()
+    assert row["text"] == "".join(f"<{i}> <EMAIL> é😀 " for i in range(3000))
 
 
 def test_redact(spark, docs_of):
