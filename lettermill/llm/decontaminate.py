@@ -9,13 +9,15 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Sequence
+from functools import reduce
 
 import numpy as np
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table, text_of, with_columns
+from .common import table, text_of, with_columns, written
 
 WINDOW = 13
 SHARE = 20  # contaminated: hit words are at least one in so many
@@ -39,13 +41,13 @@ def words(text: str | None) -> list[bytes]:
 class Automaton:
     """The suffix automaton of several word sequences, and what occurs at each of its states."""
 
-    def __init__(self, items: Iterable[tuple[str, Sequence[bytes]]], window: int = WINDOW):
+    def __init__(self, items: Iterable[tuple[str | None, Sequence[bytes]]], window: int = WINDOW):
         self.window = window
         self.codes: dict[bytes, int] = {}
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
         ends: list[set[int]] = [set()]
-        self.names: list[str] = []
+        self.names: list[str | None] = []
         short: list[tuple[int, int, int]] = []  # state, length, item
         for name, item in items:
             if not item:
@@ -165,6 +167,29 @@ def _blocks(items: DataFrame, block_words: int) -> list[DataFrame]:
     return [items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) for k in range(n)]
 
 
+def _marked(docs: DataFrame, block: DataFrame, window: int) -> tuple[DataFrame, Broadcast]:
+    """docs with what one block of items hits, and what was broadcast for it."""
+    listed = [(r["item_id"], words(r["text"])) for r in block.toLocalIterator()]
+    sent = docs.sparkSession.sparkContext.broadcast(Automaton(listed, window))
+
+    def start():
+        automaton: Automaton = sent.value
+
+        def step(rows):
+            found: dict[str, list] = {name: [] for name in HITS.names}
+            for text in rows["text"]:
+                own = words(text)
+                spans, numbers = automaton.match(own)
+                found["n_words"].append(len(own))
+                found["hit_spans"].append([{"start": a, "end": b} for a, b in spans])
+                found["hit_items"].append(sorted({automaton.names[x] for x in numbers} - {None}))
+            return found
+
+        return step
+
+    return with_columns(docs, ["text"], HITS, start), sent
+
+
 def match_column(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """docs with n_words, hit_spans (maximal, in words, end exclusive) and hit_items (ids as strings).
 
@@ -172,36 +197,29 @@ def match_column(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_
     an item without an id hits but isn't listed. An empty items table hits nothing. Columns of docs
     with these names are replaced; others, and repeated rows, stay.
 
-    Documents are never shuffled. What is broadcast is bounded by block_words: larger item tables
-    are taken in blocks, each streamed over all documents.
+    Documents are never shuffled where one automaton holds all items. Larger item tables are taken
+    in blocks of about block_words, one after another: docs are numbered and stored, each block is
+    streamed over them, and only its hits are stored and joined. So what is broadcast, and what a
+    worker holds, is bounded by block_words however many items there are.
     """
-    spark = docs.sparkSession
-    out = docs
-    for k, block in enumerate(_blocks(items.select(F.col("item_id").cast("string").alias("item_id"), "text"), block_words)):
-        listed = [(r["item_id"], words(r["text"])) for r in block.toLocalIterator()]
-        sent = spark.sparkContext.broadcast(Automaton([(("" if name is None else name), item) for name, item in listed], window))
-
-        def start(sent=sent, k=k):
-            automaton: Automaton = sent.value
-
-            def step(rows):
-                found: dict[str, list] = {"n_words": [], "hit_spans": [], "hit_items": []}
-                for i, text in enumerate(rows["text"]):
-                    own = words(text)
-                    spans, numbers = automaton.match(own)
-                    names = {automaton.names[x] for x in numbers} - {""}
-                    if k:
-                        spans = joined([*spans, *((s["start"], s["end"]) for s in rows["hit_spans"][i])])
-                        names |= set(rows["hit_items"][i])
-                    found["n_words"].append(len(own))
-                    found["hit_spans"].append([{"start": a, "end": b} for a, b in spans])
-                    found["hit_items"].append(sorted(names))
-                return found
-
-            return step
-
-        out = with_columns(out, ["text", *(["hit_spans", "hit_items"] if k else [])], HITS, start)
-    return out
+    blocks = _blocks(items.select(F.col("item_id").cast("string").alias("item_id"), "text"), block_words)
+    if len(blocks) == 1:
+        return _marked(docs, blocks[0], window)[0]
+    kept = [c for c in docs.columns if c.lower() not in HITS.names]
+    numbered = written(docs.select(*(F.col(f"`{c}`").alias(f"own {c}") for c in kept), "text", F.monotonically_increasing_id().alias("row")))
+    hits = []
+    for block in blocks:
+        marked, sent = _marked(numbered.select("row", "text"), block, window)
+        hits.append(written(marked.where(F.size("hit_spans") > 0).select("row", "hit_spans", "hit_items")))
+        sent.destroy()
+    every = reduce(DataFrame.unionAll, hits).groupBy("row").agg(F.flatten(F.collect_list("hit_spans")).alias("hit_spans"), F.flatten(F.collect_list("hit_items")).alias("hit_items"))
+
+    def step(rows):
+        spans = [[{"start": a, "end": b} for a, b in joined((s["start"], s["end"]) for s in own or ())] for own in rows["hit_spans"]]
+        return {"n_words": [len(words(t)) for t in rows["text"]], "hit_spans": spans, "hit_items": [sorted(set(own or ())) for own in rows["hit_items"]]}
+
+    out = with_columns(numbered.join(every, "row", "left"), ["text", "hit_spans", "hit_items"], HITS, lambda: step)
+    return out.select(*(F.col(f"`own {c}`").alias(c) for c in kept), *HITS.names)
 
 
 def joined(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -225,8 +243,9 @@ def contaminated(share: int = SHARE) -> Column:
 
 def remove_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents that aren't contaminated, with the columns of docs."""
-    marked = match_column(docs, items)
-    return marked.where(~contaminated()).select(*docs.columns)
+    own = {c: f"own {c}" if c.lower() in HITS.names else c for c in docs.columns}
+    marked = match_column(docs.withColumnsRenamed(own), items)
+    return marked.where(~contaminated()).select(*(F.col(f"`{name}`").alias(c) for c, name in own.items()))
 
 
 def cut_spans(docs: DataFrame, items: DataFrame, longest: int = 50) -> DataFrame:

@@ -214,6 +214,17 @@ def test_decontaminate_query_and_blocks(spark, docs_of, folder):
     assert decontaminate.match_column(docs_of(texts), bench.limit(0)).where("size(hit_spans) > 0").count() == 0
 
 
+def test_decontaminate_ids_and_clashing_names(spark, docs_of):
+    """An id that is empty is an id; none is not listed. The same in one block and in several."""
+    texts = [" ".join(f"w{i}" for i in range(20)), " ".join(f"v{i}" for i in range(20)), "x"]
+    bench = spark.createDataFrame([("", texts[0]), (None, texts[1])], "item_id string, text string")
+    docs = docs_of(texts).selectExpr("*", "'mine' AS N_words", "3 AS row")
+    for size in (decontaminate.BLOCK_WORDS, 15):
+        out = decontaminate.match_column(docs, bench, block_words=size)
+        assert out.columns == [c for c in docs.columns if c != "N_words"] + ["n_words", "hit_spans", "hit_items"]
+        assert {r["doc_id"]: (r["n_words"], r["hit_items"], len(r["hit_spans"]), r["row"]) for r in out.collect()} == {0: (20, [""], 1, 3), 1: (20, [], 1, 3), 2: (1, [], 0, 3)}
+
+
 def test_cut_and_remove(spark, docs_of):
     item = " ".join(f"w{i}" for i in range(20))
     bench = spark.createDataFrame([(1, item)], "item_id long, text string")
