@@ -153,8 +153,8 @@ def band_keys() -> Column:
 
 
 def band_rows(sets: DataFrame) -> DataFrame:
-    """(id, band) for each band of each set's registers."""
-    return sets.select("id", F.explode(band_keys()).alias("band"))
+    """(id, at, band) for each band of each set's registers; at is its number."""
+    return sets.select("id", F.posexplode(band_keys()).alias("at", "band"))
 
 
 def agreeing(a: str, b: str) -> Column:
@@ -186,11 +186,9 @@ def comparable(n: str, m: str, common_a: str, common_b: str, a: str, b: str) ->
     return sizes & enough & (agreeing(a, b) >= AGREE)
 
 
-def prefixes(texts: DataFrame, scratch: list[str]) -> DataFrame:
-    """(id, common, prefix): of texts (id, text), how many shingles another of them has too, and the
-    rarest of those. Two sets of which each has three quarters in common with the other share one of
-    the rarest n - 0.75 n + 1 shingles of both, in one order of all; those that no other has are the
-    first of them, and can't be shared. Sets with nothing else there are left out."""
+def unique_shingles(texts: DataFrame) -> DataFrame:
+    """(id, unique): of texts (id, text), how many shingles no other of them has. Texts without such
+    shingles are left out. Counted before the shuffle, so common shingles are no load."""
 
     def start():
         hashes = WordHashes()
@@ -202,13 +200,9 @@ def prefixes(texts: DataFrame, scratch: list[str]) -> DataFrame:
 
         return step
 
-    each = written(rows_from(texts, ["id", "text"], T.StructType([T.StructField(c, T.LongType()) for c in ("id", "shingle")]), start), scratch)
-    often = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
-    own = each.join(often, "shingle").groupBy("id").agg(F.count(F.lit(1)).alias("common"), F.sort_array(F.collect_list(F.struct("often", "shingle"))).alias("own"))
-    n = each.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
-    room = F.col("n") - F.ceil(F.col("n") * SHARE[0] / SHARE[1]) + 1 - (F.col("n") - F.col("common"))
-    kept = own.join(n, "id").withColumn("room", room.cast("int")).where("room > 0")
-    return kept.select("id", "common", F.slice("own.shingle", F.lit(1), F.col("room")).alias("prefix"))
+    each = rows_from(texts, ["id", "text"], T.StructType([T.StructField(c, T.LongType()) for c in ("id", "shingle")]), start)
+    alone = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id")).where("n = 1")
+    return alone.groupBy("id").agg(F.count(F.lit(1)).alias("unique"))
 
 
 def bit_maps(texts: DataFrame) -> DataFrame:
@@ -236,7 +230,7 @@ def labelled(rows: DataFrame, grouped: DataFrame) -> DataFrame:
 
 
 def open_rows(members: DataFrame, grouped: DataFrame, scratch: list[str]) -> DataFrame:
-    """(id, band, component, members) of the bands whose sets are still in several components."""
+    """(id, band, at, component, members) of the bands whose sets are still in several components."""
     rows = labelled(members, grouped)
     bands = rows.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("members"))
     return rows.join(written(bands.where("low <> high").select("band", "members"), scratch), "band")
@@ -288,21 +282,23 @@ def linked(pairs: DataFrame, texts: DataFrame, share: tuple[int, int] = SHARE) -
     return rows_from(both, ["a", "b", "ta", "tb"], T.StructType([T.StructField(c, T.LongType()) for c in "ab"]), start)
 
 
-def last_pairs(facts: DataFrame, grouped: DataFrame, scratch: list[str]) -> DataFrame:
-    """The pairs (a, b) of different components that share one of their rarest shingles and whose
-    sizes, common shingles and first registers allow the similarity.
+def last_pairs(rest: DataFrame, scratch: list[str]) -> DataFrame:
+    """The pairs (a, b) of different components that share a bucket and whose sizes, common
+    shingles, first registers and maps allow the similarity, each once.
 
     In each bucket, the sets of its largest component are met by the others only, never by one
-    another, so a large group that is joined already costs nothing but its outsiders."""
-    rows = written(labelled(facts.select("id", "n_shingles", "common", "quick", F.explode("prefix").alias("shingle")), grouped), scratch)
-    each = rows.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("n"))
-    several = each.groupBy("shingle").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("components"))
-    rows = rows.join(written(several.where("components > 1").select("shingle", "main"), scratch), "shingle").withColumn("main", F.col("main") == F.col("component"))
+    another: a large group that is joined already costs nothing but its outsiders."""
+    columns = ["id", "component", "n_shingles", "common", "quick", "keys", "bits"]
+    each = rest.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
+    largest = written(each.groupBy("band").agg(F.max_by("component", F.struct("n", "component")).alias("largest")), scratch)
+    rows = rest.select("band", "at", *columns).join(largest, "band").withColumn("main", F.col("largest") == F.col("component")).drop("largest")
     rows = written(rows, scratch)
-    left = rows.where("NOT main").drop("main").toDF("shingle", *(f"{c}_a" for c in ("id", "n", "common", "quick", "component")))
-    right = rows.select("shingle", "id", "n_shingles", "common", "quick", "component", "main").toDF("shingle", *(f"{c}_b" for c in ("id", "n", "common", "quick", "component")), "main")
-    near = F.expr("component_a <> component_b AND (main OR id_a < id_b)") & comparable("n_a", "n_b", "common_a", "common_b", "quick_a", "quick_b")
-    return left.join(right, "shingle").where(near).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+    left = rows.where("NOT main").drop("main").toDF("band", "at", *(f"{c}_a" for c in columns))
+    right = rows.drop("at").toDF("band", *(f"{c}_b" for c in columns), "main")
+    earlier = F.exists(F.zip_with(F.slice("keys_a", F.lit(1), F.col("at")), F.slice("keys_b", F.lit(1), F.col("at")), lambda x, y: x == y), lambda x: x)
+    near = comparable("n_shingles_a", "n_shingles_b", "common_a", "common_b", "quick_a", "quick_b") & can_share("n_shingles_a", "n_shingles_b", "bits_a", "bits_b")
+    both = left.join(right, (left["band"] == right["band"]) & F.expr("component_a <> component_b AND (main OR id_a < id_b)") & near & ~earlier)
+    return both.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -317,8 +313,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     band, every class is compared with the first of its bucket; the links found give components.
     Buckets whose classes are still in several components are dealt into small groups, each with
     its own leader, and so joined further: groups of near copies grow together in this way with
-    few comparisons for each member. Of what is left in several components, those that share one
-    of their rarest shingles are compared, which no similar pair fails to do.
+    few comparisons for each member. What is left in several components is compared in pairs, if
+    sizes, shingles that others have too, first registers and maps of shingles allow it. So each
+    pair that shares a band is compared or already joined.
 
     All steps are stored; what only they need is deleted at the end.
     """
@@ -340,14 +337,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     first = members.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
     links = written(linked(likely(first, sets), texts), scratch)
-    members, grouped = members.select("id", "band"), components(links, scratch)
+    members, grouped = members.select("id", "band", "at"), components(links, scratch)
     # The only sets that can still have links are those of open buckets, and only with one another.
     left_over = open_rows(members, grouped, scratch).select("id").distinct()
     left_over = written(texts.join(written(left_over, scratch), "id", "left_semi"), scratch)
-    facts = sets.select("id", "n_shingles", "quick").join(prefixes(left_over, scratch), "id")
-    facts = written(facts, scratch)
+    facts = sets.select("id", "n_shingles", "quick", F.transform(band_keys(), lambda k: F.pmod(k, F.lit(1 << 31)).cast("int")).alias("keys"))
+    facts = facts.join(bit_maps(left_over), "id").join(unique_shingles(left_over), "id", "left")
+    facts = facts.withColumn("common", F.col("n_shingles") - F.coalesce("unique", F.lit(0))).drop("unique")
+    facts = written(facts.where(F.col("common") * SHARE[1] >= F.col("n_shingles") * SHARE[0]), scratch)
     for turn in range(1, TURNS + 1 if not facts.isEmpty() else 1):
-        rest = open_rows(members, grouped, scratch).join(facts.drop("prefix"), "id")
+        rest = open_rows(members, grouped, scratch).join(facts.drop("keys", "bits"), "id")
         group = F.pmod(F.xxhash64("id", F.lit(turn)), F.greatest(F.lit(1), F.floor(F.col("members") / GROUP).cast("int")))
         rest = written(rest.withColumn("part", group), scratch)
         leaders = rest.groupBy("band", "part").agg(F.min(F.struct("id", "component", "n_shingles", "common", "quick")).alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -356,11 +355,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         pairs = found.select("a", F.col("id").alias("b")).distinct()
         links = links.unionAll(written(linked(likely(pairs, sets), left_over), scratch))
         grouped = components(links, scratch)
-    pairs = written(last_pairs(facts, grouped, scratch), scratch)
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    maps = written(bit_maps(left_over.join(asked, "id", "left_semi")).join(facts.select("id", "n_shingles"), "id"), scratch)
-    both = pairs.join(maps.toDF("a", "bits_a", "n"), "a").join(maps.toDF("b", "bits_b", "m"), "b")
-    pairs = both.where(can_share("n", "m", "bits_a", "bits_b")).select("a", "b")
+    rest = written(open_rows(members, grouped, scratch).join(facts, "id"), scratch)
+    pairs = last_pairs(rest, scratch)
     final = components(links.unionAll(linked(likely(pairs, sets), left_over)), scratch)
 
     classes = labelled(sets.select("id", "set_key", F.col("row.doc_id").alias("least")), final)

@@ -115,23 +115,9 @@ def test_maps_never_rule_out_similar_sets(spark):
     assert len(got) == 120 and all(got[a] for a in similar) and not all(got.values())
 
 
-def test_prefixes(spark):
-    texts = [(1, "a b c d e f"), (2, "a b c d e g h"), (3, "a b c d e"), (4, None), (5, "p q")]
-    got = {r["id"]: (r["common"], len(r["prefix"])) for r in near_dedup.prefixes(spark.createDataFrame(texts, "id long, text string"), []).collect()}
-    assert got == {3: (1, 1)}  # 1 and 2 have more shingles of their own than similar sets can
-    rnd = random.Random(9)
-    texts = [(i, t) for i, t in enumerate(corpus(9, 80))]
-    found = {r["id"]: set(r["prefix"]) for r in near_dedup.prefixes(spark.createDataFrame(texts, "id long, text string"), []).collect()}
-    hashes = near_dedup.WordHashes()
-    sets = {i: near_dedup.shingles(t, hashes) for i, t in texts}
-    similar = 0
-    for a in sets:
-        for b in range(a):
-            n = len(np.intersect1d(sets[a], sets[b]))
-            if n and 100 * n >= 75 * (len(sets[a]) + len(sets[b]) - n):
-                similar += 1
-                assert found[a] & found[b]
-    assert similar > 10 and rnd
+def test_unique_shingles(spark):
+    texts = spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e g h"), (3, "a b c d e"), (4, None), (5, "p q"), (6, "r s")], "id long, text string")
+    assert {r["id"]: r["unique"] for r in near_dedup.unique_shingles(texts).collect()} == {1: 1, 2: 2, 5: 1, 6: 1}
 
 
 def by_rows(rows):
