@@ -13,7 +13,6 @@ import hashlib
 import re
 import unicodedata
 from collections.abc import Callable
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,11 +20,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import table, with_columns
+from .common import kept, table, with_columns
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Pieces, and words, whose ids a worker remembers, twice over at most; longer ones it doesn't.
-PIECES, WORDS, LONG = 160_000, 100_000, 64
+PIECES, WORDS, LONG = 80_000, 60_000, 64
 NONE = 1 << 62
 SHIFT, LOW = 32, 0xFFFFFFFF  # a tree's value is rank << SHIFT | position
 
@@ -173,19 +172,21 @@ class Encoder:
         return np.frombuffer(b"".join([self.plain(first), *map(self.words.__getitem__, words)]), "<i4")
 
 
-@lru_cache(maxsize=2)
 def encoder_of(path: str, pattern: str) -> Encoder:
-    """One for each Python worker, which serves many tasks."""
-    return Encoder(load_ranks(path), pattern)
+    """One for each Python worker, for all its tasks of a stage."""
+    return kept(("encoder", path, pattern), lambda: Encoder(load_ranks(path), pattern))
 
 
-@lru_cache(maxsize=2)
-def tokens_of(path: str) -> pa.Array:
-    """Each token's bytes at the place of its id."""
+def _tokens(path: str) -> pa.Array:
     tokens = {rank: token for token, rank in load_ranks(path).items()}
     return pa.array([tokens.get(i) for i in range(max(tokens) + 1)], pa.binary())
 
 
+def tokens_of(path: str) -> pa.Array:
+    """Each token's bytes at the place of its id; for a worker's tasks of a stage."""
+    return kept(("tokens", path), lambda: _tokens(path))
+
+
 def joined(ids: pa.Array, tokens: pa.Array) -> pa.Array:
     """The bytes of each list of ids. The tokens of all lists are put end to end at once; a row is
     what lies between its first and its last."""

@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -78,6 +79,26 @@ def _parts(batch: pa.RecordBatch, rows: int = 1000, size: int = 4 << 20) -> Iter
         yield batch.slice(at, each)
 
 
+#: What this Python worker keeps from task to task of one stage, and that stage.
+_KEPT: dict = {}
+_STAGE: list = [None]
+
+
+def _same_stage() -> None:
+    """Forgets what was kept when the worker's stage is another than before: workers outlive stages."""
+    stage = TaskContext.get().stageId() if TaskContext.get() else None
+    if stage != _STAGE[0]:
+        _KEPT.clear()
+        _STAGE[0] = stage
+
+
+def kept(name: tuple, make: Callable):
+    """make(), once for each worker and stage."""
+    if name not in _KEPT:
+        _KEPT[name] = make()
+    return _KEPT[name]
+
+
 def _give_back() -> None:
     """Returns freed memory to the system when a task ends: workers stay alive for later tasks."""
     pa.default_memory_pool().release_unused()
@@ -100,6 +121,7 @@ def with_columns(df: DataFrame, reads: list[str], fields: T.StructType, start: C
     need = {c: read_at[c.lower()] for c in reads}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _same_stage()
         step = start()
         for batch in batches:
             for part in _parts(batch):
@@ -118,6 +140,7 @@ def rows_from(df: DataFrame, reads: list[str], fields: T.StructType, start: Call
     kinds = [(f.name, to_arrow_type(f.dataType)) for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _same_stage()
         step = start()
         for batch in batches:
             for part in _parts(batch):

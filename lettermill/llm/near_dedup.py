@@ -37,7 +37,7 @@ BITS = 4096
 #: and each group is compared with its smallest.
 GROUP, TURNS = 8, 2
 #: Word hashes that a task remembers.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 
 P1, P2, P3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 

@@ -181,7 +181,7 @@ def estimate(counts: dict[str, int], rounds: int = 200) -> Estimate:
 class Buckets(dict):
     def __missing__(self, token: str) -> int:
         found = xxhash.xxh3_64_intdigest(token) & (BUCKETS - 1)
-        if len(self) < 300_000:
+        if len(self) < 100_000:
             self[token] = found
         return found
 
