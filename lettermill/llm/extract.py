@@ -8,6 +8,7 @@ the conditional likelihood (forward-backward); pages are decoded by Viterbi.
 from __future__ import annotations
 
 import random
+import re
 from collections.abc import Iterable, Sequence
 from functools import lru_cache
 
@@ -22,8 +23,7 @@ from .html_blocks import Block, blocks
 
 SIZE = 1 << 13  # hashed features
 LABELLED_PAGES = 400  # most pages to fit on
-#: Parts of names that say something about what they hold: a fixed list, so that a site's own names don't count.
-HINTS = tuple("nav menu head foot side bar ad ads advert sponsor promo banner cookie consent notice alert popup modal comment repl respon discuss share social related recommend more widget form login search subscribe newsletter signup bread crumb tag meta byline author date copyright legal content article post entry main body story text page title pagination skip disclaimer".split())
+DIGIT = re.compile(r"\d")
 
 
 @lru_cache(maxsize=200_000)
@@ -31,18 +31,6 @@ def _bucket(feature: str) -> int:
     return xxhash.xxh3_64_intdigest(feature) & (SIZE - 1)
 
 
-@lru_cache(maxsize=50_000)
-def _above(path: frozenset[str]) -> tuple[str, ...]:
-    out = set()
-    for name in path:
-        if name.startswith("tag:"):
-            out.add(name)
-        else:
-            part = name[5:]
-            out.update(f"hint:{h}" for h in HINTS if part == h or len(h) > 3 and h in part or part in (h + "s",))
-    return tuple(sorted(out))
-
-
 def _scale(x: float, steps: Sequence[float]) -> int:
     return sum(x > s for s in steps)
 
@@ -51,12 +39,12 @@ def block_features(all_blocks: Sequence[Block], i: int) -> list[str]:
     b = all_blocks[i]
     n = len(b.text)
     words = b.text.count(" ") + 1
-    above = _above(b.path)
+    above = sorted(b.element.above)
     links = _scale(b.linked / n, (0.05, 0.3, 0.8))
     size = _scale(words, (1, 3, 8, 20, 60))
     out = [*above, f"own:{b.tag}", f"words:{size}", f"links:{links}", f"words-links:{size}{links}", f"end:{b.text[-1] in '.!?…'}", f"mark:{b.text[0] in '©®™'}"]
     out += [f"{a}|{size > 2}" for a in above]
-    out.append(f"digits:{_scale(sum(map(str.isdigit, b.text[:400])) / min(n, 400), (0.05, 0.3))}")
+    out.append(f"digits:{_scale(len(DIGIT.findall(b.text)) / n, (0.05, 0.3))}")
     out.append(f"place:{_scale(i / len(all_blocks), (0.1, 0.3, 0.7, 0.9))}")
     return out
 
@@ -136,7 +124,7 @@ def label(all_blocks: Sequence[Block], main: Iterable[str]) -> list[bool]:
     wanted: dict[str, int] = {}
     for line in main:
         wanted[line] = wanted.get(line, 0) + 1
-    order = sorted(range(len(all_blocks)), key=lambda i: (not {"tag:article", "tag:main"} & all_blocks[i].path, i))
+    order = sorted(range(len(all_blocks)), key=lambda i: (not {"tag:article", "tag:main"} & all_blocks[i].element.above, i))
     out = [False] * len(all_blocks)
     for i in order:
         if wanted.get(all_blocks[i].text, 0):

@@ -35,6 +35,22 @@ def test_blocks_of_odd_pages_take_linear_time():
     assert blocks("x" + "<" * 20_000)[0].text.startswith("x")
 
 
+def test_blocks_keep_all_names_and_levels():
+    """Nothing is cut: names and tags count however many there are, and however deep the text is."""
+    deep = "<nav class=sidebar>" + "".join(f"<div class=n{chr(97 + i % 26)}{chr(97 + i // 26)}>" for i in range(400)) + "<span>" * 30 + "x"
+    (block,) = blocks(deep)
+    assert {"tag:nav", "hint:nav", "hint:side"} - block.element.above == {"hint:nav"} and block.tag == "div"
+    assert "name:sidebar" in block.path and len(block.path) > 400
+    assert "hint:side" in blocks(f"<div class='{' '.join('u' + chr(97 + i) * 3 for i in range(26))} sidebar'>x</div>")[0].element.above
+    assert texts("a&am<b>p;lt;</b> x &lt;<i>b</i>&gt;") == ["a&amp;lt; x <b>"] or texts("a&am<b>p;lt;</b> x") == ["a&amp;lt; x"] or texts("a&am<b>p;</b>") == ["a&amp;"]
+
+
+def test_digits_of_the_whole_block():
+    features = lambda text: extract.block_features(blocks(f"<p>{text}</p>"), 0)
+    assert "digits:2" in features("word " * 100 + "1234567890 " * 100)
+    assert "digits:0" in features("1234567890 " * 20 + "word " * 2000)
+
+
 def test_viterbi_is_the_best_of_all_paths():
     random = np.random.default_rng(1)
     for _ in range(30):
