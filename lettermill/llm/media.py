@@ -10,19 +10,20 @@ from __future__ import annotations
 
 import hashlib
 import struct
+import zlib
 from collections.abc import Iterator
 from itertools import repeat
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table, text_of, with_columns
+from .common import table, with_columns
 
 FRAME = 192
 GROUP = 8  # frames in a chunk; the first of each is a keyframe
 SCALE = 25
 #: Fixed values of the format: boxes that hold boxes.
+DEEPEST = 32
 HOLDERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"udta"}
 UNITY = struct.pack(">9I", 0x10000, 0, 0, 0, 0x10000, 0, 0, 0, 0x40000000)
 
@@ -100,11 +101,22 @@ def boxes(data: bytes, start: int = 0, end: int | None = None) -> Iterator[tuple
         start = stop
 
 
-def walk(data: bytes, start: int = 0, end: int | None = None, path: tuple = ()) -> Iterator[tuple[tuple, int, int]]:
-    for kind, a, b in boxes(data, start, end):
+def walk(data: bytes, start: int = 0, end: int | None = None) -> Iterator[tuple[tuple, int, int]]:
+    """(path, start, end) of each box and of those inside it, in order. Boxes nested deeper than
+    DEEPEST, which no format asks for, are an error."""
+    levels = [((), boxes(data, start, end))]
+    while levels:
+        path, own = levels[-1]
+        found = next(own, None)
+        if found is None:
+            levels.pop()
+            continue
+        kind, a, b = found
         yield (*path, kind), a, b
         if kind in HOLDERS:
-            yield from walk(data, a, b, (*path, kind))
+            if len(levels) == DEEPEST:
+                raise ValueError(f"boxes are nested deeper than {DEEPEST}")
+            levels.append(((*path, kind), boxes(data, a, b)))
 
 
 def _numbers(data: bytes, at: int, end: int, width: str, columns: int = 1) -> list:
@@ -142,6 +154,8 @@ class Track:
                 self.runs = _numbers(data, at, b, "I", 3)
             elif kind == b"stsz":
                 (one, n) = struct.unpack_from(">II", data, at)
+                if one * n > len(data):
+                    raise ValueError("there are more samples than bytes")
                 self.sizes = list(repeat(one, n)) if one else _numbers(data, at + 4, b, "I")
             elif kind in (b"stco", b"co64"):
                 self.chunks = _numbers(data, at, b, "I" if kind == b"stco" else "Q")
@@ -152,6 +166,8 @@ class Track:
         sample = 0
         for k, (first, per, _) in enumerate(self.runs):
             until = self.runs[k + 1][0] if k + 1 < len(self.runs) else len(self.chunks) + 1
+            if not 0 < first <= until <= len(self.chunks) + 1:
+                raise ValueError(f"a run of chunks from {first} to {until}")
             for chunk in range(first, until):
                 at = self.chunks[chunk - 1]
                 for size in self.sizes[sample : sample + per]:
@@ -211,26 +227,43 @@ def unpack_column(df: DataFrame, media: str = "media", out: str = "payload") ->
     return with_columns(df, [media], field, lambda: lambda rows: {out: [read_samples(x) if x else None for x in rows[media]]})
 
 
+DIGESTS = T.StructType([
+    T.StructField("n_bytes", T.LongType()),
+    T.StructField("payload_bytes", T.LongType()),
+    T.StructField("payload_sha256", T.StringType()),
+    T.StructField("tail_crc32", T.LongType()),
+    T.StructField("media_bytes", T.LongType()),
+    T.StructField("media_sha256", T.StringType()),
+    T.StructField("feature", T.StringType()),
+])
+
+
+def digest(raw: bytes) -> tuple:
+    """Of a payload that is stored as a container, probed, and read back from it."""
+    stored = pack(pad(raw))
+    found, back = info(stored), read_samples(stored)
+    keys = ",".join(f"{k['offset']}+{k['length']}" for k in found["keyframes"])
+    feature = f"{found['codec'].strip()};{found['duration']}/{found['timescale']};keyframes={len(found['keyframes'])};ranges={hashlib.md5(keys.encode()).hexdigest()}"
+    return len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), feature
+
+
+def digests(docs: DataFrame) -> DataFrame:
+    """doc_id and digests of each row's text as media, in one pass through Python: containers don't
+    go through the JVM. Null and empty texts are one frame of spaces."""
+
+    def step(rows):
+        found = [digest((text or "").encode()) for text in rows["text"]]
+        return {name: [row[i] for row in found] for i, name in enumerate(DIGESTS.names)}
+
+    return with_columns(docs.select("doc_id", "text"), ["text"], DIGESTS, lambda: step, without=["text"])
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", text_of().cast("binary").alias("raw"))
-    stored = pack_column(docs, "raw").select("doc_id", F.octet_length("raw").cast("long").alias("n_bytes"), "media")
-    back = unpack_column(probe_column(stored), out="payload")
-    keys = F.col("media_info.keyframes")
-    feature = F.concat_ws(
-        ";", F.trim(F.col("media_info.codec")), F.concat(F.col("media_info.duration"), F.lit("/"), F.col("media_info.timescale")), F.concat(F.lit("keyframes="), F.size(keys)),
-        F.concat(F.lit("ranges="), F.md5(F.to_json(keys))),
-    )
-    return back.select(
-        "doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
-        F.crc32(F.expr("substring(payload, octet_length(payload) - 15, 16)")).alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"),
-        F.sha2("media", 256).alias("media_sha256"), feature.alias("feature"),
-    )
+    return digests(table(spark, sf_dir, "documents"))
 
 
 def brute(text: str | None) -> tuple:
     """What the query gives for a text, without a container's tables: for tests."""
-    import zlib
-
     raw = (text or "").encode()
     payload = raw + b" " * (-len(raw) % FRAME if raw else FRAME)
     return len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:])

@@ -33,6 +33,31 @@ def test_sharding_empty_table(docs_of):
     assert sharding.shard_table(docs_of([]), slots=64).count() == 0
 
 
+def test_sharding_on_a_stored_map(spark, docs_of, tmp_path):
+    """The latest map is edited, versions are added, and few rows move."""
+    path = f"file://{tmp_path}/map"
+    texts = ["x" * (i * 37 % 500) for i in range(600)]
+    place = lambda docs, shards: {r["doc_id"]: r["shard"] for r in sharding.shard_table(docs, shards=shards, slots=256, path=path).collect()}
+    assert sharding.latest_version(spark, path) is None
+    first = place(docs_of(texts), 8)
+    assert sharding.latest_version(spark, path) == 1
+    assert place(docs_of(texts), 8) == first and sharding.latest_version(spark, path) == 1
+    more = place(docs_of(texts + ["y" * 50] * 20), 8)
+    assert sharding.latest_version(spark, path) == 2 and sum(more[i] != first[i] for i in first) < 300
+    assert set(place(docs_of(texts), 9).values()) == set(range(9))
+    assert set(place(docs_of(texts), 5).values()) == set(range(5))
+
+
+def test_sharding_query_and_a_hot_row(spark, docs_of, folder):
+    rows = sharding.query(spark, folder(documents=docs_of([(1, "same")] * 300 + [(i, "t" * i) for i in range(2, 200)]))).collect()
+    places, load = {}, [0] * 16
+    for r in rows:
+        places.setdefault(r["shard"], []).append(r["slot"])
+        load[r["shard"]] += r["size"]
+        assert r["law"] == "bytes" and r["grown_shard"] is None
+    assert len(rows) == 498 and all(sorted(p) == list(range(len(p))) for p in places.values())
+
+
 def test_rebalance_edits_few_slots_and_fills_new_shard():
     random.seed(3)
     sizes = {s: random.randrange(1, 1000) for s in range(256)}
@@ -99,6 +124,25 @@ def test_media_other_layouts():
     assert media.tracks(far + stored)[0].codec == "raw "
 
 
+def test_media_hostile_containers():
+    """Anything gives null or a result, in bounded time and memory."""
+    nested = b""
+    for _ in range(3000):
+        nested = media.box(b"moov", nested)
+    assert media.info(nested) is None
+    stored = media.pack(media.pad(b"a" * 3000))
+    at = stored.index(b"stsz") + 8
+    assert media.info(stored[:at] + struct.pack(">II", 1, (1 << 32) - 1) + stored[at + 8 :]) is None
+    at = stored.index(b"stsc") + 12
+    assert media.info(stored[:at] + struct.pack(">I", 0) + stored[at + 4 :]) is None
+    random.seed(8)
+    for _ in range(3000):
+        raw = bytearray(stored[:900])
+        for _ in range(random.randrange(1, 5)):
+            raw[random.randrange(len(raw))] = random.randrange(256)
+        media.info(bytes(raw + stored[900:])[: random.choice((len(stored), random.randrange(900)))])
+
+
 def test_media_query(spark, docs_of, folder):
     texts = [None, "", "abc", "é" * 500, "x" * 192, "abc"]
     rows = media.query(spark, folder(documents=docs_of(texts))).collect()
