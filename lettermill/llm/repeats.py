@@ -11,12 +11,16 @@ task sees the whole corpus, so suffixes are sorted only where they can matter:
 * Cores with equal margins are one class. A class at several places is repeated as far as it
   reaches. Classes with equal cores and different margins are compared by suffix sorting: the
   suffixes that begin at the core, and the reversed ones that end before it, in deep-shallow order.
+* Where very many classes have one core, the core grows first: a shared window has half of the
+  bytes that it still lacks on the left or half on the right, so each class goes to a group for
+  either, and so on until groups are small, or their core is a whole window.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +37,7 @@ LENGTH = 200
 GRAM = 32
 MARGIN = (LENGTH - GRAM) // 2
 CORE = GRAM + MARGIN
+MANY = 256  # classes of one core beyond which the core grows
 AT_ONCE = 1 << 22  # grams whose anchors are found together; below 2**PLACE_BITS
 PLACE_BITS = 24
 
@@ -197,27 +202,57 @@ def reach(lefts: list[bytes], rights: list[bytes]) -> list[tuple[int, int]]:
             if best >= CORE:
                 tell(i, depth, best)
 
-    def under(node: Node) -> list[int]:
-        if node.members is not None:
-            own = list(node.members)
-        else:
-            own = [i for child in node.children.values() for i in under(child)]
+    stack, done = [blind_trie(lefts, order)], []
+    while stack:  # forks come before what is below them
+        node = stack.pop()
+        done.append(node)
+        stack += node.children.values()
+    members: dict[int, list[int]] = {}
+    for node in reversed(done):
+        own = list(node.members or ()) + [i for child in node.children.values() for i in members.pop(id(child))]
+        members[id(node)] = own
         if len(own) > 1:
             settle(own, node.depth)
-        return own
-
-    under(blind_trie(lefts, order))
     return out
 
 
 REACH = _schema(core=T.LongType(), margins=T.LongType(), low=T.IntegerType(), high=T.IntegerType())
 
 
-def compared(around: DataFrame) -> DataFrame:
-    """(core, margins, low, high): which bytes from the core's place on are repeated.
-
-    Rows of a core come together by a shuffle and a sort within partitions; a task holds those of
-    one core at a time.
+def grown(rows: DataFrame) -> DataFrame:
+    """rows of groups whose core is to grow, once for either side that has the bytes."""
+    half = F.ceil((MARGIN - F.col("a") - F.col("b")) / 2).cast("int")
+    sides = F.array(F.struct((F.col("a") + half).alias("a"), F.col("b").alias("b")), F.struct(F.col("a").alias("a"), (F.col("b") + half).alias("b")))
+    out = rows.select("core", "margins", "left", "right", F.explode(sides).alias("side")).select("core", "margins", "left", "right", "side.*")
+    out = out.where((F.octet_length("left") >= F.col("a")) & (F.octet_length("right") >= CORE + F.col("b")))
+    return out.withColumn("group", F.xxhash64("core", "a", "b", F.substring("left", F.lit(1), F.col("a")), F.substring("right", F.lit(CORE + 1), F.col("b"))))
+
+
+def marked(around: DataFrame, many: int = MANY) -> DataFrame:
+    """(core, margins, low, high): which bytes from the core's place on are repeated, of classes
+    with one core. Every group that is sorted has at most `many` classes."""
+    rows = around.select("*", F.lit(0).alias("a"), F.lit(0).alias("b"), F.col("core").alias("group"))
+    found = []
+    while True:
+        rows = written(rows)
+        sizes = rows.groupBy("group").agg(F.count(F.lit(1)).alias("n"))
+        small = written(sizes.where(F.col("n").between(2, many)).select("group"))
+        found.append(compared(rows.join(small, "group")))
+        large = written(sizes.where(F.col("n") > many).select("group"))
+        if large.isEmpty():
+            return reduce(DataFrame.unionAll, found)
+        rows = rows.join(large, "group")
+        whole = F.col("a") + F.col("b") == MARGIN
+        if rows.where(whole).limit(1).count():  # all of such a group share a whole window
+            found.append(rows.where(whole).select("core", "margins", (-F.col("a")).alias("low"), (F.col("b") + CORE).alias("high")))
+        rows = grown(rows.where(~whole))
+
+
+def compared(grouped: DataFrame) -> DataFrame:
+    """(core, margins, low, high): which bytes from the core's place on are repeated within a group.
+
+    Rows of a group come together by a shuffle and a sort within partitions; a task holds those of
+    one group at a time.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,7 +261,7 @@ def compared(around: DataFrame) -> DataFrame:
 
         def close() -> None:
             if len(group) > 1:
-                for (core, margins, *_), (left, right) in zip(group, reach([g[2] for g in group], [g[3] for g in group]), strict=True):
+                for (_, core, margins, *_), (left, right) in zip(group, reach([g[3] for g in group], [g[4] for g in group]), strict=True):
                     if right:
                         out.append((core, margins, -left, right))
             group.clear()
@@ -237,7 +272,7 @@ def compared(around: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=REACH.names)
 
         for part in batches:
-            for row in zip(*(part.column(name).to_pylist() for name in AROUND.names), strict=True):
+            for row in zip(*(part.column(name).to_pylist() for name in ("group", *AROUND.names)), strict=True):
                 if group and group[0][0] != row[0]:
                     close()
                 group.append(row)
@@ -247,7 +282,7 @@ def compared(around: DataFrame) -> DataFrame:
         close()
         yield batch()
 
-    return around.repartition("core").sortWithinPartitions("core").mapInArrow(run, REACH)
+    return grouped.select("group", *AROUND.names).repartition("group").sortWithinPartitions("group").mapInArrow(run, REACH)
 
 
 RESULT = _schema(row=T.LongType(), n_removed=T.LongType(), n_spans=T.LongType(), kept_sha256=T.StringType(), spans=T.ArrayType(_schema(start=T.IntegerType(), end=T.IntegerType())))
@@ -283,7 +318,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     classes = written(classes)
     several = classes.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core")
     wanted = classes.join(several, "core").groupBy("row").agg(F.collect_list(F.struct("core", "margins", "place")).alias("wanted"))
-    found = compared(around_rows(texts.select("row", "text").join(wanted, "row")))
+    found = marked(around_rows(texts.select("row", "text").join(wanted, "row")))
     whole = classes.where("low <> high").select("core", "margins", F.lit(-MARGIN).alias("low"), F.lit(LENGTH).alias("high"))
     marks = found.unionAll(whole)
     spans = cores.join(marks, ["core", "margins"])

@@ -91,3 +91,23 @@ def test_many_classes_of_one_core():
         shared = [d for d in range(85) if len(seen[d, whole[d : d + 200]]) > 1]
         want = (84 - min(shared), max(shared) + 200 - 84) if shared else (0, 0)
         assert got[i] == want
+
+
+def test_very_many_surroundings_of_one_core(spark, docs_of, monkeypatch):
+    """One passage in all texts, some of which share more around it: groups grow until they are small."""
+    monkeypatch.setattr(repeats.marked, "__defaults__", (6,))
+    rnd = random.Random(12)
+    some = lambda k: "".join(rnd.choice("abcdefgh ") for _ in range(k))
+    passage, lefts, rights = some(150), [some(90) for _ in range(5)], [some(90) for _ in range(5)]
+    texts = [some(rnd.randrange(30, 60)) + rnd.choice(lefts)[-rnd.randrange(1, 80) :] + passage + rnd.choice(rights)[: rnd.randrange(1, 80)] + some(rnd.randrange(30, 60)) for _ in range(90)]
+    texts += [some(95) + passage + some(95) for _ in range(60)] + [some(20) + lefts[0] + passage + some(40) for _ in range(20)]
+    got = {r["doc_id"]: r for r in repeats.repeats(docs_of(texts)).collect()}
+    for i, w in enumerate(repeats.brute([t.encode() for t in texts])):
+        assert (got[i]["n_removed"], got[i]["n_spans"], got[i]["kept_sha256"]) == w, i
+
+
+def test_query(spark, docs_of, folder):
+    texts = corpus(9, 20) + [None, ""]
+    got = {r["doc_id"]: r for r in repeats.query(spark, folder(documents=docs_of(texts))).collect()}
+    for i, w in enumerate(repeats.brute([(t or "").encode() for t in texts])):
+        assert (got[i]["n_removed"], got[i]["n_spans"], got[i]["kept_sha256"]) == w, i
