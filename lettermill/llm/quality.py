@@ -310,8 +310,11 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the classifier doesn't reject, with the columns of docs."""
     taken = {c.lower() for c in (*VOTED.names, *SCORE.names, "text_key")}
     own = {c: f"own {c}" if c.lower() in taken else c for c in docs.columns}
-    judged, _ = classify(docs.withColumnsRenamed(own), labels)
-    return judged.where("kept").select(*(F.col(f"`{name}`").alias(c) for c, name in own.items()))
+    scratch: list[str] = []
+    judged, _ = classify(docs.withColumnsRenamed(own), labels, scratch=scratch)
+    out = written(judged.where("kept").select(*(F.col(f"`{name}`").alias(c) for c, name in own.items())))
+    drop_tables(docs.sparkSession, scratch)
+    return out
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
