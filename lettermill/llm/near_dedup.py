@@ -359,8 +359,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     pairs = last_pairs(rest, scratch)
     final = components(links.unionAll(linked(likely(pairs, sets), left_over)), scratch)
 
-    classes = labelled(sets.select("id", "set_key", F.col("row.doc_id").alias("least")), final)
-    several = classes.groupBy("component").agg(F.min("least").alias("component_id"))
+    classes = written(labelled(sets.select("id", "set_key", F.col("row.doc_id").alias("least")), final), scratch)
+    several = written(classes.groupBy("component").agg(F.min("least").alias("component_id")), scratch)  # so the join can split a large group
     classes = classes.join(several, "component").select("set_key", "component_id")
     out = sketched.select("doc_id", "n_shingles", "set_key").join(classes, "set_key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
