@@ -24,7 +24,7 @@ from .common import kept, table, with_columns
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Pieces, and words, whose ids a worker remembers, twice over at most; longer ones it doesn't.
-PIECES, WORDS, LONG = 80_000, 60_000, 64
+PIECES, WORDS, LONG = 140_000, 100_000, 64
 NONE = 1 << 62
 SHIFT, LOW = 32, 0xFFFFFFFF  # a tree's value is rank << SHIFT | position
 

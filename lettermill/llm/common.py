@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import re
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
@@ -79,17 +80,25 @@ def _parts(batch: pa.RecordBatch, rows: int = 1000, size: int = 4 << 20) -> Iter
         yield batch.slice(at, each)
 
 
-#: What this Python worker keeps from task to task of one stage, and that stage.
+#: What this Python worker keeps from task to task of one stage; that stage, and the tasks so far.
 _KEPT: dict = {}
-_STAGE: list = [None]
+_NOW: dict = {"stage": None, "tasks": 0}
+IDLE_SECONDS = 3
 
 
 def _same_stage() -> None:
     """Forgets what was kept when the worker's stage is another than before: workers outlive stages."""
     stage = TaskContext.get().stageId() if TaskContext.get() else None
-    if stage != _STAGE[0]:
+    _NOW["tasks"] += 1
+    if stage != _NOW["stage"]:
         _KEPT.clear()
-        _STAGE[0] = stage
+        _NOW["stage"] = stage
+
+
+def _forget(tasks: int) -> None:
+    if _NOW["tasks"] == tasks:
+        _KEPT.clear()
+        _trim()
 
 
 def kept(name: tuple, make: Callable):
@@ -99,14 +108,23 @@ def kept(name: tuple, make: Callable):
     return _KEPT[name]
 
 
-def _give_back() -> None:
-    """Returns freed memory to the system when a task ends: workers stay alive for later tasks."""
+def _trim() -> None:
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:
         trim(0)
 
 
+def _give_back() -> None:
+    """Returns freed memory to the system when a task ends; and what is kept, if the worker then has
+    nothing to do for a while."""
+    _trim()
+    if _KEPT:
+        later = threading.Timer(IDLE_SECONDS, _forget, (_NOW["tasks"],))
+        later.daemon = True
+        later.start()
+
+
 def with_columns(df: DataFrame, reads: list[str], fields: T.StructType, start: Callable[[], Step], lists: bool = True, without: Sequence[str] = ()) -> DataFrame:
     """df with columns computed from Arrow batches.
 
