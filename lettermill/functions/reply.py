@@ -13,16 +13,19 @@ CATEGORIES = ("work", "personal", "newsletter", "spam", "notification", "urgent"
 PRIORITIES = ("high", "medium", "low")
 ACTIONS = ("respond", "archive", "read-later", "delete", "forward")
 
+#: The prompt, before and after what is said of the message.
+HEAD = "Analyze this email and provide a structured assessment:\n\nFrom: "
+NO_TEXT = "No text content available"
+ASK = (
+    "\n\nPlease provide:\n1. Category (work/personal/newsletter/spam/notification/urgent)\n2. Priority (high/medium/low)\n3. Brief summary (max 50 words)\n"
+    "4. Suggested action (respond/archive/read-later/delete/forward)\n5. Key information extracted\n\nReturn as JSON format."
+)
+
 
 def prompt(sender: Column, subject: Column, date: Column, text: Column) -> Column:
     """What a model is asked about one message: its head, and the first part of its text."""
-    body = if_empty(F.substring(F.coalesce(text, F.lit("")), 1, TEXT_IN_PROMPT), "No text content available")
-    ask = (
-        "\n\nPlease provide:\n1. Category (work/personal/newsletter/spam/notification/urgent)\n2. Priority (high/medium/low)\n3. Brief summary (max 50 words)\n"
-        "4. Suggested action (respond/archive/read-later/delete/forward)\n5. Key information extracted\n\nReturn as JSON format."
-    )
-    head = "Analyze this email and provide a structured assessment:\n\nFrom: "
-    return F.concat(F.lit(head), sender, F.lit("\nSubject: "), subject, F.lit("\nDate: "), date, F.lit("\nContent: "), body, F.lit(ask))
+    body = if_empty(F.substring(F.coalesce(text, F.lit("")), 1, TEXT_IN_PROMPT), NO_TEXT)
+    return F.concat(F.lit(HEAD), sender, F.lit("\nSubject: "), subject, F.lit("\nDate: "), date, F.lit("\nContent: "), body, F.lit(ASK))
 
 
 def first_braces(reply: Column) -> Column:

@@ -21,6 +21,10 @@ SEEN, ANSWERED, FLAGGED, DELETED, DRAFT, RECENT = ("\\" + name for name in ("See
 MONTHS = "Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec".split()
 
 
+class CriteriaError(ValueError):
+    """A key that doesn't exist, lacks an argument, or has one that can't be read."""
+
+
 def flag(name: str) -> Column:
     return F.array_contains(no_array("flags"), F.lit(name))
 
@@ -54,16 +58,21 @@ def _on(column: str, value: Any) -> Column:
     return (F.col(column) >= day.cast("timestamp_ntz")) & (F.col(column) < F.date_add(day, 1).cast("timestamp_ntz"))
 
 
-def _uids(value: Any) -> Column:
-    """Numbers and ranges: 7, "3:9,12", "5:*", or a list of such."""
+def _uids(value: Any, highest: Column | None = None) -> Column:
+    """Numbers and ranges: 7, "3:9,12", "5:*", "*", or a list of such. `*` is the highest uid, so
+    "n:*" always holds it; where that isn't given, "n:*" is all from n on."""
     single: list[int] = []
     tests: list[Column] = []
     for part in value if isinstance(value, (list, tuple)) else str(value).split(","):
         low, colon, high = str(part).strip().partition(":")
-        if not colon:
+        if "*" in (low, high):
+            ends = [int(x) for x in (low, high) if x not in ("*", "")]
+            if highest is None and not ends:
+                raise CriteriaError("* alone needs the highest uid")
+            start = F.lit(ends[0]) if ends else highest
+            tests.append(F.col("uid") >= (start if highest is None else F.least(start, highest) if ends else highest))
+        elif not colon:
             single.append(int(low))
-        elif "*" in (low, high):
-            tests.append(F.col("uid") >= int(high if low == "*" else low))
         else:
             a, b = sorted((int(low), int(high)))
             tests.append(F.col("uid").between(a, b))
@@ -72,6 +81,14 @@ def _uids(value: Any) -> Column:
     return reduce(lambda a, b: a | b, tests)
 
 
+def asks_for_highest(criteria: Any) -> bool:
+    """Whether a `*` stands anywhere after UID."""
+    if not isinstance(criteria, (list, tuple)):
+        return False
+    after = [value for key, value in zip(criteria, criteria[1:], strict=False) if str(key).upper().removeprefix("!") == "UID"]
+    return any("*" in str(value) for value in after) or any(map(asks_for_highest, criteria))
+
+
 def _header(field: str, part: str) -> Column:
     """Of the head's fields that the table has."""
     name = field.lower()
@@ -125,24 +142,20 @@ def negated(test: Column) -> Column:
     return ~F.coalesce(test, F.lit(False))
 
 
-class CriteriaError(ValueError):
-    """A key that doesn't exist, or lacks an argument."""
-
-
-def _take(parts: list, at: int) -> tuple[Column, int]:
+def _take(parts: list, at: int, highest: Column | None) -> tuple[Column, int]:
     """The column of the criterion that begins at a place, and the place after it."""
     if at >= len(parts):
         raise CriteriaError("a criterion is missing at the end")
     part = parts[at]
     if isinstance(part, (list, tuple)):
-        return compile_criteria(part), at + 1
+        return compile_criteria(part, highest), at + 1
     key = str(part).upper()
     if key == "NOT":
-        inner, at = _take(parts, at + 1)
+        inner, at = _take(parts, at + 1, highest)
         return negated(inner), at
     if key == "OR":
-        one, at = _take(parts, at + 1)
-        other, at = _take(parts, at)
+        one, at = _take(parts, at + 1, highest)
+        other, at = _take(parts, at, highest)
         return one | other, at
     if (known := KEYS.get(key.removeprefix("!"))) is None:
         raise CriteriaError(f"unknown criterion: {part}")
@@ -150,15 +163,20 @@ def _take(parts: list, at: int) -> tuple[Column, int]:
     arguments = parts[at + 1 : at + 1 + count]
     if len(arguments) < count:
         raise CriteriaError(f"{key} needs {count} argument(s)")
-    column = make(*arguments)
+    try:
+        column = make(*arguments, highest) if make is _uids else make(*arguments)
+    except CriteriaError:
+        raise
+    except (TypeError, ValueError) as error:
+        raise CriteriaError(f"{key}: {error}") from error
     return (negated(column) if key.startswith("!") else column), at + 1 + count
 
 
-def compile_criteria(criteria: list | tuple | str | None) -> Column:
-    """The test of a message that criteria ask for."""
+def compile_criteria(criteria: list | tuple | str | None, highest: Column | None = None) -> Column:
+    """The test of a message that criteria ask for; highest: the folder's highest uid, for `*`."""
     parts = [criteria] if isinstance(criteria, str) else list(criteria or [])
     tests, at = [], 0
     while at < len(parts):
-        test, at = _take(parts, at)
+        test, at = _take(parts, at, highest)
         tests.append(test)
     return reduce(lambda a, b: a & b, tests) if tests else F.lit(True)

@@ -11,10 +11,19 @@ from pyspark.sql import functions as F
 from ..functions import reply as R
 from ..functions.text import shown_date
 
+#: What a model is told, and the limits of a call.
 SYSTEM = "You are an intelligent email analyst. Analyze emails and return structured JSON responses with accurate categorization and actionable insights."
 TEMPERATURE, MAX_TOKENS, SECONDS = 0.3, 300, 30
 
-Backend = Callable[[str], str]
+
+
+class Prompt(str):
+    """What a backend gets: the prompt as text, with the limits that its call should keep to."""
+
+    system, temperature, max_tokens, seconds = SYSTEM, TEMPERATURE, MAX_TOKENS, SECONDS
+
+
+Backend = Callable[[Prompt], str]
 
 
 def with_prompt(messages: DataFrame) -> DataFrame:
@@ -24,13 +33,18 @@ def with_prompt(messages: DataFrame) -> DataFrame:
 
 def rule_reply(sender: Column, subject: Column, text: Column) -> Column:
     """A stand-in for a model, made of columns: a reply with JSON in it, by simple rules."""
-    low = F.lower(F.concat(subject, F.lit(" "), text))
-    has = lambda *parts: low.rlike("|".join(parts))
-    category = F.when(has("urgent", "asap"), "urgent").when(has("unsubscribe", "newsletter"), "newsletter").when(has("winner", "casino"), "spam").when(sender.rlike("(?i)noreply|no-reply"), "notification").otherwise("work")
-    priority = F.when(category == "urgent", "high").when(category.isin("newsletter", "spam"), "low").otherwise("medium")
-    action = F.when(category == "urgent", "respond").when(category == "spam", "delete").when(category == "newsletter", "archive").otherwise("read-later")
-    fields = F.struct(category.alias("category"), priority.alias("priority"), F.substring(F.regexp_replace(subject, r"[{}\"\\]", ""), 1, 60).alias("summary"), action.alias("action"), F.lit("none").alias("key_info"))
-    return F.concat(F.lit("Here is the assessment: "), F.to_json(fields), F.lit(" Anything else?"))
+    let = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))  # noqa: E731  (value is computed once)
+
+    def kind(low: Column) -> Column:
+        return F.when(low.rlike("urgent|asap"), "urgent").when(low.rlike("unsubscribe|newsletter"), "newsletter").when(low.rlike("winner|casino"), "spam").when(sender.rlike("(?i)noreply|no-reply"), "notification").otherwise("work")
+
+    def said(category: Column) -> Column:
+        priority = F.when(category == "urgent", "high").when(category.isin("newsletter", "spam"), "low").otherwise("medium")
+        action = F.when(category == "urgent", "respond").when(category == "spam", "delete").when(category == "newsletter", "archive").otherwise("read-later")
+        fields = F.struct(category.alias("category"), priority.alias("priority"), F.substring(F.regexp_replace(subject, r"[{}\"\\]", ""), 1, 60).alias("summary"), action.alias("action"), F.lit("none").alias("key_info"))
+        return F.concat(F.lit("Here is the assessment: "), F.to_json(fields), F.lit(" Anything else?"))
+
+    return let(let(F.lower(F.concat(subject, F.lit(" "), text)), kind), said)
 
 
 def ask(prompted: DataFrame, backend: Backend) -> DataFrame:
@@ -46,7 +60,7 @@ def ask(prompted: DataFrame, backend: Backend) -> DataFrame:
             replies, errors = [], []
             for prompt in batch["prompt"]:
                 try:
-                    replies.append(backend(prompt))
+                    replies.append(backend(Prompt(prompt)))
                     errors.append(None)
                 except Exception as error:  # one message's failure is that message's result
                     replies.append(None)

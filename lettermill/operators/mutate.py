@@ -1,26 +1,35 @@
-"""Deleting and moving, as new tables: the input is never changed."""
+"""Deleting and moving: as new tables, or written back to a stored one."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import no_array
 from .criteria import DELETED, flag
-from .select import INBOX
+from .select import INBOX, LITERALS
 
 TRASH = "Trash"
 
 
-def _wanted(uids: Iterable[int], folder: str) -> Column:
-    return (F.col("folder") == folder) & F.col("uid").isin(sorted({int(u) for u in uids}))
+def _change(messages: DataFrame, uids: Iterable[int], folder: str, column: str, value: Column) -> DataFrame:
+    """messages with another value of a column in the folder's rows of these uids. Few uids are
+    literals; more are a table, which Spark broadcasts only below its measured limit."""
+    wanted = sorted({int(u) for u in uids})
+    inside = F.col("folder") == folder
+    if len(wanted) <= LITERALS:
+        return messages.withColumn(column, F.when(inside & F.col("uid").isin(wanted), value).otherwise(F.col(column)))
+    asked = messages.sparkSession.createDataFrame([(u, True) for u in wanted], "uid long, asked boolean")
+    changed = messages.join(asked, "uid", "left").withColumn(column, F.when(inside & F.col("asked"), value).otherwise(F.col(column)))
+    return changed.select(*messages.columns)
 
 
 def mark_deleted(messages: DataFrame, uids: Iterable[int], folder: str = INBOX) -> DataFrame:
-    flags = F.when(_wanted(uids, folder), F.array_union(no_array("flags"), F.array(F.lit(DELETED)))).otherwise(F.col("flags"))
-    return messages.withColumn("flags", flags)
+    return _change(messages, uids, folder, "flags", F.array_union(no_array("flags"), F.array(F.lit(DELETED))))
 
 
 def expunge(messages: DataFrame, folder: str = INBOX) -> DataFrame:
@@ -35,7 +44,7 @@ def delete(messages: DataFrame, uids: Iterable[int], folder: str = INBOX) -> Dat
 
 def move(messages: DataFrame, uids: Iterable[int], target: str = TRASH, folder: str = INBOX) -> DataFrame:
     """uids stay as they are."""
-    return messages.withColumn("folder", F.when(_wanted(uids, folder), F.lit(target)).otherwise(F.col("folder")))
+    return _change(messages, uids, folder, "folder", F.lit(target))
 
 
 def has_folder(messages: DataFrame, folder: str) -> bool:
@@ -49,3 +58,32 @@ def trash(messages: DataFrame, uids: Iterable[int], folder: str = INBOX, to_tras
     if to_trash and (has_folder(messages, target) if target_exists is None else target_exists):
         return move(messages, uids, target, folder), "moved_to_trash", len(uids)
     return delete(messages, uids, folder), "permanently_deleted", len(uids)
+
+
+def write_back(spark: SparkSession, path: str, uids: Iterable[int], folder: str = INBOX, to_trash: bool = True, target: str = TRASH) -> tuple[str, int]:
+    """(method, affected): moves or deletes in a stored table. Only the two folders' partitions are
+    read and written anew; a move that fails, and one to a folder that isn't there, becomes a
+    deletion. The new rows are complete beside the table before an old one goes."""
+    uids = list(uids)
+    messages = spark.read.parquet(path).where(F.col("folder").isin(folder, target))
+    if to_trash and has_folder(messages, target):
+        try:
+            _replace(spark, path, move(messages, uids, target, folder), (folder, target))
+            return "moved_to_trash", len(uids)
+        except PySparkException:
+            pass
+    _replace(spark, path, delete(messages.where(F.col("folder") == folder), uids, folder), (folder,))
+    return "permanently_deleted", len(uids)
+
+
+def _replace(spark: SparkSession, path: str, rows: DataFrame, folders: tuple[str, ...]) -> None:
+    staged = f"{path}/_staged-{uuid.uuid4().hex}"  # readers pass over such names
+    rows.write.partitionBy("folder").parquet(staged)
+    ready = spark.read.schema(rows.schema).parquet(staged)
+    ready.sortWithinPartitions("folder", "uid").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("folder").parquet(path)
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    left = {r["folder"] for r in ready.select("folder").distinct().collect()}
+    for folder in set(folders) - left:  # a folder without rows has nothing that could overwrite it
+        files.delete(spark._jvm.org.apache.hadoop.fs.Path(root, "folder=" + spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(folder)), True)
+    files.delete(spark._jvm.org.apache.hadoop.fs.Path(staged), True)

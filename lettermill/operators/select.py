@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import if_empty, if_null, iso_date, no_array, preview
-from .criteria import compile_criteria
+from .criteria import asks_for_highest, compile_criteria
 
 INBOX = "INBOX"
 RECENT, FOUND = 10, 20  # default tails
@@ -60,7 +60,8 @@ def tail(messages: DataFrame, n: int) -> DataFrame:
 
 def search(messages: DataFrame, criteria, folder: str | None = INBOX) -> DataFrame:
     box = messages if folder is None else open_box(messages, folder)
-    return box.where(compile_criteria(criteria))
+    highest = box.agg(F.max("uid")).scalar() if asks_for_highest(criteria) else None
+    return box.where(compile_criteria(criteria, highest))
 
 
 def counts(found: DataFrame, limit: int) -> DataFrame:

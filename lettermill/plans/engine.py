@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.rules import service_status
+from ..functions.rules import connection_verdict, server, service_status, suggest_hosts
 from ..functions.text import count_or
 from ..operators import enrich, mutate, select
 from ..sources.messages import providers
@@ -72,7 +72,8 @@ class Engine:
         return select.counts(select.search(self.table(connection), criteria, mailbox), limit)
 
     def details(self, connection: str, uids: Iterable[int] | DataFrame, mailbox: str = select.INBOX) -> DataFrame:
-        return select.fetch(self.table(connection), uids, mailbox)
+        """A message without a date is shown with the present one."""
+        return select.fetch(self.table(connection), uids, mailbox).withColumn("date", select.date_or_now())
 
     def delete(self, connection: str, uids: Iterable[int], mailbox: str = select.INBOX, move_to_trash: bool = True) -> tuple[str, int]:
         """(method, affected); the connection's table is the new one from then on."""
@@ -81,6 +82,32 @@ class Engine:
         self._tables[connection], method, affected = mutate.trash(self.table(connection), uids, mailbox, move_to_trash)
         return method, affected
 
+    def delete_stored(self, connection: str, path: str, uids: Iterable[int], mailbox: str = select.INBOX, move_to_trash: bool = True) -> tuple[str, int]:
+        """The same, written back to the stored table at a path, which the connection then reads."""
+        if isinstance(uids, (str, bytes)) or uids is None:
+            raise RequestError("uids must be a list")
+        self.table(connection)
+        done = mutate.write_back(self.spark, path, uids, mailbox, move_to_trash)
+        self._tables[connection] = self.spark.read.parquet(path)
+        return done
+
+    def status(self) -> DataFrame:
+        """(success, activeConnections)."""
+        return self.spark.createDataFrame([(True, len(self._tables))], "success boolean, activeConnections int")
+
+    def test_connection(
+        self, address: str, provider: str | None = None, custom_host: str | None = None, custom_port: int | None = None,
+        tls: bool = True, tcp_error: str | None = None, tls_error: str | None = None, greeting: str | None = None,
+    ) -> DataFrame:
+        """(host, port, success, message, tcp, tls, suggestions) of what a probe of an address's server
+        found; suggestions are other servers to try, null if it went well."""
+        if not address:
+            raise RequestError("an address is needed")
+        asked = self.spark.createDataFrame([(address, provider, custom_host, custom_port, tls, tcp_error, tls_error, greeting)], "address string, provider string, host string, port int, tls boolean, tcp_error string, tls_error string, greeting string")
+        found = asked.withColumn("s", server("address", "provider", "host", "port")).select("address", "s.*", "tls", "tcp_error", "tls_error", "greeting")
+        out = found.withColumn("v", connection_verdict("host", "port", "tls", "tcp_error", "tls_error", "greeting"))
+        return out.select("host", "port", "v.*", F.when(~F.col("v.success"), suggest_hosts("address")).alias("suggestions"))
+
     def service_status(self, error_code: str | None = None, error_text: str | None = None, models: list[str] | None = None) -> DataFrame:
         asked = self.spark.createDataFrame([(error_code, error_text, models)], "code string, text string, models array<string>")
         return asked.select(service_status("code", "text", "models").alias("s")).select("s.*")

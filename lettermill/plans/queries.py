@@ -11,9 +11,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..functions.text import escape_html, if_empty, iso_date, preview, shown_date
+from ..functions.text import count_or, escape_html, if_empty, iso_date, preview, shown_date
 from ..operators import enrich, mutate, select
 from ..sources.messages import SENDER_DOMAINS, derived, providers
+from ..sources.mime import lines_of_json
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -157,7 +158,7 @@ _search("search_body_text", [["OR", ["BODY", "worthless"], ["TEXT", "hotmail"]]]
 _search("search_on", ["OR", "ON", "2024-01-01", "SENTON", "3-Jan-2024"], "CAST(date AS DATE) IN (DATE '2024-01-01', DATE '2024-01-03')")
 _search("search_sent", ["SENTSINCE", "2-Jan-2024", "SENTBEFORE", "3-Jan-2024"], "date >= TIMESTAMP '2024-01-02' AND date < TIMESTAMP '2024-01-03'")
 _search("search_size", ["LARGER", "500", "SMALLER", 2000], "size > 500 AND size < 2000")
-_search("search_uid_set", ["UID", "1:20,33,35,900:*"], "uid BETWEEN 1 AND 20 OR uid IN (33, 35) OR uid >= 900")
+_search("search_uid_set", ["UID", "1:20,33,35,900:*"], "uid BETWEEN 1 AND 20 OR uid IN (33, 35) OR uid >= least(900, (SELECT max(uid) FROM x))")
 _search("search_or_not", ["NOT", ["OR", "SEEN", ["FROM", "gmail.com"]], "HEADER", "Subject", "a"], "NOT (seen OR contains(lower(sender), 'gmail.com')) AND contains(lower(subject), 'a')")
 
 FOUND = ["FROM", ".com", "SUBJECT", "the"]
@@ -371,3 +372,28 @@ def ai_analyze(spark, sf_dir):
 @query("iso_dates", sql("SELECT uid, strftime(date, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS iso FROM x"))
 def iso_dates(spark, sf_dir):
     return derived(spark, sf_dir).select("uid", iso_date("date").alias("iso"))
+
+
+@query("date_default", sql("SELECT uid, CASE WHEN uid % 3 > 0 THEN shown END AS date, true AS dated FROM x"))
+def date_default(spark, sf_dir):
+    m = derived(spark, sf_dir).withColumn("date", F.when(F.col("uid") % 3 != 0, F.col("date")))
+    return m.select("uid", shown_date("date").alias("date"), select.date_or_now().isNotNull().alias("dated"))
+
+
+@query("json_lines", """
+SELECT event_id, event_type, CASE WHEN event_type = 'click' THEN NULL ELSE CAST(json_extract_string(props, '$.k') AS BIGINT) END AS k, event_type <> 'click' AS parsed FROM events""")
+def json_lines(spark, sf_dir):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    text = F.when(F.col("event_type") == "click", F.concat(F.lit("odd "), "props")).otherwise(F.col("props"))
+    lines = lines_of_json(events.select("event_id", "event_type", F.concat(F.lit("\n"), text, F.lit("\n \n")).alias("value")), keep=["event_id", "event_type"])
+    return lines.select("event_id", "event_type", F.try_variant_get("parsed", "$.k", "bigint").alias("k"), F.col("parsed").isNotNull().alias("parsed"))
+
+
+@query("form_count", sql("SELECT uid, CASE uid % 4 WHEN 0 THEN 10 WHEN 1 THEN uid WHEN 2 THEN 10 ELSE uid END AS n FROM x"))
+def form_count(spark, sf_dir):
+    uid = F.col("uid").cast("string")
+    text = F.when(F.col("uid") % 4 == 0, "0").when(F.col("uid") % 4 == 1, F.concat(F.lit(" "), uid)).when(F.col("uid") % 4 == 2, "many").otherwise(F.concat(uid, F.lit("px")))
+    return derived(spark, sf_dir).select("uid", count_or(text).cast("long").alias("n"))
+
+
+_search("search_highest", ["OR", "UID", "*", "UID", "1:3"], "uid = (SELECT max(uid) FROM x) OR uid BETWEEN 1 AND 3")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from datetime import UTC
 from email import message_from_bytes, policy
+from email.message import EmailMessage
 from email.utils import parsedate_to_datetime
 
 import pandas as pd
@@ -14,8 +15,33 @@ from pyspark.sql import functions as F
 PARSED = "subject string, from array<string>, to array<string>, cc array<string>, date timestamp_ntz, html string, bodyText string, attachments array<struct<filename:string,contentType:string,size:long>>"
 
 
+def _parts(mail: EmailMessage) -> Iterator[EmailMessage]:
+    """The parts that hold something, in order. An attached message is one part, however it is made."""
+    stack = [mail]
+    while stack:
+        part = stack.pop()
+        if part.get_content_maintype() == "multipart" and part.is_multipart():
+            stack += reversed(part.get_payload())
+        else:
+            yield part
+
+
+def _size(part: EmailMessage) -> int:
+    if part.get_content_maintype() == "message":
+        return sum(len(inner.as_bytes()) for inner in part.get_payload()) if part.is_multipart() else len(str(part.get_payload()))
+    return len(part.get_payload(decode=True) or b"")
+
+
 def parse(raw: bytes | None) -> dict:
-    """The fields of one mail; what it lacks is None. Contents of attachments are dropped."""
+    """The fields of one mail; what it lacks is None, and all are where it can't be parsed. Contents
+    of attachments are dropped."""
+    try:
+        return _parse(raw)
+    except Exception:  # heads can be malformed in ways that the parser doesn't foresee; one mail is one row
+        return _parse(None)
+
+
+def _parse(raw: bytes | None) -> dict:
     out = dict.fromkeys(("subject", "from", "to", "cc", "date", "html", "bodyText", "attachments"))
     if not raw:
         return out
@@ -29,12 +55,10 @@ def parse(raw: bytes | None) -> dict:
     except (TypeError, ValueError):
         pass
     files = []
-    for part in mail.walk():
-        if part.is_multipart():
-            continue
+    for part in _parts(mail):
         kind = part.get_content_type()
         if part.get_content_disposition() == "attachment" or kind not in ("text/plain", "text/html"):
-            files.append({"filename": part.get_filename(), "contentType": kind, "size": len(part.get_payload(decode=True) or b"")})
+            files.append({"filename": part.get_filename(), "contentType": kind, "size": _size(part)})
         else:
             name = "html" if kind == "text/html" else "bodyText"
             try:
@@ -64,7 +88,8 @@ def read_eml(spark: SparkSession, path: str) -> DataFrame:
     return parse_column(files.select("path", F.col("length").alias("size"), "content"))
 
 
-def lines_of_json(df: DataFrame, column: str = "value") -> DataFrame:
-    """(line, parsed): a row for each line that isn't blank; parsed is null where it isn't JSON."""
-    lines = df.select(F.explode(F.split(column, "\n")).alias("line")).where(F.trim("line") != "")
+def lines_of_json(df: DataFrame, column: str = "value", keep: Sequence[str] = ()) -> DataFrame:
+    """(line, parsed), after the columns to keep: a row for each line that isn't blank; parsed is
+    null where it isn't JSON."""
+    lines = df.select(*keep, F.explode(F.split(column, "\n")).alias("line")).where(F.trim("line") != "")
     return lines.withColumn("parsed", F.try_parse_json("line"))

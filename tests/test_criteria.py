@@ -25,7 +25,7 @@ def messages(spark):
         (["RECENT"], [2]), (["KEYWORD", "work"], [4]), (["UNKEYWORD", "work"], [1, 2, 3, 5]), (["FROM", "U1"], [1]), (["TO", "ANN"], [1, 2, 4, 5]), (["CC", "bob"], [5]), (["BCC", "x"], []), (["SUBJECT", "hello"], [2]),
         (["BODY", "deep"], [4]), (["TEXT", "bob"], [5]), (["TEXT", "text"], [1, 2, 3, 4, 5]), (["HEADER", "Subject", "subject"], [1, 3, 4]), (["HEADER", "X-Other", "a"], []), (["HEADER", "To", ""], [1, 2, 4, 5]),
         (["SINCE", "3-Jan-2024"], [3, 4, 5]), (["BEFORE", "3-Jan-2024"], [1, 2]), (["ON", "3-jan-2024"], [3]), (["SENTSINCE", "2023-01-04"], [4, 5]), (["SENTBEFORE", date(2023, 1, 2)], [1]), (["SENTON", D(2023, 1, 2, 5)], [2]),
-        (["LARGER", 300], [4, 5]), (["SMALLER", "200"], [1]), (["UID", "2:3,5"], [2, 3, 5]), (["UID", "4:*"], [4, 5]), (["UID", [1, "3:2"]], [1, 2, 3]), (["UID", 4], [4]),
+        (["LARGER", 300], [4, 5]), (["SMALLER", "200"], [1]), (["UID", "2:3,5"], [2, 3, 5]), (["UID", "4:*"], [4, 5]), (["UID", [1, "3:2"]], [1, 2, 3]), (["UID", 4], [4]), (["UID", "*"], [5]), (["UID", "9:*"], [5]), (["UID", "*:*"], [5]), (["UID", "*:4"], [4, 5]), (["NOT", "UID", "1,*"], [2, 3, 4]),
         (["NOT", "SEEN"], [2, 3, 5]), (["OR", "SEEN", "DRAFT"], [1, 4, 5]), (["OR", ["FROM", "u1"], ["FROM", "u2"]], [1, 2]), (["NOT", ["OR", "SEEN", ["UID", "2"]]], [3, 5]), ([["FROM", "x.org"], ["UNSEEN"]], [2, 3]),
         (["FROM", "x.org", "UNSEEN"], [2, 3]), (["NOT", "FROM", "x"], [5]), ([[]], [1, 2, 3, 4, 5]),
     ],
@@ -34,7 +34,7 @@ def test_criteria(messages, asked, uids):
     assert sorted(r["uid"] for r in search(messages, asked).collect()) == uids
 
 
-@pytest.mark.parametrize("asked", [["NOPE"], ["FROM"], ["NOT"], ["OR", "SEEN"], ["HEADER", "x"]])
+@pytest.mark.parametrize("asked", [["NOPE"], ["FROM"], ["NOT"], ["OR", "SEEN"], ["HEADER", "x"], ["UID", "x"], ["UID", "3:b"], ["SINCE", "soon"], ["LARGER", "much"], ["UID", "*"]])
 def test_bad_criteria(spark, asked):
     with pytest.raises(criteria.CriteriaError):
         criteria.compile_criteria(asked)

@@ -101,6 +101,76 @@ def test_mutations(box):
     assert mutate.trash(moved, [3])[1] == "moved_to_trash"
 
 
+def test_many_uids(box):
+    many = list(range(3, 2003))
+    assert sorted(r["uid"] for r in mutate.delete(box, many).collect()) == [1]
+    moved = mutate.move(box, many)
+    assert moved.columns == box.columns and moved.where("folder = 'Trash'").count() == 8
+
+
+def test_write_back(spark, box, tmp_path):
+    path = f"{tmp_path}/stored"
+    store(box.unionAll(box.where("uid = 10").withColumn("folder", F.lit("Trash")).withColumn("uid", F.lit(50).cast("long"))).unionAll(box.where("uid = 1").withColumn("folder", F.lit("a b/c"))), path)
+    shown = lambda: {(r["folder"], r["uid"]) for r in stored(spark, path).collect()}
+    others = {("a b/c", 1)}
+    assert mutate.write_back(spark, path, [3, 4]) == ("moved_to_trash", 2)
+    assert shown() == others | {("Trash", 50), ("Trash", 3), ("Trash", 4)} | {("INBOX", i) for i in (1, 2, 5, 6, 7, 8, 9, 10)}
+    assert mutate.write_back(spark, path, [1], to_trash=False) == ("permanently_deleted", 1)
+    assert shown() == others | {("Trash", 50), ("Trash", 3), ("Trash", 4)} | {("INBOX", i) for i in (5, 6, 7, 8, 9, 10)}
+    assert mutate.write_back(spark, path, [1], folder="a b/c", target="nowhere") == ("permanently_deleted", 1)
+    assert not others & shown()
+    engine = Engine(spark)
+    engine.register("w", stored(spark, path))
+    assert engine.delete_stored("w", path, [5]) == ("moved_to_trash", 1) and engine.search_counts("w", ["ALL"]).first()["totalFound"] == 5
+    with pytest.raises(RequestError):
+        engine.delete_stored("w", path, "5")
+
+
+def test_a_failed_move_deletes(spark, box, tmp_path, monkeypatch):
+    from pyspark.errors import PySparkException
+
+    path = f"{tmp_path}/stored"
+    store(box.unionAll(box.where("uid = 10").withColumn("folder", F.lit("Trash"))), path)
+    own = mutate._replace
+    monkeypatch.setattr(mutate, "_replace", lambda spark, path, rows, folders: own(spark, path, rows, folders) if len(folders) == 1 else (_ for _ in ()).throw(PySparkException("full")))
+    assert mutate.write_back(spark, path, [3]) == ("permanently_deleted", 1)
+    assert {(r["folder"], r["uid"]) for r in stored(spark, path).collect()} == {("Trash", 10)} | {("INBOX", i) for i in (1, 4, 5, 6, 7, 8, 9, 10)}
+
+
+def test_attached_messages_and_malformed_mail():
+    inner = b"From: z@z.org\r\nSubject: inner\r\n\r\nINNER TEXT"
+    raw = b"From: a@b.c\r\nMIME-Version: 1.0\r\nContent-Type: multipart/mixed; boundary=q\r\n\r\n--q\r\nContent-Type: text/plain\r\n\r\nbody\r\n--q\r\nContent-Type: message/rfc822\r\nContent-Disposition: attachment; filename=m.eml\r\n\r\n" + inner + b"\r\n--q--\r\n"
+    out = mime.parse(raw)
+    assert out["bodyText"].strip() == "body" and [(f["filename"], f["contentType"]) for f in out["attachments"]] == [("m.eml", "message/rfc822")] and out["attachments"][0]["size"] > 20
+    for odd in (b"\xff\xfe\0", b"From: \"<@@@\r\nDate: x\r\nContent-Type: multipart/mixed\r\n\r\n", b"To: =?utf-8?b?!!?=\r\n :x\r\n\r\n", b"Content-Type: message/rfc822\r\n\r\n", b"Content-Type: text/plain; charset=nope\r\n\r\n\xff"):
+        assert set(mime.parse(odd)) == set(out)
+
+
+def limits(prompt):
+    return f'{{"category": "work", "priority": "low", "action": "archive", "summary": "{prompt.temperature} {prompt.max_tokens} {prompt.seconds} {len(prompt.system) > 20}"}}'
+
+
+def test_backend_gets_limits(box):
+    assert enrich.analyze(box.where("uid = 1"), limits).first()["fields"]["summary"] == "0.3 300 30 True"
+
+
+def test_rules_are_evaluated_once(box):
+    plan = enrich.analyze(box)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("rlike") <= 4
+
+
+def test_status_and_test_connection(spark, box):
+    engine = Engine(spark)
+    engine.register("me", box)
+    assert tuple(engine.status().first()) == (True, 1)
+    good, bad = engine.test_connection("u@gmail.com", greeting="* OK").first(), engine.test_connection("u@x.org", custom_host="h", custom_port=143, tcp_error="late").first()
+    assert (good["host"], good["success"], good["tls"], good["suggestions"]) == ("imap.gmail.com", True, True, None)
+    assert (bad["host"], bad["port"], bad["success"], bad["message"], len(bad["suggestions"])) == ("h", 143, False, "TCP-anslutning misslyckades: late", 5)
+    with pytest.raises(RequestError):
+        engine.test_connection("")
+    assert engine.details("me", [1]).where("date IS NOT NULL").count() == 1
+
+
 def test_mailboxes(spark):
     rows = select.mailboxes(spark.createDataFrame([("a/b/c",), ("a",), ("d",)], "folder string")).orderBy("path").collect()
     assert [tuple(r) for r in rows] == [("a", "a", None, 0), ("a/b", "b", "a", 1), ("a/b/c", "c", "a/b", 2), ("d", "d", None, 0)]
