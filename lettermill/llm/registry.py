@@ -19,4 +19,4 @@ QUERIES: dict[str, Callable] = {
     "op10_repeats": repeats.query,
 }
 
-SQL: dict[str, str] = {"op7_url_filter": url_filter.SQL}
+SQL: dict[str, str] = {"op6_near_dedup": near_dedup.SQL, "op7_url_filter": url_filter.SQL, "op8_decontamination": decontaminate.SQL}
