@@ -321,7 +321,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     found = marked(around_rows(texts.select("row", "text").join(wanted, "row")))
     whole = classes.where("low <> high").select("core", "margins", F.lit(-MARGIN).alias("low"), F.lit(LENGTH).alias("high"))
     # All that is said of a class holds its core, and so together is one run of bytes.
-    marks = found.unionAll(whole).groupBy("core", "margins").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    # Stored, so that the join after it can split a class with very many places.
+    marks = written(found.unionAll(whole).groupBy("core", "margins").agg(F.min("low").alias("low"), F.max("high").alias("high")))
     spans = cores.join(marks, ["core", "margins"])
     spans = spans.select("row", F.greatest(F.lit(0), F.col("place") + F.col("low")).alias("start"), (F.col("place") + F.col("high")).alias("end"))
     spans = spans.groupBy("row").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
