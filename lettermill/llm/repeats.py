@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import rows_from, table, text_of, written
+from .common import drop_tables, rows_from, table, text_of, written
 from .near_dedup import P1, mix
 from .suffixes import Node, blind_trie, common, deep_shallow
 
@@ -228,24 +228,29 @@ def grown(rows: DataFrame) -> DataFrame:
     return out.withColumn("group", F.xxhash64("core", "a", "b", F.substring("left", F.lit(1), F.col("a")), F.substring("right", F.lit(CORE + 1), F.col("b"))))
 
 
-def marked(around: DataFrame, many: int = MANY) -> DataFrame:
+def marked(around: DataFrame, scratch: list[str], many: int = MANY) -> DataFrame:
     """(core, margins, low, high): which bytes from the core's place on are repeated, of classes
-    with one core. Every group that is sorted has at most `many` classes."""
+    with one core. Every group that is sorted has at most `many` classes. What is found is stored
+    turn by turn, and a turn's rows go when the next one's are stored."""
+    spark = around.sparkSession
     rows = around.select("*", F.lit(0).alias("a"), F.lit(0).alias("b"), F.col("core").alias("group"))
-    found = []
+    found, before, shared = [], [], 0  # shared: how many bytes a group's rows have in common beyond the core
     while True:
-        rows = written(rows)
-        sizes = rows.groupBy("group").agg(F.count(F.lit(1)).alias("n"))
-        small = written(sizes.where(F.col("n").between(2, many)).select("group"))
-        found.append(compared(rows.join(small, "group")))
-        large = written(sizes.where(F.col("n") > many).select("group"))
-        if large.isEmpty():
-            return reduce(DataFrame.unionAll, found)
+        now: list[str] = []
+        rows = written(rows, now)
+        drop_tables(spark, before)
+        sizes = written(rows.groupBy("group").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), scratch)
+        found.append(written(compared(rows.join(sizes.where(F.col("n") <= many).select("group"), "group")), scratch))
+        large = sizes.where(F.col("n") > many).select("group")
+        last = large.isEmpty()
         rows = rows.join(large, "group")
-        whole = F.col("a") + F.col("b") == MARGIN
-        if rows.where(whole).limit(1).count():  # all of such a group share a whole window
-            found.append(rows.where(whole).select("core", "margins", (-F.col("a")).alias("low"), (F.col("b") + CORE).alias("high")))
-        rows = grown(rows.where(~whole))
+        if shared == MARGIN and not last:  # all of such a group share a whole window
+            found.append(written(rows.select("core", "margins", (-F.col("a")).alias("low"), (F.col("b") + CORE).alias("high")), scratch))
+        if shared == MARGIN or last:
+            drop_tables(spark, now)
+            return reduce(DataFrame.unionAll, found)
+        rows, before = grown(rows), now
+        shared += -(-(MARGIN - shared) // 2)
 
 
 def compared(grouped: DataFrame) -> DataFrame:
@@ -307,7 +312,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """(text_key, n_removed, n_spans, kept_sha256, spans) of the distinct texts that share a
     200-byte string with another place of a distinct text. docs: text_key (16 bytes), text."""
     places = anchor_rows(docs, False).groupBy("anchor").agg(F.min("spot").alias("low"), F.max("spot").alias("high"))
-    repeated = written(places.where("low <> high").select("anchor"))
+    scratch: list[str] = []
+    repeated = written(places.where("low <> high").select("anchor"), scratch)
     at = anchor_rows(docs, True).join(repeated, "anchor", "left_semi").groupBy("text_key").agg(F.collect_set("place").alias("places"))
     distinct = docs.groupBy("text_key").agg(F.first("text").alias("text"))
     texts = written(distinct.join(at, "text_key").withColumn("row", F.monotonically_increasing_id()))  # the numbers stay, once written
@@ -315,14 +321,15 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     cores = written(core_rows(texts))
     spot = F.xxhash64("row", "place")
     classes = cores.groupBy("core", "margins").agg(F.min(spot).alias("low"), F.max(spot).alias("high"), F.first("row").alias("row"), F.first("place").alias("place"))
-    classes = written(classes)
+    classes = written(classes, scratch)
     several = classes.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core")
     wanted = classes.join(several, "core").groupBy("row").agg(F.collect_list(F.struct("core", "margins", "place")).alias("wanted"))
-    found = marked(around_rows(texts.select("row", "text").join(wanted, "row")))
+    found = marked(around_rows(texts.select("row", "text").join(wanted, "row")), scratch)
     whole = classes.where("low <> high").select("core", "margins", F.lit(-MARGIN).alias("low"), F.lit(LENGTH).alias("high"))
     # All that is said of a class holds its core, and so together is one run of bytes.
     # Stored, so that the join after it can split a class with very many places.
     marks = written(found.unionAll(whole).groupBy("core", "margins").agg(F.min("low").alias("low"), F.max("high").alias("high")))
+    drop_tables(docs.sparkSession, scratch)
     spans = cores.join(marks, ["core", "margins"])
     spans = spans.select("row", F.greatest(F.lit(0), F.col("place") + F.col("low")).alias("start"), (F.col("place") + F.col("high")).alias("end"))
     spans = spans.groupBy("row").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
