@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import re
 import tempfile
 import threading
@@ -91,16 +92,23 @@ def _same_stage() -> None:
     stage = TaskContext.get().stageId() if TaskContext.get() else None
     _NOW["tasks"] += 1
     if stage != _NOW["stage"]:
-        _KEPT.clear()
+        _drop_kept()
         _NOW["stage"] = stage
 
 
-def _forget(tasks: int) -> None:
-    if _NOW["tasks"] == tasks:
+def _drop_kept() -> None:
+    """Frees what is kept, also where it refers to itself, which only a collection finds."""
+    if _KEPT:
         _KEPT.clear()
+        gc.collect()
         _trim()
 
 
+def _forget(tasks: int) -> None:
+    if _NOW["tasks"] == tasks:
+        _drop_kept()
+
+
 def kept(name: tuple, make: Callable):
     """make(), once for each worker and stage."""
     if name not in _KEPT:

@@ -4,11 +4,12 @@ import base64
 import hashlib
 import random
 import struct
+import weakref
 import zlib
 
 import pytest
 
-from lettermill.llm import bpe, decontaminate, media, sharding, url_filter
+from lettermill.llm import bpe, common, decontaminate, media, sharding, url_filter
 
 WORDS = "alpha beta gamma delta eps zeta eta theta".split()
 
@@ -277,3 +278,14 @@ def test_cut_and_remove(spark, docs_of):
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 3]
     cut = {r["doc_id"]: r["text"] for r in decontaminate.cut_spans(docs, bench, longest=10).collect()}
     assert cut == {0: "É start, . end!", 1: "clean text", 2: None, 3: " pad" * 400}
+
+
+def test_what_a_worker_keeps_is_freed_at_the_next_stage():
+    class Owner:
+        def __init__(self):
+            self.ask = lambda: self
+
+    seen = weakref.ref(common.kept(("owner",), Owner))
+    assert seen() is common.kept(("owner",), Owner)
+    common._drop_kept()
+    assert seen() is None
