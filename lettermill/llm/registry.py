@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import bpe, decontaminate, extract, media, near_dedup, pii, quality, repeats, sharding, url_filter
+from . import bpe, decontaminate, extract, media, near_dedup, pii, quality, repeats, sharding, spelling, token_groups, url_filter, vector_codes
 
 QUERIES: dict[str, Callable] = {
     "op1_sharding": sharding.query,
@@ -17,6 +17,13 @@ QUERIES: dict[str, Callable] = {
     "op8_decontamination": decontaminate.query,
     "op9_media": media.query,
     "op10_repeats": repeats.query,
+    "op11_vector_codes": vector_codes.query,
+    "op12_spelling": spelling.query,
+    "op13_token_groups": token_groups.query,
 }
 
-SQL: dict[str, str] = {"op6_near_dedup": near_dedup.SQL, "op7_url_filter": url_filter.SQL, "op8_decontamination": decontaminate.SQL}
+SQL: dict[str, str] = {
+    "op6_near_dedup": near_dedup.SQL, "op7_url_filter": url_filter.SQL, "op8_decontamination": decontaminate.SQL,
+    "op11_vector_codes": vector_codes.SQL, "op12_spelling": spelling.SQL,
+    "op13_token_groups": token_groups.SQL,
+}
