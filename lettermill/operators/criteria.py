@@ -90,17 +90,19 @@ def asks_for_highest(criteria: Any) -> bool:
 
 
 def _header(field: str, part: str) -> Column:
-    """Of the head's fields that the table has."""
+    """One of a head's fields, whatever the case of its name: one of the table's own columns, or any
+    value of a further field. An empty part asks whether there is such a field."""
     name = field.lower()
     if name in ("to", "cc"):
         return any_contains(name, part) if part else F.size(no_array(name)) > 0
     if name in ("from", "subject"):
         return contains_text(name, part)
-    return F.lit(False)
+    return F.exists(no_array(F.try_element_at("headers", F.lit(name))), lambda x: contains_text(x, part))
 
 
 def _head(part: str) -> Column:
-    return contains_text("subject", part) | contains_text("from", part) | any_contains("to", part) | any_contains("cc", part)
+    own = contains_text("subject", part) | contains_text("from", part) | any_contains("to", part) | any_contains("cc", part)
+    return own | F.exists(no_array(F.flatten(F.map_values("headers"))), lambda x: contains_text(x, part))
 
 
 def _body(part: str) -> Column:
@@ -119,7 +121,7 @@ KEYS: dict[str, tuple[int, Any]] = {
     "FROM": (1, lambda part: contains_text("from", part)),
     "TO": (1, lambda part: any_contains("to", part)),
     "CC": (1, lambda part: any_contains("cc", part)),
-    "BCC": (1, lambda part: F.lit(False)),  # what is received has none
+    "BCC": (1, lambda part: _header("bcc", part)),
     "SUBJECT": (1, lambda part: contains_text("subject", part)),
     "BODY": (1, _body),
     "TEXT": (1, lambda part: _head(part) | _body(part)),

@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterable
 
-from pyspark.errors import PySparkException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import no_array
+from ..sources.stored import Store
 from .criteria import DELETED, flag
 from .select import INBOX, LITERALS
 
 TRASH = "Trash"
+#: Old uids of one range, where messages are numbered anew.
+BLOCK = 65_536
 
 
 def _change(messages: DataFrame, uids: Iterable[int], folder: str, column: str, value: Column) -> DataFrame:
@@ -42,9 +43,41 @@ def delete(messages: DataFrame, uids: Iterable[int], folder: str = INBOX) -> Dat
     return expunge(mark_deleted(messages, uids, folder), folder)
 
 
-def move(messages: DataFrame, uids: Iterable[int], target: str = TRASH, folder: str = INBOX) -> DataFrame:
-    """uids stay as they are."""
-    return _change(messages, uids, folder, "folder", F.lit(target))
+def _picked(messages: DataFrame, uids: Iterable[int] | DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(the folder's rows of these uids, all other rows). Few uids are literals; more, or a table of
+    them, are joined."""
+    both = ["folder", "uid"]
+    if isinstance(uids, DataFrame):
+        asked = uids.select(F.lit(folder).alias("folder"), F.col("uid").cast("long").alias("uid"))
+        return messages.join(asked, both, "left_semi").select(*messages.columns), messages.join(asked, both, "left_anti").select(*messages.columns)
+    wanted = sorted({int(u) for u in uids})
+    inside = F.coalesce(F.col("folder") == folder, F.lit(False))
+    if len(wanted) <= LITERALS:
+        test = inside & F.coalesce(F.col("uid").isin(wanted), F.lit(False))
+        return messages.where(test), messages.where(~test)
+    return _picked(messages, messages.sparkSession.createDataFrame([(u,) for u in wanted], "uid long"), folder)
+
+
+def renumbered(rows: DataFrame, above: Column) -> DataFrame:
+    """rows with new uids in order of the old ones, without gaps from the number after `above`.
+
+    Rows are ordered within ranges of old uids only; a range starts at the sum of the sizes of those
+    before it, and only these sums are ordered as a whole: one number for each BLOCK uids."""
+    blocked = rows.withColumn("own block", F.floor(F.col("uid") / BLOCK))
+    sizes = blocked.groupBy("own block").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("own block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("own block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("own start"))
+    place = F.row_number().over(Window.partitionBy("own block").orderBy("uid"))
+    numbered = blocked.withColumn("own place", place).join(starts, "own block")
+    return numbered.withColumn("uid", (above + F.col("own start") + F.col("own place")).cast("long")).select(*rows.columns)
+
+
+def move(messages: DataFrame, uids: Iterable[int] | DataFrame, target: str = TRASH, folder: str = INBOX) -> DataFrame:
+    """The messages get new uids in the target, above all that it has, in their old order: so uids
+    stay unique there, and its tail has what came last. Uids that aren't there are left out."""
+    picked, others = _picked(messages, uids, folder)
+    highest = F.coalesce(messages.where(F.col("folder") == target).agg(F.max("uid")).scalar(), F.lit(0))
+    return others.unionByName(renumbered(picked, highest).withColumn("folder", F.lit(target)).select(*messages.columns))
 
 
 def has_folder(messages: DataFrame, folder: str) -> bool:
@@ -61,29 +94,12 @@ def trash(messages: DataFrame, uids: Iterable[int], folder: str = INBOX, to_tras
 
 
 def write_back(spark: SparkSession, path: str, uids: Iterable[int], folder: str = INBOX, to_trash: bool = True, target: str = TRASH) -> tuple[str, int]:
-    """(method, affected): moves or deletes in a stored table. Only the two folders' partitions are
-    read and written anew; a move that fails, and one to a folder that isn't there, becomes a
-    deletion. The new rows are complete beside the table before an old one goes."""
-    uids = list(uids)
-    messages = spark.read.parquet(path).where(F.col("folder").isin(folder, target))
-    if to_trash and has_folder(messages, target):
-        try:
-            _replace(spark, path, move(messages, uids, target, folder), (folder, target))
-            return "moved_to_trash", len(uids)
-        except PySparkException:
-            pass
-    _replace(spark, path, delete(messages.where(F.col("folder") == folder), uids, folder), (folder,))
+    """(method, affected): moves or deletes in a stored table. Only the two folders are read and
+    written anew, and change at once. A move is refused where there is no such folder, and becomes a
+    deletion; whatever else fails is an error, and the table stays as it was."""
+    uids, table = list(uids), Store(spark, path)
+    if to_trash and (table.has_folder(target) or folder == target):
+        table.replace(lambda rows: move(rows, uids, target, folder), [folder, target])
+        return "moved_to_trash", len(uids)
+    table.replace(lambda rows: delete(rows, uids, folder), [folder])
     return "permanently_deleted", len(uids)
-
-
-def _replace(spark: SparkSession, path: str, rows: DataFrame, folders: tuple[str, ...]) -> None:
-    staged = f"{path}/_staged-{uuid.uuid4().hex}"  # readers pass over such names
-    rows.write.partitionBy("folder").parquet(staged)
-    ready = spark.read.schema(rows.schema).parquet(staged)
-    ready.sortWithinPartitions("folder", "uid").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("folder").parquet(path)
-    root = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    left = {r["folder"] for r in ready.select("folder").distinct().collect()}
-    for folder in set(folders) - left:  # a folder without rows has nothing that could overwrite it
-        files.delete(spark._jvm.org.apache.hadoop.fs.Path(root, "folder=" + spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(folder)), True)
-    files.delete(spark._jvm.org.apache.hadoop.fs.Path(staged), True)

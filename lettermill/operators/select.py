@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import if_empty, if_null, iso_date, no_array, preview
+from ..schema import HEADERS
 from .criteria import asks_for_highest, compile_criteria
 
 INBOX = "INBOX"
@@ -58,10 +59,15 @@ def tail(messages: DataFrame, n: int) -> DataFrame:
     return messages.join(F.broadcast(cut), F.col("uid") > F.col("cut")).drop("cut")  # one row
 
 
+def with_headers(messages: DataFrame) -> DataFrame:
+    """messages with a column of further fields, without any where the table has none."""
+    return messages if "headers" in messages.columns else messages.withColumn("headers", F.lit(None).cast(HEADERS))
+
+
 def search(messages: DataFrame, criteria, folder: str | None = INBOX) -> DataFrame:
     box = messages if folder is None else open_box(messages, folder)
     highest = box.agg(F.max("uid")).scalar() if asks_for_highest(criteria) else None
-    return box.where(compile_criteria(criteria, highest))
+    return with_headers(box).where(compile_criteria(criteria, highest)).select(*messages.columns)
 
 
 def counts(found: DataFrame, limit: int) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.rules import connection_verdict, server, service_status, suggest_hosts
 from ..functions.text import count_or
 from ..operators import enrich, mutate, select
-from ..sources.messages import providers
+from ..sources.messages import providers, stored
 
 
 class RequestError(ValueError):
@@ -88,7 +88,7 @@ class Engine:
             raise RequestError("uids must be a list")
         self.table(connection)
         done = mutate.write_back(self.spark, path, uids, mailbox, move_to_trash)
-        self._tables[connection] = self.spark.read.parquet(path)
+        self._tables[connection] = stored(self.spark, path)
         return done
 
     def status(self) -> DataFrame:

@@ -161,6 +161,9 @@ _search("search_size", ["LARGER", "500", "SMALLER", 2000], "size > 500 AND size
 _search("search_uid_set", ["UID", "1:20,33,35,900:*"], "uid BETWEEN 1 AND 20 OR uid IN (33, 35) OR uid >= least(900, (SELECT max(uid) FROM x))")
 _search("search_or_not", ["NOT", ["OR", "SEEN", ["FROM", "gmail.com"]], "HEADER", "Subject", "a"], "NOT (seen OR contains(lower(sender), 'gmail.com')) AND contains(lower(subject), 'a')")
 
+_search("search_header", ["HEADER", "X-Priority", "3", "OR", "HEADER", "RECEIVED", "from b1", "BCC", "hidden"], "k % 5 = 3 AND (contains('from b' || k, 'from b1') OR k % 3 = 0)")
+_search("search_header_exists", ["!HEADER", "bcc", "", "HEADER", "message-id", "", "!HEADER", "x-absent", ""], "k % 3 <> 0")
+
 FOUND = ["FROM", ".com", "SUBJECT", "the"]
 FOUND_WHERE = f"folder = '{BOX}' AND contains(lower(sender), '.com') AND contains(lower(subject), 'the')"
 
@@ -325,9 +328,23 @@ def delete_permanent(spark, sf_dir):
     return mutate.delete(derived(spark, sf_dir), UIDS, BOX).select("uid", "folder", F.array_join("flags", ",").alias("flags"))
 
 
-@query("move_to_trash", sql(f"SELECT uid, CASE WHEN {WANTED} THEN 'Trash' ELSE folder END AS folder FROM x"))
+MOVED = "CASE WHEN {wanted} THEN '{target}' ELSE folder END AS folder, CASE WHEN {wanted} THEN {above} + row_number() OVER (PARTITION BY {wanted} ORDER BY uid) ELSE uid END AS uid"
+
+
+@query("move_to_trash", sql(f"SELECT {MOVED.format(wanted=WANTED, target='Trash', above=0)}, subject FROM x"))
 def move_to_trash(spark, sf_dir):
-    return mutate.trash(derived(spark, sf_dir), UIDS, BOX, target_exists=True)[0].select("uid", "folder")
+    return mutate.trash(derived(spark, sf_dir), UIDS, BOX, target_exists=True)[0].select("uid", "folder", "subject")
+
+
+OTHER = "src5"
+
+
+@query("move_to_folder", sql(f"""
+SELECT {MOVED.format(wanted="(folder = '" + BOX + "' AND uid % 2 = 1)", target=OTHER, above=f"(SELECT max(uid) FROM x WHERE folder = '{OTHER}')")}, subject FROM x"""))
+def move_to_folder(spark, sf_dir):
+    """Half of a folder, to the end of one that has messages."""
+    m = derived(spark, sf_dir)
+    return mutate.move(m, select.open_box(m, BOX).where("uid % 2 = 1"), OTHER, BOX).select("uid", "folder", "subject")
 
 
 @query("delete_fallback", sql(f"SELECT uid, folder, 'permanently_deleted' AS method, {len(UIDS)} AS affected FROM x WHERE NOT (folder = '{BOX}' AND (deleted OR uid IN ({', '.join(map(str, UIDS))})))"))

@@ -10,6 +10,9 @@ ATTACHMENT = T.StructType([
     T.StructField("size", T.LongType()),
 ])
 
+#: Further fields of the head by their lower-cased names, in order where they repeat.
+HEADERS = T.MapType(T.StringType(), T.ArrayType(T.StringType()))
+
 #: internal_date is when the server got a message, date what its head says. folder is a partition column where stored.
 MESSAGE = T.StructType([
     T.StructField("uid", T.LongType()),
@@ -25,4 +28,5 @@ MESSAGE = T.StructType([
     T.StructField("attachments", T.ArrayType(ATTACHMENT)),
     T.StructField("flags", T.ArrayType(T.StringType())),
     T.StructField("size", T.LongType()),
+    T.StructField("headers", HEADERS),
 ])

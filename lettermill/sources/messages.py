@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.rules import PORT, PROVIDERS
+from ..schema import MESSAGE
+from .stored import Store
 
 #: Of the derived messages: a sender's domain by user_id % 8.
 SENDER_DOMAINS = ["outlook.com", "Hotmail.com", "gmail.com", "one.com", "live.com", "msn.com", "phone.com", "example.org"]
@@ -30,24 +32,35 @@ def derived(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("toxic") == 1, F.lit("\\Deleted")),
     ))
     file = F.struct(F.concat(F.lit("file"), F.col("k").cast("string"), F.lit(".pdf")).alias("filename"), F.lit("application/pdf").alias("contentType"), (F.col("k") * 1000).alias("size"))
+    k = F.col("k").cast("string")
+    bcc = F.when(F.col("k") % 3 == 0, F.array(F.concat(F.lit("hidden"), k, F.lit("@example.org")))).otherwise(F.array().cast("array<string>"))
+    headers = F.map_from_arrays(
+        F.array(*map(F.lit, ("message-id", "x-priority", "received", "bcc"))),
+        F.array(F.array(F.concat(F.lit("<m"), F.col("uid").cast("string"), F.lit("@example.org>"))), F.array((F.col("k") % 5).cast("string")), F.array(F.concat(F.lit("from a"), k), F.concat(F.lit("from B"), k)), bcc),
+    )
     return docs.join(events, "uid").join(pages, "uid", "left").join(labels, "uid", "left").select(
         "uid", F.col("source").alias("folder"), F.col("ts").alias("internal_date"), F.col("ts").alias("date"),
         F.substring_index("text", "\n", 1).alias("subject"), sender.alias("from"),
         F.when(F.col("user_id") % 2 == 0, F.array(F.concat(user(1), F.lit("@example.org")), F.concat(user(7), F.lit("@"), domain))).otherwise(F.array(F.concat(user(1), F.lit("@example.org")))).alias("to"),
         F.array().cast("array<string>").alias("cc"), "html", F.col("text").alias("bodyText"),
         F.when(F.col("k") % 5 == 0, F.array(file)).otherwise(F.array().cast("array<struct<filename:string,contentType:string,size:long>>")).alias("attachments"),
-        flags.alias("flags"), F.col("n_chars").alias("size"),
+        flags.alias("flags"), F.col("n_chars").alias("size"), headers.alias("headers"),
     )
 
 
-def store(messages: DataFrame, path: str) -> None:
-    """As Parquet in a folder for each mail folder, in order of uid: a folder's scan then reads its
-    own files only, and uid ranges skip row groups. Large folders have many files."""
-    messages.repartition("folder", F.floor(F.col("uid") / 1_000_000)).sortWithinPartitions("folder", "uid").write.partitionBy("folder").parquet(path)
+def store(messages: DataFrame, path: str) -> Store:
+    """A new stored table: a folder for each mail folder, in order of uid. A folder's scan then reads its
+    own files only, and uid ranges skip row groups."""
+    table = Store(messages.sparkSession, path)
+    table.create(messages)
+    return table
 
 
 def stored(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    """The latest version of a stored table; or messages in plain Parquet files, by folder or not. Types
+    are those of the message table, never guessed: a folder 007 keeps its name."""
+    table = Store(spark, path)
+    return table.read() if table.exists() else spark.read.schema(MESSAGE).parquet(path)
 
 
 def providers(spark: SparkSession) -> DataFrame:

@@ -12,7 +12,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-PARSED = "subject string, from array<string>, to array<string>, cc array<string>, date timestamp_ntz, html string, bodyText string, attachments array<struct<filename:string,contentType:string,size:long>>"
+#: Fields of a head that are columns of their own; the others are in `headers`, by their lower-cased names.
+COLUMNS = {"subject", "from", "to", "cc", "date"}
+PARSED = "subject string, from array<string>, to array<string>, cc array<string>, date timestamp_ntz, html string, bodyText string, attachments array<struct<filename:string,contentType:string,size:long>>, headers map<string,array<string>>"
 
 
 def _parts(mail: EmailMessage) -> Iterator[EmailMessage]:
@@ -42,13 +44,17 @@ def parse(raw: bytes | None) -> dict:
 
 
 def _parse(raw: bytes | None) -> dict:
-    out = dict.fromkeys(("subject", "from", "to", "cc", "date", "html", "bodyText", "attachments"))
+    out = dict.fromkeys(("subject", "from", "to", "cc", "date", "html", "bodyText", "attachments", "headers"))
     if not raw:
         return out
     mail = message_from_bytes(bytes(raw), policy=policy.default)
     out["subject"] = mail["subject"] and str(mail["subject"])
     for name in ("from", "to", "cc"):
         out[name] = [str(v) for v in mail.get_all(name, [])] or None
+    out["headers"] = {}
+    for name, value in mail.items():
+        if name.lower() not in COLUMNS:
+            out["headers"].setdefault(name.lower(), []).append(str(value))
     try:
         date = parsedate_to_datetime(str(mail["date"])) if mail["date"] else None
         out["date"] = date.astimezone(UTC).replace(tzinfo=None) if date and date.tzinfo else date

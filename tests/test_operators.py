@@ -108,35 +108,6 @@ def test_many_uids(box):
     assert moved.columns == box.columns and moved.where("folder = 'Trash'").count() == 8
 
 
-def test_write_back(spark, box, tmp_path):
-    path = f"{tmp_path}/stored"
-    store(box.unionAll(box.where("uid = 10").withColumn("folder", F.lit("Trash")).withColumn("uid", F.lit(50).cast("long"))).unionAll(box.where("uid = 1").withColumn("folder", F.lit("a b/c"))), path)
-    shown = lambda: {(r["folder"], r["uid"]) for r in stored(spark, path).collect()}
-    others = {("a b/c", 1)}
-    assert mutate.write_back(spark, path, [3, 4]) == ("moved_to_trash", 2)
-    assert shown() == others | {("Trash", 50), ("Trash", 3), ("Trash", 4)} | {("INBOX", i) for i in (1, 2, 5, 6, 7, 8, 9, 10)}
-    assert mutate.write_back(spark, path, [1], to_trash=False) == ("permanently_deleted", 1)
-    assert shown() == others | {("Trash", 50), ("Trash", 3), ("Trash", 4)} | {("INBOX", i) for i in (5, 6, 7, 8, 9, 10)}
-    assert mutate.write_back(spark, path, [1], folder="a b/c", target="nowhere") == ("permanently_deleted", 1)
-    assert not others & shown()
-    engine = Engine(spark)
-    engine.register("w", stored(spark, path))
-    assert engine.delete_stored("w", path, [5]) == ("moved_to_trash", 1) and engine.search_counts("w", ["ALL"]).first()["totalFound"] == 5
-    with pytest.raises(RequestError):
-        engine.delete_stored("w", path, "5")
-
-
-def test_a_failed_move_deletes(spark, box, tmp_path, monkeypatch):
-    from pyspark.errors import PySparkException
-
-    path = f"{tmp_path}/stored"
-    store(box.unionAll(box.where("uid = 10").withColumn("folder", F.lit("Trash"))), path)
-    own = mutate._replace
-    monkeypatch.setattr(mutate, "_replace", lambda spark, path, rows, folders: own(spark, path, rows, folders) if len(folders) == 1 else (_ for _ in ()).throw(PySparkException("full")))
-    assert mutate.write_back(spark, path, [3]) == ("permanently_deleted", 1)
-    assert {(r["folder"], r["uid"]) for r in stored(spark, path).collect()} == {("Trash", 10)} | {("INBOX", i) for i in (1, 4, 5, 6, 7, 8, 9, 10)}
-
-
 def test_attached_messages_and_malformed_mail():
     inner = b"From: z@z.org\r\nSubject: inner\r\n\r\nINNER TEXT"
     raw = b"From: a@b.c\r\nMIME-Version: 1.0\r\nContent-Type: multipart/mixed; boundary=q\r\n\r\n--q\r\nContent-Type: text/plain\r\n\r\nbody\r\n--q\r\nContent-Type: message/rfc822\r\nContent-Disposition: attachment; filename=m.eml\r\n\r\n" + inner + b"\r\n--q--\r\n"
