@@ -2,21 +2,26 @@
 
 from __future__ import annotations
 
+import threading
+import time
+import uuid
+from collections import deque
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import reply as R
 from ..functions.text import shown_date
+from ..scratch import scratch_folder
 
 #: What a model is told, and the limits of a call.
 SYSTEM = "You are an intelligent email analyst. Analyze emails and return structured JSON responses with accurate categorization and actionable insights."
 TEMPERATURE, MAX_TOKENS, SECONDS = 0.3, 300, 30
 
 
-
 class Prompt(str):
     """What a backend gets: the prompt as text, with the limits that its call should keep to."""
 
@@ -47,28 +52,83 @@ def rule_reply(sender: Column, subject: Column, text: Column) -> Column:
     return let(let(F.lower(F.concat(subject, F.lit(" "), text)), kind), said)
 
 
-def ask(prompted: DataFrame, backend: Backend) -> DataFrame:
-    """prompted with the backend's reply to each prompt, and the error's text where it raises.
+class _Call:
+    """One prompt's call in a thread of its own, which nothing waits for beyond the limit."""
+
+    def __init__(self, backend: Backend, prompt: str, seconds: float, tries: int):
+        self.reply = self.error = None
+        self.tries, self.ends, self.done = 0, time.monotonic() + seconds, threading.Event()
+        threading.Thread(target=self._run, args=(backend, prompt, tries), daemon=True).start()
+
+    def _run(self, backend: Backend, prompt: str, tries: int) -> None:
+        error = None
+        while self.tries < tries and time.monotonic() < self.ends:
+            self.tries += 1
+            try:
+                self.reply, error = backend(Prompt(prompt)), None
+                break
+            except Exception as e:  # one message's failure is that message's result
+                error = str(e)
+        self.error = error
+        self.done.set()
+
+    def result(self, seconds: float) -> tuple[str | None, str | None, int]:
+        if not self.done.wait(max(0.0, self.ends - time.monotonic())):
+            return None, f"no reply within {seconds:g} s", self.tries
+        return self.reply, self.error, self.tries
+
+
+REPLY = "digest string, reply string, error string, tries int"
+
 
-    The backend is called in tasks, in batches; it is sent to executors, so it must be picklable
-    and bring its own time limit.
+def ask(prompted: DataFrame, backend: Backend, replies: str | None = None, window: int = 8, seconds: float = SECONDS, tries: int = 2) -> DataFrame:
+    """prompted with the backend's reply to each prompt, and the error's text where there is none.
+
+    Equal prompts are asked once. Each task has `window` calls under way at most; a call is tried again
+    where it raises, and given up after so many seconds in all: a backend that hangs ends nothing but
+    its own prompt. The backend is sent to executors, so it must be picklable.
+
+    replies: a folder of replies by the digest of their prompts, to which new ones are added. What it
+    has is not asked again; prompts that failed are. Without it a folder of this call is used. Calls
+    are made here, not when the result is read, and not again if it is read twice. A null prompt has
+    neither reply nor error.
     """
-    columns = list(prompted.columns)
+    spark, path, run_id = prompted.sparkSession, replies or scratch_folder(prompted.sparkSession), uuid.uuid4().hex
+    schema = f"{REPLY}, run string"
+    keyed = prompted.withColumn("own digest", F.sha2(F.col("prompt"), 256))
+    fresh = keyed.where("prompt IS NOT NULL").select(F.col("own digest").alias("digest"), "prompt").dropDuplicates(["digest"])
+    if _has_files(spark, path):
+        fresh = fresh.join(spark.read.schema(schema).parquet(path).where("error IS NULL"), "digest", "left_anti")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        waiting: deque[tuple[str, _Call]] = deque()
+
+        def first() -> tuple:
+            digest, call = waiting.popleft()
+            return (digest, *call.result(seconds))
+
         for batch in batches:
-            replies, errors = [], []
-            for prompt in batch["prompt"]:
-                try:
-                    replies.append(backend(Prompt(prompt)))
-                    errors.append(None)
-                except Exception as error:  # one message's failure is that message's result
-                    replies.append(None)
-                    errors.append(str(error))
-            yield batch[columns].assign(reply=replies, error=errors)
+            rows = []
+            for digest, prompt in zip(batch["digest"], batch["prompt"], strict=True):
+                if len(waiting) >= window:
+                    rows.append(first())
+                waiting.append((digest, _Call(backend, prompt, seconds, tries)))
+            if rows:
+                yield pd.DataFrame(rows, columns=["digest", "reply", "error", "tries"])
+        if waiting:
+            yield pd.DataFrame([first() for _ in range(len(waiting))], columns=["digest", "reply", "error", "tries"])
+
+    fresh.mapInPandas(run, REPLY).withColumn("run", F.lit(run_id)).write.mode("append").parquet(path)
+    # Of a prompt that two runs asked at once, one reply counts; of failures, this run's.
+    known = spark.read.schema(schema).parquet(path).where(F.col("error").isNull() | (F.col("run") == run_id))
+    known = known.groupBy("digest").agg(F.min(F.struct(F.col("error").isNotNull().alias("failed"), "reply", "error")).alias("own said"))
+    said = keyed.join(known, F.col("own digest") == F.col("digest"), "left")
+    return said.select(*prompted.columns, F.col("own said.reply").alias("reply"), F.col("own said.error").alias("error"))
+
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in prompted.schema)
-    return prompted.mapInPandas(run, f"{kinds}, reply string, error string")
+def _has_files(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
 def with_analysis(replied: DataFrame) -> DataFrame:
@@ -77,10 +137,11 @@ def with_analysis(replied: DataFrame) -> DataFrame:
     return out.withColumn("valid", R.valid(F.col("fields")))
 
 
-def analyze(messages: DataFrame, backend: Backend | None = None) -> DataFrame:
-    """uid, reply, analysis, fields, valid of each message; by rules without a backend."""
+def analyze(messages: DataFrame, backend: Backend | None = None, **limits: Any) -> DataFrame:
+    """uid, reply, analysis, fields, valid of each message; by rules without a backend. With one, its
+    errors too; limits: those of `ask`."""
     prompted = with_prompt(messages)
     if backend is None:
         replied = prompted.withColumn("reply", rule_reply(F.coalesce("from", F.lit("")), F.coalesce("subject", F.lit("")), F.coalesce("bodyText", F.lit(""))))
         return with_analysis(replied).select("uid", "reply", "analysis", "fields", "valid")
-    return with_analysis(ask(prompted.select("uid", "prompt"), backend)).select("uid", "reply", "error", "analysis", "fields", "valid")
+    return with_analysis(ask(prompted.select("uid", "prompt"), backend, **limits)).select("uid", "reply", "error", "analysis", "fields", "valid")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import if_empty, if_null, iso_date, no_array, preview
@@ -64,6 +64,42 @@ def with_headers(messages: DataFrame) -> DataFrame:
     return messages if "headers" in messages.columns else messages.withColumn("headers", F.lit(None).cast(HEADERS))
 
 
+def tail_of_each(messages: DataFrame, n: int) -> DataFrame:
+    """The n messages of the highest uids of every folder at once; 0 keeps all, as `tail` does.
+
+    Each task keeps n of a folder before anything is shuffled, so a folder with very many messages
+    sends n from each task, whatever its size."""
+    if n <= 0:
+        if n:
+            raise ValueError("a tail of each folder can't be negative")
+        return messages
+    rank = F.row_number().over(Window.partitionBy("folder").orderBy(F.desc("uid")))
+    return messages.withColumn("own rank", rank).where(F.col("own rank") <= n).drop("own rank")
+
+
+def mailbox_tree(messages: DataFrame, separator: str = "/") -> DataFrame:
+    """(root, tree) of each folder of the first level: a VARIANT of its messages, its separator and its
+    children, by their names, null where there are none.
+
+    Levels are put together from the deepest up, each by one grouping on the folder above. What is
+    gathered is folders, whose rows were counted before, never messages."""
+    counted = messages.where("folder IS NOT NULL").groupBy("folder").agg(F.count(F.lit(1)).alias("n"))
+    rows = mailboxes(counted, separator).join(counted.withColumnRenamed("folder", "path"), "path", "left")
+    nodes = rows.select("path", "name", "parent", "depth", F.coalesce("n", F.lit(0)).alias("n")).persist()
+    deepest = nodes.agg(F.max("depth")).first()[0]
+    quoted = lambda c: F.substring(F.to_json(F.array(c)), F.lit(2), F.length(F.to_json(F.array(c))) - 2)
+    below = None
+    for depth in range(deepest if deepest is not None else 0, -1, -1):
+        own = nodes.where(F.col("depth") == depth)
+        own = own.withColumn("children", F.lit(None).cast("string")) if below is None else own.join(below, F.col("path") == F.col("above"), "left").drop("above")
+        text = F.concat(F.lit('{"messages":'), F.col("n").cast("string"), F.lit(',"delimiter":'), quoted(F.lit(separator)), F.lit(',"children":'), F.coalesce("children", F.lit("null")), F.lit("}"))
+        level = own.select("name", "parent", text.alias("text"))
+        if depth:
+            entry = F.concat(quoted(F.col("name")), F.lit(":"), F.col("text"))
+            below = level.groupBy(F.col("parent").alias("above")).agg(F.concat(F.lit("{"), F.array_join(F.sort_array(F.collect_list(entry)), ","), F.lit("}")).alias("children"))
+    return level.select(F.col("name").alias("root"), F.parse_json("text").alias("tree"))
+
+
 def search(messages: DataFrame, criteria, folder: str | None = INBOX) -> DataFrame:
     box = messages if folder is None else open_box(messages, folder)
     highest = box.agg(F.max("uid")).scalar() if asks_for_highest(criteria) else None
