@@ -22,7 +22,8 @@ def raw(spark, tmp_path):
     rows = [(f, i, D(2024, 1, 1) + timedelta(hours=5 * i), ["\\Seen"] if i % 2 else [], f"Subject: m{i}\r\n\r\nFrom here on\n>From there\nend{i}".encode()) for f in ("INBOX", "007", "a/b c") for i in range(1, 31)]
     rows += [("odd", 1, None, None, b""), ("odd", 2, D(2024, 5, 5), ["a b"], b"\n\nFrom \n"), ("odd", 3, D(2024, 5, 6), [], b"x" * 3_000_000)]
     df = spark.createDataFrame(rows, KIND)
-    raw_mail.write_raw(df, f"{tmp_path}/raw", uids=10)
+    for n in range(4):
+        raw_mail.write_raw(df.where(F.floor(F.col("uid") / 10) == n), f"{tmp_path}/raw")
     return raw_mail.read_raw(spark, f"{tmp_path}/raw"), {(r[0], r[1]): r for r in rows}, f"{tmp_path}/raw"
 
 
