@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,10 +15,10 @@ CATEGORIES = ("work", "personal", "newsletter", "spam", "notification", "urgent"
 PRIORITIES = ("high", "medium", "low")
 ACTIONS = ("respond", "archive", "read-later", "delete", "forward")
 
-#: The prompt, before and after what is said of the message.
-HEAD = "Analyze this email and provide a structured assessment:\n\nFrom: "
+#: The prompt, with what is said of the message in braces, and what stands for no text.
 NO_TEXT = "No text content available"
-ASK = (
+TEMPLATE = (
+    "Analyze this email and provide a structured assessment:\n\nFrom: {sender}\nSubject: {subject}\nDate: {date}\nContent: {text}"
     "\n\nPlease provide:\n1. Category (work/personal/newsletter/spam/notification/urgent)\n2. Priority (high/medium/low)\n3. Brief summary (max 50 words)\n"
     "4. Suggested action (respond/archive/read-later/delete/forward)\n5. Key information extracted\n\nReturn as JSON format."
 )
@@ -25,7 +27,9 @@ ASK = (
 def prompt(sender: Column, subject: Column, date: Column, text: Column) -> Column:
     """What a model is asked about one message: its head, and the first part of its text."""
     body = if_empty(F.substring(F.coalesce(text, F.lit("")), 1, TEXT_IN_PROMPT), NO_TEXT)
-    return F.concat(F.lit(HEAD), sender, F.lit("\nSubject: "), subject, F.lit("\nDate: "), date, F.lit("\nContent: "), body, F.lit(ASK))
+    said = {"sender": sender, "subject": subject, "date": date, "text": body}
+    pieces = re.split(r"\{(\w+)\}", TEMPLATE)
+    return F.concat(*(said[piece] if i % 2 else F.lit(piece) for i, piece in enumerate(pieces)))
 
 
 def first_braces(reply: Column) -> Column:

@@ -33,6 +33,26 @@ UNKNOWN_ERROR = "Okänt fel vid anslutning"
 #: The model that analyses messages, and marks for the states of its service.
 MODEL = "gpt-oss:20b"
 MARKS = [("available", "✅"), ("bridge_down", "🔴"), ("timeout", "⏱️"), ("model_unavailable", "❌"), ("error", "⚠️")]
+#: What is said of a probe, with the server's answer or its name and port after or in it.
+PROBE = {"tcp": "TCP-anslutning misslyckades: ", "tls": "TLS-anslutning misslyckades: ", "greeting": "IMAP-server svarar inte korrekt: ", "before": "Anslutning till ", "after": " fungerar!"}
+#: Servers of known domains, by what a domain contains, and names to try at both ports.
+KNOWN_SERVERS = [(("gmail", "googlemail"), "imap.gmail.com:993 (Gmail)"), (("outlook", "hotmail", "live"), "outlook.office365.com:993 (Outlook)"), (("one.com",), "imap.one.com:993 (One.com)")]
+TRIED, TRIED_ALWAYS, TRIED_PORTS = ("imap.", "mail.", ""), ("imap.gmail.com", "outlook.office365.com"), (":993", ":143")
+#: What is said of the model's service in each state, and of an analysis that failed.
+STATES = {
+    "bridge_down": "OpenAI Bridge (port 8085) is not responding - check if ollama-bridge.py is running",
+    "timeout": "GPT-OSS service timeout (>5s) - service may be overloaded or starting up",
+    "error": "GPT-OSS unavailable: ",
+    "model_unavailable": "GPT-OSS 20B model not available in Ollama",
+    "available": "GPT-OSS 20B ready for email analysis",
+}
+STATUS = " AI Service Status: "
+FAILED = {
+    "timeout": "⏱️ GPT-OSS analysis timeout (>30s) - service may be overloaded\n💡 Suggestion: Try with a shorter email or retry later",
+    "busy": "🔄 GPT-OSS service temporarily unavailable (HTTP 503)\n💡 Suggestion: Model may be loading, try again in a few minutes",
+    "before": "❌ Analysis failed: ",
+    "after": "\n💡 Suggestion: Check AI service status with 'check_ai_status'",
+}
 
 
 def _col(x: Column | str) -> Column:
@@ -82,14 +102,10 @@ def suggest_hosts(address: Column | str, most: int = 5) -> Column:
     domain = F.coalesce(raw, F.lit("undefined"))
     holds = lambda *parts: F.coalesce(F.exists(F.array(*map(F.lit, parts)), lambda p: F.contains(raw, p)), F.lit(False))
     none = F.array().cast("array<string>")
-    own = [
-        (holds("gmail", "googlemail"), "imap.gmail.com:993 (Gmail)"),
-        (holds("outlook", "hotmail", "live"), "outlook.office365.com:993 (Outlook)"),
-        (holds("one.com"), "imap.one.com:993 (One.com)"),
-    ]
-    names = F.array(F.concat(F.lit("imap."), domain), F.concat(F.lit("mail."), domain), domain, F.lit("imap.gmail.com"), F.lit("outlook.office365.com"))
+    own = [(holds(*parts), server) for parts, server in KNOWN_SERVERS]
+    names = F.array(*(F.concat(F.lit(name), domain) for name in TRIED), *map(F.lit, TRIED_ALWAYS))
     other = F.filter(names, lambda n: raw.isNull() | (n != raw))
-    ports = F.flatten(F.transform(other, lambda n: F.array(F.concat(n, F.lit(":993")), F.concat(n, F.lit(":143")))))
+    ports = F.flatten(F.transform(other, lambda n: F.array(*(F.concat(n, F.lit(port)) for port in TRIED_PORTS))))
     return F.slice(F.concat(*(F.when(test, F.array(F.lit(value))).otherwise(none) for test, value in own), ports), 1, most)
 
 
@@ -101,11 +117,11 @@ def connection_verdict(host: Column | str, port: Column | str, tls: Column | str
     mute = ~F.contains(greeting, F.lit("OK"))
     message = first_match(
         [
-            (tcp_error.isNotNull(), F.concat(F.lit("TCP-anslutning misslyckades: "), tcp_error)),
-            (refused, F.concat(F.lit("TLS-anslutning misslyckades: "), tls_error)),
-            (mute, F.concat(F.lit("IMAP-server svarar inte korrekt: "), greeting)),
+            (tcp_error.isNotNull(), F.concat(F.lit(PROBE["tcp"]), tcp_error)),
+            (refused, F.concat(F.lit(PROBE["tls"]), tls_error)),
+            (mute, F.concat(F.lit(PROBE["greeting"]), greeting)),
         ],
-        F.concat(F.lit("Anslutning till "), _col(host), F.lit(":"), _col(port).cast("string"), F.lit(" fungerar!")),
+        F.concat(F.lit(PROBE["before"]), _col(host), F.lit(":"), _col(port).cast("string"), F.lit(PROBE["after"])),
     )
     good = tcp_error.isNull() & ~refused & ~mute
     return F.struct(good.alias("success"), message.alias("message"), tcp_error.isNull().alias("tcp"), (tcp_error.isNull() & tls & tls_error.isNull()).alias("tls"))
@@ -124,27 +140,14 @@ def service_status(error_code: Column | str, error_text: Column | str, models: C
     has = F.coalesce(F.array_contains(models, F.lit(MODEL)), F.lit(False))
     failed = code.isNotNull() | _col(error_text).isNotNull()
     status = first_match([(failed & (code == "ECONNREFUSED"), "bridge_down"), (failed & (code == "ETIMEDOUT"), "timeout"), (failed, "error"), (~has, "model_unavailable")], "available")
-    message = first_match(
-        [
-            (status == "bridge_down", "OpenAI Bridge (port 8085) is not responding - check if ollama-bridge.py is running"),
-            (status == "timeout", "GPT-OSS service timeout (>5s) - service may be overloaded or starting up"),
-            (status == "error", F.concat(F.lit("GPT-OSS unavailable: "), F.coalesce(_col(error_text), F.lit("undefined")))),
-            (status == "model_unavailable", "GPT-OSS 20B model not available in Ollama"),
-        ],
-        "GPT-OSS 20B ready for email analysis",
-    )
+    said = {name: F.lit(text) for name, text in STATES.items()} | {"error": F.concat(F.lit(STATES["error"]), F.coalesce(_col(error_text), F.lit("undefined")))}
+    message = first_match([(status == name, text) for name, text in said.items()], "")
     mark = first_match([(status == name, sign) for name, sign in MARKS], "")
-    shown = F.concat(mark, F.lit(" AI Service Status: "), F.upper(status), F.lit("\n"), message)
+    shown = F.concat(mark, F.lit(STATUS), F.upper(status), F.lit("\n"), message)
     return F.struct(status.alias("status"), message.alias("message"), shown.alias("shown"))
 
 
 def failure_message(error_code: Column | str, http_status: Column | str, error_text: Column | str) -> Column:
     """What an analysis that failed says."""
-    said = F.concat(F.lit("❌ Analysis failed: "), F.coalesce(_col(error_text), F.lit("undefined")), F.lit("\n💡 Suggestion: Check AI service status with 'check_ai_status'"))
-    return first_match(
-        [
-            (_col(error_code) == "ETIMEDOUT", "⏱️ GPT-OSS analysis timeout (>30s) - service may be overloaded\n💡 Suggestion: Try with a shorter email or retry later"),
-            (_col(http_status) == 503, "🔄 GPT-OSS service temporarily unavailable (HTTP 503)\n💡 Suggestion: Model may be loading, try again in a few minutes"),
-        ],
-        said,
-    )
+    said = F.concat(F.lit(FAILED["before"]), F.coalesce(_col(error_text), F.lit("undefined")), F.lit(FAILED["after"]))
+    return first_match([(_col(error_code) == "ETIMEDOUT", FAILED["timeout"]), (_col(http_status) == 503, FAILED["busy"])], said)

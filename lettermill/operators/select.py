@@ -131,8 +131,9 @@ def normalize(raw: DataFrame, folder: str | None = None) -> DataFrame:
     )
 
 
-def date_or_now(date: str = "date") -> Column:
-    return F.coalesce(F.col(date), F.localtimestamp())
+def date_or_now(date: str = "date", now: Column | None = None) -> Column:
+    """The date, or the present one, which may be given, where there is none."""
+    return F.coalesce(F.col(date), F.localtimestamp() if now is None else now)
 
 
 def body(html: Column, text: Column) -> Column:

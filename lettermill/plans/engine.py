@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.rules import connection_verdict, server, service_status, suggest_hosts
+from ..functions.rules import connection_verdict, detect_provider, server, service_status, suggest_hosts
 from ..functions.text import count_or
 from ..operators import enrich, mutate, select
 from ..sources.messages import providers, stored
@@ -34,6 +34,16 @@ class Engine:
         if view:
             messages.createOrReplaceTempView(connection)
 
+    def connect(self, connection: str, address: str, password: str, messages: DataFrame, provider: str | None = None, custom_host: str | None = None, custom_port: int | None = None) -> DataFrame:
+        """Registers messages as those of an address, and returns (connectionId, email, provider, host,
+        port). Without a name, an address or a password it is refused; the password isn't kept."""
+        if not address or not password:
+            raise RequestError("a connection needs an address and a password")
+        self.register(connection, messages)
+        asked = self.spark.createDataFrame([(connection, address, provider, custom_host, custom_port)], "connectionId string, email string, provider string, host string, port int")
+        found = asked.withColumn("s", server("email", "provider", "host", "port"))
+        return found.select("connectionId", "email", F.coalesce(F.nullif("provider", F.lit("")), detect_provider("email")).alias("provider"), "s.host", "s.port")
+
     def unregister(self, connection: str) -> None:
         self.table(connection)
         del self._tables[connection]
@@ -64,7 +74,7 @@ class Engine:
         return select.summary(select.tail(select.open_box(self.table(connection), mailbox), count), include_to)
 
     def search(self, connection: str, criteria, mailbox: str = select.INBOX, limit: int = select.FOUND, include_to: bool = False) -> DataFrame:
-        if criteria is None:
+        if criteria is None or criteria == "":
             raise RequestError("criteria are needed")
         return select.summary(select.tail(select.search(self.table(connection), criteria, mailbox), limit), include_to)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.requests import NEEDS, TAKEN, UNKNOWN, answers
 from ..operators import enrich, select
 from ..scratch import scratch_folder
 from ..sources.messages import derived
@@ -126,3 +127,31 @@ def ai_ask(spark, sf_dir):
     m, replies = derived(spark, sf_dir), scratch_folder(spark)
     enrich.analyze(m, rule_model, replies=replies)
     return enrich.analyze(m, rule_model, replies=replies).select("uid", "fields.category", "fields.priority", "fields.action", "valid", "error")
+
+
+REQUESTS = {"signup": "connect", "purchase": "disconnect", "view": "search", "click": "recent", "error": "delete"}
+_named = lambda text: "'" + text.replace("'", "''").replace("{id}", "' || id || '") + "'"
+
+
+@query("connection_requests", f"""
+WITH r AS (
+  SELECT event_id, CASE event_type {' '.join(f"WHEN '{a}' THEN '{b}'" for a, b in REQUESTS.items())} END AS kind, CASE WHEN event_id % 11 = 0 THEN '' ELSE 'user' || (user_id % 50) END AS id,
+    CASE WHEN event_id % 7 <> 0 THEN 'u' || user_id || '@example.org' END AS email, event_id % 13 = 0 AS no_password, event_id % 5 = 0 AS no_criteria, event_id % 3 = 0 AS no_uids FROM events
+), l AS (
+  SELECT *, id = '' OR (kind = 'connect' AND (email IS NULL OR no_password)) OR (kind = 'search' AND no_criteria) OR (kind = 'delete' AND no_uids) AS lacks FROM r
+), k AS (
+  SELECT *, id <> '' AND coalesce(last_value(CASE WHEN kind = 'connect' AND NOT lacks THEN true WHEN kind = 'disconnect' AND NOT lacks THEN false END IGNORE NULLS)
+    OVER (PARTITION BY id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS known FROM l
+)
+SELECT event_id, known, CASE WHEN lacks OR (kind = 'connect' AND known) THEN 400 WHEN kind <> 'connect' AND NOT known THEN 404 ELSE 200 END AS status,
+  CASE WHEN lacks THEN CASE kind {' '.join(f"WHEN '{k}' THEN '{text}'" for k, (_, text) in NEEDS.items())} END WHEN kind = 'connect' AND known THEN {_named(TAKEN)}
+    WHEN kind = 'connect' THEN 'Ansluten till ' || email || ' som ' || id WHEN NOT known THEN {_named(UNKNOWN)} WHEN kind = 'disconnect' THEN 'Frånkopplad från ' || id END AS message FROM k""")
+def connection_requests(spark, sf_dir):
+    events, n = spark.read.parquet(f"{sf_dir}/events.parquet"), F.col("event_id")
+    kind = F.try_element_at(F.create_map(*(F.lit(x) for pair in REQUESTS.items() for x in pair)), F.col("event_type"))
+    asked = events.select(
+        n.alias("event_id"), n.alias("number"), kind.alias("kind"), F.when(n % 11 == 0, "").otherwise(F.concat(F.lit("user"), (F.col("user_id") % 50).cast("string"))).alias("connectionId"),
+        F.when(n % 7 != 0, F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("@example.org"))).alias("email"), F.when(n % 13 == 0, "").otherwise("secret").alias("password"),
+        F.when(n % 5 != 0, "ALL").alias("criteria"), F.when(n % 3 != 0, F.array(n)).alias("uids"),
+    )
+    return answers(asked).select("event_id", "known", "status", "message")

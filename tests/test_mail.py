@@ -190,3 +190,26 @@ def test_calls_under_way(spark, tmp_path):
     most = max(int(r["reply"]) for r in enrich.ask(df, slow, window=4).collect())
     spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert 2 <= most <= 4
+
+
+def test_request_log(spark):
+    from lettermill.functions.requests import answers
+
+    rows = [("recent", "a"), ("connect", "a"), ("connect", "a"), ("search", "a"), ("delete", "a"), ("disconnect", "a"), ("mailboxes", "a"), ("connect", ""), ("connect", None), ("other", "a"), ("connect", "b"), ("mailboxes", "b")]
+    log = spark.createDataFrame([(i, k, c, "e@x.org", "p", None, None) for i, (k, c) in enumerate(rows)], "number int, kind string, connectionId string, email string, password string, criteria string, uids array<long>").repartition(3)
+    got = [(r["status"], r["known"]) for r in answers(log).orderBy("number").collect()]
+    assert got == [(404, False), (200, False), (400, True), (400, True), (400, True), (200, True), (404, False), (400, False), (400, False), (404, False), (200, False), (200, True)]
+
+
+def test_connect(spark):
+    from lettermill.plans.engine import Engine, RequestError
+
+    engine, table = Engine(spark), spark.createDataFrame([(1, "INBOX")], "uid long, folder string")
+    for bad in (("", "u@x.org", "p"), ("me", "", "p"), ("me", "u@x.org", None)):
+        with pytest.raises(RequestError):
+            engine.connect(*bad, table)
+    assert tuple(engine.connect("me", "u@GMAIL.com", "p", table).first()) == ("me", "u@GMAIL.com", "gmail", "imap.gmail.com", 993) and engine.connected("me")
+    with pytest.raises(RequestError):
+        engine.connect("me", "u@x.org", "p", table)
+    with pytest.raises(RequestError):
+        engine.search("me", "")
