@@ -25,7 +25,11 @@ from .near_dedup import WordHashes, shingles
 WORDS = 4
 SHARE = (85, 100)
 #: Least hashes by which sets are put together at first.
-KEYS = 3
+KEYS = 8
+#: How many times that is done, and members of the parts of all but the first.
+TURNS, PART = 2, 8
+#: Rows of up to four numbers that are broadcast at most; more are shuffled.
+BROADCAST_ROWS = 1_000_000
 #: A group has about so many members and tokens at most; a larger component is several groups.
 MEMBERS, TOKENS = 64, 200_000
 
@@ -104,18 +108,38 @@ def common_tokens(rows: DataFrame, scratch: list[str]) -> DataFrame:
     return each.select("id", F.col("common.token").alias("common"))
 
 
-def first_links(sets: DataFrame, scratch: list[str]) -> DataFrame:
-    """Links (a, b) between the first of those that have a least hash in common, and the others."""
-    least = [F.xxhash64(F.lit(k), F.array_min(F.transform("common", lambda t, k=k: F.xxhash64(t, F.lit(k))))) for k in range(KEYS)]
-    keyed = written(sets.select("id", F.explode(F.array(*least)).alias("key")), scratch)
-    leaders = keyed.groupBy("key").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "a")
-    pairs = written(keyed.join(written(leaders, scratch), "key").where("id <> a").select("a", F.col("id").alias("b")).distinct(), scratch)
+def similar_pairs(pairs: DataFrame, sets: DataFrame, scratch: list[str]) -> DataFrame:
+    """The pairs (a, b) whose sets are similar."""
     own = sets.select("id", "n_shingles", "common")
     both = written(pairs.join(own.toDF("b", "m", "common_b"), "b"), scratch).join(own.toDF("a", "n", "common_a"), "a")
     near = near_sizes("n", "m") & enough(F.least(F.size("common_a"), F.size("common_b")), "n", "m")
     return both.where(near).where(enough(overlap("common_a", "common_b"), "n", "m")).select("a", "b")
 
 
+def first_links(sets: DataFrame, scratch: list[str]) -> DataFrame:
+    """Links (a, b) between sets with a least hash in common, of which one is compared with all others.
+
+    What has the same least hash and is still in several components is dealt into small parts in
+    further turns, each with a first of its own. So the members of a large group of near copies meet
+    some dozens of others each, and grow together, however many they are."""
+    hashed = lambda k: lambda t: F.xxhash64(t, F.lit(k))
+    least = [F.xxhash64(F.lit(k), F.array_min(F.transform("common", hashed(k)))) for k in range(KEYS)]
+    keyed = written(sets.select("id", F.explode(F.array(*least)).alias("key")), scratch)
+    links, found = None, sets.select("id", F.col("id").alias("component"))
+    for turn in range(TURNS):
+        rows = written(keyed.join(found, "id", "left").withColumn("component", F.coalesce("component", "id")), scratch)
+        several = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("members")).where("low <> high")
+        part = F.pmod(F.xxhash64("id", "key", F.lit(turn)), F.ceil(F.col("members") / PART)) if turn else F.lit(0)
+        rows = written(rows.join(written(several.select("key", "members"), scratch), "key").withColumn("part", part), scratch)
+        order = F.struct(F.xxhash64("id", "key", F.lit(-1 - turn)).alias("order"), "id", "component")
+        leaders = written(rows.groupBy("key", "part").agg(F.min(order).alias("first")).select("key", "part", F.col("first.id").alias("a"), F.col("first.component").alias("of")), scratch)
+        pairs = written(rows.join(leaders, ["key", "part"]).where(F.col("component") != F.col("of")).select("a", F.col("id").alias("b")).distinct(), scratch)
+        more = written(similar_pairs(pairs, sets, scratch), scratch)
+        links = more if links is None else links.unionAll(more)
+        found = components(links, scratch).toDF("id", "component")
+    return links
+
+
 def placed_in_groups(sets: DataFrame, links: DataFrame, scratch: list[str]) -> DataFrame:
     """sets with component, grown (its members) and group: a component, or a part of a large one."""
     found = components(links, scratch).toDF("id", "component")
@@ -188,7 +212,9 @@ def joined(docs: DataFrame) -> DataFrame:
     wanted = classes.join(written(unique_in_sample(named), scratch), "set_id", "left").where(may_miss(F.col("unique")))
     wanted = wanted.select("id", "n_shingles", "row.doc_id", "row.text_key")
 
-    texts = docs.join(written(wanted, scratch), ["doc_id", "text_key"]).select("id", "text").dropDuplicates(["id"])
+    wanted = written(wanted, scratch)
+    few = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted  # else whole texts are shuffled
+    texts = docs.join(few, ["doc_id", "text_key"]).select("id", "text").dropDuplicates(["id"])
     rows = written(token_rows(texts), scratch)
     sets = wanted.select("id", "n_shingles").join(common_tokens(rows, scratch), "id")
     sets = written(sets.where(may_miss(F.col("n_shingles") - F.size("common"))), scratch)
