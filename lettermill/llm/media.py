@@ -192,16 +192,29 @@ def info(data: bytes | None) -> dict | None:
         found = tracks(data) if data else []
         if not found:
             return None
-        track = next((t for t in found if t.kind == "vide"), found[0])
+        track = shown(found)
         keys = [{"offset": a, "length": n} for a, n in track.keyframes()]
     except (ValueError, struct.error, IndexError):
         return None
     return {"codec": track.codec, "timescale": track.scale, "duration": sum(n * each for n, each in track.durations), "samples": len(track.sizes), "keyframes": keys}
 
 
-def read_samples(data: bytes) -> bytes:
-    """The samples of the first track, joined."""
-    return b"".join(data[a : a + n] for a, n in tracks(data)[0].ranges())
+def shown(found: list[Track]) -> Track:
+    """The track that is described and read: the first video track, else the first."""
+    return next((t for t in found if t.kind == "vide"), found[0])
+
+
+def read_samples(data: bytes | None) -> bytes | None:
+    """The samples of the track that `info` describes, joined. None if data is null or no container with a
+    track, if a table can't be read, or if a sample lies outside the file: never a part of the samples."""
+    try:
+        found = tracks(data) if data else []
+        ranges = shown(found).ranges() if found else None
+        if ranges is None or any(a + n > len(data) for a, n in ranges) or len(ranges) != len(shown(found).sizes):
+            return None
+    except (ValueError, struct.error, IndexError):
+        return None
+    return b"".join(data[a : a + n] for a, n in ranges)
 
 
 def pack_column(df: DataFrame, payload: str = "payload", out: str = "media") -> DataFrame:
@@ -222,9 +235,14 @@ def probe_column(df: DataFrame, media: str = "media", out: str = "media_info") -
 
 
 def unpack_column(df: DataFrame, media: str = "media", out: str = "payload") -> DataFrame:
-    """df with the samples' bytes, found through the sample tables."""
+    """df with the samples' bytes, found through the sample tables.
+
+    Null for null and empty media, for what isn't a container with a track, for one that is cut or has
+    damaged tables, and where samples lie outside the file. A column named like `out` is replaced;
+    others, and repeated rows, stay; an empty table gives no rows.
+    """
     field = T.StructType([T.StructField(out, T.BinaryType())])
-    return with_columns(df, [media], field, lambda: lambda rows: {out: [read_samples(x) if x else None for x in rows[media]]})
+    return with_columns(df, [media], field, lambda: lambda rows: {out: [read_samples(x) for x in rows[media]]})
 
 
 DIGESTS = T.StructType([
