@@ -1,15 +1,17 @@
 """Quality classifier from weak labels.
 
-Heuristic labelers vote on each document (good, bad, or nothing); some overlap. A document is good or
-has one of a few faults; labelers look for one fault each. Expectation-maximisation over the counts of
-all vote patterns estimates how often each labeler votes bad on good documents and on those of each
-fault. The posterior labels train a hashed linear scorer, which decides.
+Heuristic labelers vote on each document (good, bad, or nothing). A document may have any of a few faults;
+three labelers or more look for each, in different ways, so their votes overlap. For each fault,
+expectation-maximisation over the counts of its labelers' vote patterns estimates how many documents have
+it, and how often each labeler votes bad with it and without: nothing but the votes decides these. The
+posterior labels train a hashed linear scorer, which decides.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections.abc import Callable, Iterable
 from operator import eq
 
@@ -27,31 +29,56 @@ LABELLED = 20_000
 TRAINED = 3_000
 BUCKETS = 1 << 16
 KEEP = 0.5
+#: A learned word is so many times as frequent in toxic documents, at least; and the most telling ones.
+LEAST_LIFT, LIFT = 8, 15
 
 TOKEN = re.compile(r"\w+")
+ODD = re.compile(r"[^\w\s.,;:!?'\"()\-]")
+LETTER = re.compile(r"[^\W\d_]")
+ENDING = re.compile(r"\w[^\w\s.,;:!?'\"()\-]+(?!\S)|(?<!\S)[^\w\s.,;:!?'\"()\-]+(?!\S)")
 MARKS = re.compile(r"[^\w\s]{3,}")
 BARE = re.compile(r"(?<!\S)[^\w\s]+(?!\S)")
 
 
+class Lexicon(dict):
+    """Words of toxic documents with the logarithms of how many times as often they are there; `taught`
+    are those of the highest lift."""
+
+    def __init__(self, lifts: dict[str, float]):
+        super().__init__((word, math.log(lift)) for word, lift in lifts.items())
+        self.taught = frozenset(word for word, lift in lifts.items() if lift >= LIFT)
+
+
 class Facts:
     """What the labelers look at in one text."""
 
-    def __init__(self, text: str, learned: frozenset[str]):
+    def __init__(self, text: str, learned: Lexicon):
         words = text.split()
         self.n = n = len(words)
         most = max(1, n)
         tokens = TOKEN.findall(text.lower())
         self.distinct = set(tokens)
         self.marks = (len(MARKS.findall(text)) + len(BARE.findall(text))) / most
+        self.odd = len(ODD.findall(text)) / max(1, len(text) - n)
+        self.endings = len(ENDING.findall(text)) / most
+        letters = len(LETTER.findall(text))
         self.upper = sum(map(str.isupper, words)) / most
+        self.capitals = sum(map(str.isupper, text)) / max(1, letters)
         self.shouts = text.count("!!") / most
         self.doubled = sum(map(eq, words, words[1:])) / most
         triples = max(0, n - 2)
         self.fresh = len(set(zip(words, words[1:], words[2:]))) / triples if triples else 1.0
+        raw = text.encode()
+        self.packed = len(zlib.compress(raw, 1)) / len(raw) if len(raw) >= 200 else 1.0
         self.ends = sum(w[-1] in ".!?" for w in words) / most
-        taught = self.distinct & learned
+        found = self.distinct & learned.keys()
+        taught = found & learned.taught
+        self.several = len(taught)
+        self.several_share = len(taught) / max(1, len(self.distinct))
         self.taught = sum(map(taught.__contains__, tokens)) if taught else 0
         self.taught_share = self.taught / max(1, len(tokens))
+        self.weight = sum(learned[w] for w in found)
+        self.weight_share = self.weight / max(1, len(self.distinct))
 
 
 def _between(value: Callable[[Facts], float], good: float, bad: float, least: int = 1) -> Callable[[Facts], int]:
@@ -59,22 +86,28 @@ def _between(value: Callable[[Facts], float], good: float, bad: float, least: in
     return lambda f: 0 if f.n < least else 1 if value(f) <= good else -1 if value(f) >= bad else 0
 
 
-#: What may be wrong with a document, and who looks for it. Labelers of one fault overlap.
-FAULTS = {"symbols": ("marks",), "shouting": ("upper", "shouts"), "repeating": ("doubled", "loops", "sentences"), "toxic": ("taught",), "empty": ("empty",)}
+#: What may be wrong with a document, and who looks for it.
+FAULTS = {"symbols": ("marks", "odd", "endings"), "shouting": ("upper", "capitals", "shouts"), "repeating": ("doubled", "loops", "packed", "sentences"), "toxic": ("taught", "several", "weighed")}
 LABELERS: dict[str, Callable[[Facts], int]] = {
     "marks": lambda f: 0 if f.n == 0 else 1 if f.marks <= 0.04 or f.marks * f.n < 3 else -1 if f.marks >= 0.12 else 0,
+    "odd": lambda f: 0 if f.n == 0 else 1 if f.odd <= 0.015 else -1 if f.odd >= 0.04 else 0,
+    "endings": lambda f: 0 if f.n < 4 else 1 if f.endings <= 0.04 else -1 if f.endings >= 0.12 else 0,
     "upper": _between(lambda f: f.upper, 0.3, 0.5, 5),
+    "capitals": _between(lambda f: f.capitals, 0.2, 0.4, 5),
     "shouts": _between(lambda f: f.shouts, 0.05, 0.15, 3),
     "doubled": _between(lambda f: f.doubled, 0.05, 0.12, 10),
-    "loops": _between(lambda f: 1 - f.fresh, 0.4, 0.6, 20),
+    "loops": _between(lambda f: 1 - f.fresh, 0.35, 0.5, 20),
+    "packed": _between(lambda f: 1 - f.packed, 0.7, 0.77, 20),
     "sentences": lambda f: 0 if f.n < 30 else 1 if 0.004 <= f.ends <= 0.6 else -1,
     "taught": lambda f: 0 if f.n == 0 else -1 if f.taught >= 2 and f.taught_share >= 0.006 else 1 if f.taught_share < 0.002 else 0,
-    "empty": lambda f: -1 if f.n == 0 else 1,
+    "several": lambda f: 0 if f.n == 0 else -1 if f.several >= 2 and f.several_share >= 0.008 else 1 if f.several_share < 0.004 else 0,
+    "weighed": lambda f: 0 if f.n == 0 else -1 if f.weight >= 6 and f.weight_share >= 0.04 else 1 if f.weight_share < 0.02 else 0,
+    "empty": lambda f: -1 if f.n == 0 else 1,  # a fact, of which nothing is estimated
 }
 EMPTY = list(LABELERS).index("empty")
 
 
-def vote(text: str | None, learned: frozenset[str]) -> tuple[str, Facts]:
+def vote(text: str | None, learned: Lexicon) -> tuple[str, Facts]:
     """One character for each labeler: + - 0."""
     facts = Facts(text or "", learned)
     return "".join("0+-"[test(facts)] for test in LABELERS.values()), facts
@@ -103,22 +136,22 @@ def sample_units(rows: list[tuple[int, bytes | None]]) -> list[int]:
     return [find(i) for i in range(len(rows))]
 
 
-def learn_lexicon(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> frozenset[str]:
+def learn_lexicon(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Lexicon:
     """Words that labelled toxic documents have far more often than others: in at least 3 and one
-    in 200 of them, and 15 times as often. Documents are counted by groups of near copies (by the
+    in 200 of them, and 8 times as often. Documents are counted by groups of near copies (by the
     sketches of near_dedup), both where a word occurs and in all: a group counts once as toxic and
     once as not, if it has such members.
 
-    Fitted on at most `labelled` labelled rows, those of least hash. Their ids and 520-byte sketches
-    go to the driver, for that bound, and so do the chosen words: at most 200 times the words of a
-    toxic document. A labelled id without a document counts nowhere; where documents repeat an id,
-    each counts by its own text.
+    Fitted on at most `labelled` labelled rows, those of least hash, and at most as many different texts of
+    theirs. Sketches of 520 bytes go to the driver, for that bound, and so do the chosen words: at most
+    200 times the words of a toxic document. A labelled id without a document counts nowhere; where
+    documents repeat an id, each counts by its own text, within the bound.
     """
     spark, scratch = docs.sparkSession, []
     sample = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled)
     texts = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(sample), "doc_id").where("toxic IN (0, 1)")
-    texts = written(texts.select("toxic", F.xxhash64("text").alias("text_key"), "text").dropDuplicates(["toxic", "text_key"]), scratch)
+    texts = written(texts.select("toxic", F.xxhash64("text").alias("text_key"), "text").dropDuplicates(["toxic", "text_key"]).orderBy(F.xxhash64("text_key"), "text_key", "toxic").limit(labelled), scratch)
     sketches = near_dedup.sketch_column(texts.select("text_key", "text")).select("text_key", "registers").orderBy("text_key").collect()
     units = sample_units([(r["text_key"], r["registers"]) for r in sketches])
     numbered = spark.createDataFrame([(r["text_key"], unit) for r, unit in zip(sketches, units, strict=True)], "text_key long, unit int").distinct()
@@ -126,56 +159,73 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED)
     counts = {r["toxic"]: r["n"] for r in own.groupBy("toxic").agg(F.countDistinct("unit").alias("n")).collect()}
     if len(counts) < 2:
         drop_tables(spark, scratch)
-        return frozenset()
+        return Lexicon({})
     bad, good = counts[1], counts[0]
     words = own.select("toxic", "unit", F.explode("own").alias("word")).where("word <> ''").distinct()
     each = words.groupBy("word").agg(F.sum("toxic").alias("in_bad"), F.sum(1 - F.col("toxic")).alias("in_good"))
     lift = F.col("in_bad") / bad / ((F.col("in_good") + 0.5) / good)
-    chosen = each.where((F.col("in_bad") >= max(3, bad / 200)) & (lift >= 15))
-    learned = frozenset(r["word"] for r in chosen.select("word").collect())
+    chosen = each.where((F.col("in_bad") >= max(3, bad / 200)) & (lift >= LEAST_LIFT))
+    learned = Lexicon({r["word"]: r["lift"] for r in chosen.select("word", lift.alias("lift")).collect()})
     drop_tables(spark, scratch)
     return learned
 
 
 class Estimate:
-    """What expectation-maximisation finds: the share of good documents and of each fault; bad[k, j],
-    the chance that labeler j's vote is bad where k holds (0: good); each pattern's posterior of
-    being good."""
+    """What expectation-maximisation finds: share, by fault, of documents that have it; bad[1, j] and
+    bad[0, j], the chances that labeler j votes bad with its fault and without; after, each pattern's
+    posterior of having no fault."""
 
-    def __init__(self, share: np.ndarray, bad: np.ndarray, after: dict[str, float]):
+    def __init__(self, share: dict[str, float], bad: np.ndarray, after: dict[str, float]):
         self.share, self.bad, self.after = share, bad, after
 
     def right(self) -> dict[str, tuple[float, float]]:
-        """For each labeler, how often its vote is right: on good documents, on those of its fault."""
-        own = [k for name in LABELERS for k, names in enumerate(FAULTS.values(), 1) if name in names]
-        return {name: (1 - self.bad[0, j], self.bad[own[j], j]) for j, name in enumerate(LABELERS)}
-
-
-def estimate(counts: dict[str, int], rounds: int = 200) -> Estimate:
-    """A vote of nothing says nothing. Ten votes, mostly right, are added to each count of votes,
-    so no chance is 0 or 1. On good documents a quarter of all votes is added, of which one in 500
-    is bad: a bad vote alone could as well be an error as a fault, and labelers are made to err
-    seldom. A labeler votes bad nowhere more often than on its own fault, which holds the faults in
-    their places."""
-    own = np.array([[name in names for name in LABELERS] for names in [(), *FAULTS.values()]])
-    signs = np.array([[(c == "+") - (c == "-") for c in p] for p in counts], float).reshape(len(counts), len(LABELERS))
-    n = np.array(list(counts.values()), float)
+        """For each labeler, how often its vote is right: without its fault, and with it."""
+        return {name: (1 - self.bad[0, j], self.bad[1, j]) for j, name in enumerate(LABELERS)}
+
+
+#: Where estimates begin, and what counts as PRIOR votes of each labeler and PRIOR documents of each
+#: fault beside the real ones: so no chance is 0 or 1, and a few documents can't say anything odd.
+BEGIN_WITHOUT, BEGIN_WITH, BEGIN_SHARE, PRIOR = 0.02, 0.85, 0.05, 10
+
+
+def two_classes(signs: np.ndarray, n: np.ndarray, rounds: int = 500) -> tuple[float, np.ndarray, np.ndarray]:
+    """(share, bad, after) of one fault from its labelers' votes: signs has a row for each pattern, with
+    -1 for bad, 1 for good and 0 for nothing, which says nothing; n is how often each occurs."""
     plus, minus = (signs > 0).astype(float), (signs < 0).astype(float)
-    start = np.where(own, 0.9, 0.05)
-    start[0] = 0.002
-    added = np.where(np.arange(len(own)) == 0, 10 + n.sum() / 4, 10.0)[:, None]
-    begin = np.where(np.arange(len(own)) == 0, 0.8, 0.2 / len(FAULTS))
-    bad, share = start, begin
-    after = np.empty((len(counts), len(own)))
+    begin = np.array([[BEGIN_WITHOUT], [BEGIN_WITH]])
+    bad, share = np.repeat(begin, signs.shape[1], axis=1), BEGIN_SHARE
+    after = np.zeros(len(n))
     for _ in range(rounds):
-        log = np.log(share) + minus @ np.log(bad.T) + plus @ np.log(1 - bad.T)
-        after = np.exp(log - log.max(axis=1, keepdims=True))
-        after /= after.sum(axis=1, keepdims=True)
-        held = n[:, None] * after
-        bad = (held.T @ minus + added * start) / (held.T @ (plus + minus) + added)
-        bad = np.where(own, bad, np.minimum(bad, (bad * own).max(axis=0)))
-        share = (held.sum(axis=0) + 10 * begin) / (n.sum() + 10)
-    return Estimate(share, bad, dict(zip(counts, after[:, 0].tolist(), strict=True)))
+        log = np.log([1 - share, share]) + minus @ np.log(bad.T) + plus @ np.log(1 - bad.T)
+        now = 1 / (1 + np.exp((log[:, 0] - log[:, 1]).clip(-500, 500)))
+        held = n[:, None] * np.stack([1 - now, now], axis=1)
+        bad = (held.T @ minus + PRIOR * begin) / (held.T @ (plus + minus) + PRIOR)
+        share = (held[:, 1].sum() + PRIOR * BEGIN_SHARE) / (n.sum() + PRIOR)
+        if len(n) and np.abs(now - after).max() < 1e-9:
+            break
+        after = now
+    if bad[0].sum() > bad[1].sum():  # the classes have changed places
+        bad, share, after = bad[::-1], 1 - share, 1 - after
+    return share, bad, after
+
+
+def estimate(counts: dict[str, int]) -> Estimate:
+    """Each fault has a class of its own, whatever else a document has: a labeler that votes bad by
+    chance, or is mostly wrong, is found out by the others of its fault. A text without words has
+    none of these, and is never good."""
+    names = list(LABELERS)
+    signs = np.array([[(c == "+") - (c == "-") for c in p] for p in counts], float).reshape(len(counts), len(names))
+    n = np.array(list(counts.values()), float)
+    share, bad, fine = {}, np.full((2, len(names)), 0.5), np.ones(len(counts))
+    for fault, members in FAULTS.items():
+        own = [names.index(m) for m in members]
+        # Patterns that agree on these labelers are one.
+        kinds, at = np.unique(signs[:, own], axis=0, return_inverse=True)
+        share[fault], bad[:, own], after = two_classes(kinds, np.bincount(at.ravel(), n, len(kinds)))
+        fine *= 1 - after[at.ravel()]
+    bad[:, EMPTY] = 0, 1
+    fine[signs[:, EMPTY] < 0] = 0
+    return Estimate(share, bad, dict(zip(counts, fine.tolist(), strict=True)))
 
 
 class Buckets(dict):
@@ -222,14 +272,14 @@ def train(rows: list[tuple[np.ndarray, str, float]], rounds: int = 80) -> np.nda
 class Model:
     """A learned lexicon, what is known of the labelers, and the scorer's weights."""
 
-    def __init__(self, learned: frozenset[str], labelers: Estimate, weights: np.ndarray):
+    def __init__(self, learned: Lexicon, labelers: Estimate, weights: np.ndarray):
         self.learned, self.labelers, self.weights = learned, labelers, weights
 
 
 VOTED = T.StructType([T.StructField("votes", T.StringType()), T.StructField("buckets", T.BinaryType())])
 
 
-def vote_column(docs: DataFrame, learned: frozenset[str], without: Iterable[str] = ()) -> DataFrame:
+def vote_column(docs: DataFrame, learned: Lexicon, without: Iterable[str] = ()) -> DataFrame:
     """docs with votes and buckets (of the text's words, two bytes each): all that the scorer needs."""
 
     def start():
@@ -244,7 +294,7 @@ def vote_column(docs: DataFrame, learned: frozenset[str], without: Iterable[str]
     return with_columns(docs, ["text"], VOTED, start, without=list(without))
 
 
-def fit(voted: DataFrame, learned: frozenset[str], trained: int = TRAINED) -> Model:
+def fit(voted: DataFrame, learned: Lexicon, trained: int = TRAINED) -> Model:
     """From votes, buckets and text_key: votes are counted over all documents, copies of a text
     once. The scorer learns from at most `trained` different texts, those of least hash, whatever
     the order of rows; their buckets go to the driver. Without documents every score is 0.5."""

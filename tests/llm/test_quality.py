@@ -1,46 +1,107 @@
+import math
 import os
 import random
 
+import numpy as np
 import pytest
 
 from lettermill.llm import quality
 
 DATA = "/root/testdata/sf0.01"
+NONE = quality.Lexicon({})
 
 
-def test_estimates_from_patterns():
-    """Patterns drawn from known chances, with a fault that two labelers share and votes of nothing."""
-    rnd = random.Random(1)
-    names, faults = list(quality.LABELERS), list(quality.FAULTS)
-    share = [0.7, 0.1, 0.05, 0.08, 0.06, 0.01]
-    own = {name: k for k, members in enumerate(quality.FAULTS.values(), 1) for name in members}
-    truth = {name: (0.003, 0.95 - 0.04 * i) for i, name in enumerate(names)}
+def drawn(n, share, truth, silent=0.0, seed=1):
+    """Patterns of n documents: share by fault, truth (chance of a bad vote without and with) by labeler."""
+    rnd = random.Random(seed)
+    own = {name: fault for fault, members in quality.FAULTS.items() for name in members}
     counts = {}
-    for _ in range(40_000):
-        kind = rnd.choices(range(6), share)[0]
-        votes = "".join("0" if rnd.random() < 0.2 else "+-"[rnd.random() < truth[name][own[name] == kind]] for name in names)
+    for _ in range(n):
+        has = {fault for fault, p in share.items() if rnd.random() < p}
+        votes = "".join("0" if rnd.random() < silent else "+-"[rnd.random() < truth[name][own[name] in has]] if name in truth else "+" if name == "empty" else "0" for name in quality.LABELERS)
         counts[votes] = counts.get(votes, 0) + 1
-    found = quality.estimate(counts)
-    assert len(faults) == 5 and all(abs(a - b) < 0.03 for a, b in zip(found.share, share))
-    for name, (good, bad) in found.right().items():
-        k = own[name]
-        assert abs(good - 0.997) < 0.004 and abs(bad * found.share[k] - truth[name][1] * share[k]) < 0.01, name
-        # How often a fault's only labeler misses it can't be told from votes; with others it can.
-        assert len(quality.FAULTS[faults[k - 1]]) == 1 or abs(bad - truth[name][1]) < 0.05, name
+    return counts
+
+
+SHARE = {"symbols": 0.1, "shouting": 0.05, "repeating": 0.08, "toxic": 0.06}
+
+
+@pytest.mark.parametrize(("silent", "false", "least"), [(0.2, 0.003, 0.5), (0.0, 0.05, 0.6), (0.1, 0.15, 0.7)])
+def test_estimates_from_patterns(silent, false, least):
+    """Chances that patterns were drawn from come back, whatever they are; votes of nothing say nothing."""
+    names = [n for n in quality.LABELERS if n != "empty"]
+    truth = {name: (false, min(0.97, least + 0.06 * (i % 5))) for i, name in enumerate(names)}
+    found = quality.estimate(drawn(150_000, SHARE, truth, silent))
+    assert all(abs(found.share[f] - p) < 0.02 for f, p in SHARE.items())
+    for name in names:
+        good, bad = found.right()[name]
+        assert abs(good - 1 + truth[name][0]) < 0.05 and abs(bad - truth[name][1]) < 0.05, name
     assert all(0 <= p <= 1 for p in found.after.values())
     assert quality.estimate({}).after == {}
 
 
+@pytest.mark.parametrize("sensitivity", [0.9, 0.2])
+def test_a_labeler_is_judged_by_the_others(sensitivity):
+    """One labeler of a fault is as good, or as bad, as its votes show; one that is mostly wrong too."""
+    truth = {name: (0.05, 0.8) for name in quality.LABELERS if name != "empty"} | {"taught": (0.05, sensitivity), "odd": (0.6, 0.3)}
+    found = quality.estimate(drawn(30_000, SHARE, truth, seed=3)).right()
+    assert abs(found["taught"][1] - sensitivity) < 0.05 and abs(found["odd"][0] - 0.4) < 0.05 and abs(found["odd"][1] - 0.3) < 0.07
+
+
+@pytest.mark.parametrize("false", [0.05, 0.15])
+def test_three_labelers_of_one_fault(false):
+    found = quality.estimate(drawn(10_000 if false < 0.1 else 100_000, {"repeating": 0.1}, {name: (false, 0.7) for name in ("doubled", "loops", "sentences")}, seed=5))
+    for name in ("doubled", "loops", "sentences"):
+        good, bad = found.right()[name]
+        assert abs(good - 1 + false) < 0.05 and abs(bad - 0.7) < 0.05
+    assert abs(found.share["repeating"] - 0.1) < 0.03 and all(found.share[f] < 0.06 for f in ("symbols", "shouting", "toxic"))
+
+
+def test_no_other_estimate_is_likelier():
+    """The votes' likelihood with the prior's, by adding up both classes for each pattern, falls with any step away."""
+    rnd = random.Random(9)
+    signs = np.array([[rnd.choice((-1, 1, 1, 1, 0)) for _ in range(3)] for _ in range(20)], float)
+    n = np.array([rnd.randrange(1, 300) for _ in range(20)], float)
+    share, bad, after = quality.two_classes(signs, n, rounds=20_000)
+
+    def value(share, bad):
+        total = 0.0
+        for row, times in zip(signs, n, strict=True):
+            both = 0.0
+            for k, p in ((0, 1 - share), (1, share)):
+                for j, sign in enumerate(row):
+                    p *= bad[k, j] if sign < 0 else 1 - bad[k, j] if sign > 0 else 1
+                both += p
+            total += times * math.log(both)
+        begin = (quality.BEGIN_WITHOUT, quality.BEGIN_WITH)
+        prior = sum(quality.PRIOR * (begin[k] * math.log(bad[k, j]) + (1 - begin[k]) * math.log(1 - bad[k, j])) for k in (0, 1) for j in range(3))
+        return total + prior + quality.PRIOR * (quality.BEGIN_SHARE * math.log(share) + (1 - quality.BEGIN_SHARE) * math.log(1 - share))
+
+    best = value(share, bad)
+    for _ in range(300):
+        step = np.clip(bad + np.array([[rnd.gauss(0, 0.02) for _ in range(3)] for _ in range(2)]), 1e-3, 1 - 1e-3)
+        assert value(min(0.99, max(0.01, share + rnd.gauss(0, 0.02))), step) <= best + 1e-6
+    for row, p in zip(signs, after, strict=True):
+        odds = [q * math.prod(bad[k, j] if s < 0 else 1 - bad[k, j] if s > 0 else 1 for j, s in enumerate(row)) for k, q in ((0, 1 - share), (1, share))]
+        assert abs(odds[1] / sum(odds) - p) < 1e-6
+
+
 def test_votes():
     name = list(quality.LABELERS).index
-    assert quality.vote(None, frozenset())[0] == "0" * (len(quality.LABELERS) - 1) + "-"
-    votes = quality.vote("The cat sat. It was warm and the sun shone over all the fields there.", frozenset())[0]
+    assert quality.vote(None, NONE)[0] == "0" * (len(quality.LABELERS) - 1) + "-"
+    votes = quality.vote("The cat sat. It was warm and the sun shone over all the fields there.", NONE)[0]
     assert "-" not in votes and votes[name("marks")] == "+"
-    assert quality.vote("you utter scum and trash idiot", frozenset({"scum", "idiot"}))[0][name("taught")] == "-"
-    assert quality.vote("x " * 50, frozenset())[0][name("doubled")] == "-"
-    assert quality.vote("WHY!! NOT!! THIS!! AGAIN!! AND!! MORE!!", frozenset())[0][name("shouts")] == "-"
-    assert quality.vote("one | two | three | four | five", frozenset())[0][name("marks")] == "-"
-    assert quality.vote('token = "abc" and more words', frozenset())[0][name("marks")] == "+"
+    assert quality.vote("you utter scum and trash idiot", quality.Lexicon({"scum": 20, "idiot": 30}))[0][name("taught")] == "-"
+    assert quality.vote("x " * 50, NONE)[0][name("doubled")] == "-"
+    assert quality.vote("WHY!! NOT!! THIS!! AGAIN!! AND!! MORE!!", NONE)[0][name("shouts")] == "-"
+    assert quality.vote("one | two | three | four | five", NONE)[0][name("marks")] == "-"
+    odd = quality.vote("the### end$$$ is*** near&&& now%%% here", NONE)[0]
+    assert [odd[name(n)] for n in ("marks", "odd", "endings")] == ["-"] * 3
+    loud = quality.vote("WHY!! NOT!! THIS!! AGAIN!! AND!! MORE!!", NONE)[0]
+    assert [loud[name(n)] for n in ("upper", "capitals", "shouts")] == ["-"] * 3
+    loops = quality.vote("Here it goes. " * 60, NONE)[0]
+    assert [loops[name(n)] for n in ("loops", "packed")] == ["-"] * 2
+    assert quality.vote('token = "abc" and more words', NONE)[0][name("marks")] == "+"
 
 
 def test_sample_units():
@@ -85,7 +146,7 @@ def labelled_words(spark, copies):
     rows = [(i, t, toxic) for i, (t, toxic) in enumerate([(t, 1) for t in bad] + [(t, 0) for t in clean] + [(t, 1) for t in copies(bad[0])])]
     docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").repartition(3)
     labels = spark.createDataFrame([(i, 1, toxic) for i, _, toxic in rows], "doc_id long, quality int, toxic int")
-    return set(quality.learn_lexicon(docs, labels)), set(taught)
+    return set(quality.learn_lexicon(docs, labels).taught), set(taught)
 
 
 def test_lexicon_with_a_third_of_copies(spark):
@@ -119,3 +180,17 @@ def test_query_and_clashing_columns(spark, docs_of, folder):
     named = docs_of(texts).selectExpr("*", "'mine' AS votes", "1 AS Kept", "2 AS text_key")
     kept = quality.keep_good(named, labels)
     assert kept.columns == named.columns and [(r["doc_id"], r["votes"], r["Kept"], r["text_key"]) for r in kept.collect()] == [(0, "mine", 1, 2)]
+
+
+def test_repeated_ids_keep_the_bound(spark):
+    """Many documents of one labelled id don't widen the sample."""
+    docs = spark.createDataFrame([(1, f"slur{i} text number{i}") for i in range(50)] + [(2, "a clean one")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 1), (2, 1, 0)], "doc_id long, quality int, toxic int")
+    seen = []
+    real = quality.sample_units
+    quality.sample_units = lambda rows: seen.append(len(rows)) or real(rows)
+    try:
+        quality.learn_lexicon(docs, labels, labelled=10)
+    finally:
+        quality.sample_units = real
+    assert seen == [10]
