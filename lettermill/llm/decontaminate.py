@@ -10,14 +10,15 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Sequence
 from functools import reduce
+from itertools import accumulate
 
 import numpy as np
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table, text_of, with_columns, written
+from .common import ascii_lower, drop_tables, table, text_of, with_columns, written
 
 WINDOW = 13
 SHARE = 20  # contaminated: hit words are at least one in so many
@@ -158,13 +159,30 @@ class Automaton:
                 spans.append([start, end])
 
 
-def _blocks(items: DataFrame, block_words: int) -> list[DataFrame]:
-    count = F.size(F.regexp_extract_all(text_of(), F.lit(r"([^\x00-\x2F\x3A-\x60\x7B-\x7F]+)"), F.lit(1)))
-    total = items.agg(F.sum(count)).first()[0] or 0
-    n = max(1, -(-total // block_words))
-    if n == 1:
+def _pieces(items: DataFrame, window: int, piece_words: int) -> DataFrame:
+    """(item_id, text, n): items of more than piece_words words cut into pieces that overlap by a window
+    less one word, so each window is whole in one of them. Shorter items are one piece."""
+    own = F.regexp_extract_all(ascii_lower(text_of()), F.lit(r"([^\x00-\x2F\x3A-\x60\x7B-\x7F]+)"), F.lit(1))
+    each = items.select("item_id", own.alias("own")).where(F.size("own") > 0)
+    count = F.greatest(F.lit(1), F.ceil((F.size("own") - (window - 1)) / piece_words)).cast("int")
+    cut = F.transform(F.sequence(F.lit(0), count - 1), lambda k: F.slice("own", k * piece_words + 1, F.lit(piece_words + window - 1)))
+    return each.select("item_id", F.explode(cut).alias("own")).select("item_id", F.array_join("own", " ").alias("text"), F.size("own").alias("n"))
+
+
+def _blocks(items: DataFrame, window: int, block_words: int, scratch: list[str]) -> list[DataFrame]:
+    """Parts of the items, each of about block_words words, whatever one item's length is and however many
+    items are equal: pieces are counted along, in each stored partition and over the partitions' sums."""
+    pieces = _pieces(items, window, max(1, block_words // 10))
+    total = pieces.agg(F.sum("n")).first()[0] or 0
+    if total <= block_words:
         return [items]
-    return [items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) for k in range(n)]
+    stored = written(pieces.withColumn("part", F.spark_partition_id()).withColumn("place", F.monotonically_increasing_id()), scratch)
+    sums = {r["part"]: r["n"] for r in stored.groupBy("part").agg(F.sum("n").alias("n")).collect()}  # one number a partition
+    before = dict(zip(sorted(sums), accumulate([0, *(sums[p] for p in sorted(sums))])))
+    start = F.try_element_at(F.create_map(*(F.lit(x) for pair in before.items() for x in pair)), F.col("part"))
+    along = F.sum("n").over(Window.partitionBy("part").orderBy("place").rowsBetween(Window.unboundedPreceding, -1))
+    numbered = written(stored.withColumn("block", F.floor((start + F.coalesce(along, F.lit(0))) / block_words)), scratch)
+    return [numbered.where(F.col("block") == k).select("item_id", "text") for k in range(-(-total // block_words))]
 
 
 def _marked(docs: DataFrame, block: DataFrame, window: int) -> tuple[DataFrame, Broadcast]:
@@ -199,10 +217,12 @@ def match_column(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_
 
     Documents are never shuffled where one automaton holds all items. Larger item tables are taken
     in blocks of about block_words, one after another: docs are numbered and stored, each block is
-    streamed over them, and only its hits are stored and joined. So what is broadcast, and what a
-    worker holds, is bounded by block_words however many items there are.
+    streamed over them, and only its hits are stored and joined. Long items are cut, so what the driver
+    builds and sends, and what a worker holds, is bounded by block_words however many or long the items
+    are. The work is that of the blocks times the documents.
     """
-    blocks = _blocks(items.select(F.col("item_id").cast("string").alias("item_id"), "text"), block_words)
+    scratch: list[str] = []
+    blocks = _blocks(items.select(F.col("item_id").cast("string").alias("item_id"), "text"), window, block_words, scratch)
     if len(blocks) == 1:
         return _marked(docs, blocks[0], window)[0]
     kept = [c for c in docs.columns if c.lower() not in HITS.names]
@@ -212,6 +232,7 @@ def match_column(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_
         marked, sent = _marked(numbered.select("row", "text"), block, window)
         hits.append(written(marked.where(F.size("hit_spans") > 0).select("row", "hit_spans", "hit_items")))
         sent.destroy()
+    drop_tables(docs.sparkSession, scratch)
     every = reduce(DataFrame.unionAll, hits).groupBy("row").agg(F.flatten(F.collect_list("hit_spans")).alias("hit_spans"), F.flatten(F.collect_list("hit_items")).alias("hit_items"))
 
     def step(rows):
@@ -242,7 +263,8 @@ def contaminated(share: int = SHARE) -> Column:
 
 
 def remove_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The documents that aren't contaminated, with the columns of docs."""
+    """The documents that aren't contaminated, with the columns of docs. Null and empty texts have no
+    words and stay; repeated rows are judged alike; an empty table gives no rows."""
     own = {c: f"own {c}" if c.lower() in HITS.names else c for c in docs.columns}
     marked = match_column(docs.withColumnsRenamed(own), items)
     return marked.where(~contaminated()).select(*(F.col(f"`{name}`").alias(c) for c, name in own.items()))

@@ -289,3 +289,37 @@ def test_what_a_worker_keeps_is_freed_at_the_next_stage():
     assert seen() is common.kept(("owner",), Owner)
     common._drop_kept()
     assert seen() is None
+
+
+def test_decontamination_with_one_item_above_a_block(spark, docs_of, monkeypatch):
+    """A long item is cut, equal items are spread, and no automaton gets much more than a block."""
+    rnd = random.Random(12)
+    long = [f"L{rnd.randrange(400)}" for _ in range(900)]
+    texts = [" ".join(long[a : a + n]) for a, n in ((0, 900), (95, 13), (88, 40), (399, 12), (700, 200), (887, 13))] + ["none of it", None, "short Item here"]
+    items = [("9", " ".join(long)), *[(str(100 + i), " ".join(long[50:70])) for i in range(30)], ("5", "SHORT item"), ("6", None), ("7", "!")]
+    sizes = []
+    real = decontaminate.Automaton
+
+    def watched(listed, window):
+        sizes.append(sum(len(w) for _, w in listed))
+        return real(listed, window)
+
+    monkeypatch.setattr(decontaminate, "Automaton", watched)
+    bench = spark.createDataFrame(items, "item_id string, text string").repartition(3)
+    rows = {r["doc_id"]: r for r in decontaminate.match_column(docs_of(texts), bench, block_words=200).collect()}
+    for i, text in enumerate(texts):
+        n, hit, names = decontaminate.brute(text, items)
+        assert (rows[i]["n_words"], sum(s["end"] - s["start"] for s in rows[i]["hit_spans"]), rows[i]["hit_items"]) == (n, hit, names)
+    assert len(sizes) >= 6 and max(sizes) <= 200 + 33
+
+
+def test_unpacking_hostile_media(spark):
+    """Nulls, junk, cut containers and samples outside the file give null, and nothing fails."""
+    stored = media.pack(media.pad(b"payload " * 400))
+    chunks = stored.index(b"stco") + 12
+    outside = stored[:chunks] + struct.pack(">I", len(stored)) + stored[chunks + 4 :]
+    rows = [(0, stored), (1, None), (2, b""), (3, b"junk"), (4, stored[:-200]), (5, stored[:300]), (6, outside), (7, b"\0\0\0\x08moov"), (8, stored)]
+    df = spark.createDataFrame([(*r, "mine") for r in rows], "id int, media binary, Payload string")
+    got = {r["id"]: r["payload"] for r in media.unpack_column(df).collect()}
+    assert got[0] == got[8] == media.pad(b"payload " * 400) and all(got[i] is None for i in range(1, 8)) and len(got) == 9
+    assert media.unpack_column(df.where("false")).count() == 0
