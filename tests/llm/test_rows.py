@@ -298,13 +298,13 @@ def test_decontamination_with_one_item_above_a_block(spark, docs_of, monkeypatch
     texts = [" ".join(long[a : a + n]) for a, n in ((0, 900), (95, 13), (88, 40), (399, 12), (700, 200), (887, 13))] + ["none of it", None, "short Item here"]
     items = [("9", " ".join(long)), *[(str(100 + i), " ".join(long[50:70])) for i in range(30)], ("5", "SHORT item"), ("6", None), ("7", "!")]
     sizes = []
-    real = decontaminate.Automaton
+    real = decontaminate._marked
 
-    def watched(listed, window):
-        sizes.append(sum(len(w) for _, w in listed))
-        return real(listed, window)
+    def watched(docs, block, window):
+        sizes.append(sum(len(decontaminate.words(r["text"])) for r in block.collect()))
+        return real(docs, block, window)
 
-    monkeypatch.setattr(decontaminate, "Automaton", watched)
+    monkeypatch.setattr(decontaminate, "_marked", watched)
     bench = spark.createDataFrame(items, "item_id string, text string").repartition(3)
     rows = {r["doc_id"]: r for r in decontaminate.match_column(docs_of(texts), bench, block_words=200).collect()}
     for i, text in enumerate(texts):
