@@ -228,6 +228,15 @@ def list_providers(spark, sf_dir):
     return providers(spark).select("key", "name")
 
 
+@query("provider_usage", sql(f"""
+SELECT p.key, p.name, p.host, 993 AS port, count(d.uid) AS messages FROM (VALUES {", ".join(f"('{key}', '{name}', '{host}')" for key, name, host in rules.PROVIDERS)}) AS p(key, name, host)
+LEFT JOIN (SELECT uid, {DETECTED} AS provider FROM x) d ON d.provider = p.key GROUP BY ALL"""))
+def provider_usage(spark, sf_dir):
+    """Each known provider, with how many messages come from its domains; counted before the join."""
+    counted = derived(spark, sf_dir).groupBy(rules.detect_provider(_address()).alias("key")).agg(F.count(F.lit(1)).alias("messages"))
+    return providers(spark).join(counted, "key", "left").select("key", "name", "host", "port", F.coalesce("messages", F.lit(0)).alias("messages"))
+
+
 @query("suggest_hosts", sql(f"""
 SELECT uid, array_to_string(list_slice(list_concat(
     CASE WHEN dom IS NOT NULL AND (contains(dom, 'gmail') OR contains(dom, 'googlemail')) THEN ['imap.gmail.com:993 (Gmail)'] ELSE [] END,
