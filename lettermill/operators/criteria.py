@@ -182,3 +182,39 @@ def compile_criteria(criteria: list | tuple | str | None, highest: Column | None
         test, at = _take(parts, at, highest)
         tests.append(test)
     return reduce(lambda a, b: a & b, tests) if tests else F.lit(True)
+
+
+#: A text that a message must have somewhere, or several of which it must have all ("and") or one ("or").
+Needed = str | tuple[str, list]
+#: Keys whose last argument must occur in a message, as it is or in another case.
+TEXTS = ("FROM", "TO", "CC", "BCC", "SUBJECT", "BODY", "TEXT", "HEADER")
+
+
+def needed(criteria: list | tuple | str | None) -> Needed | None:
+    """What the texts of each message that meets the criteria must have; None where that says nothing."""
+    parts = [criteria] if isinstance(criteria, str) else list(criteria or [])
+    found, at = [], 0
+    while at < len(parts):
+        one, at = _needed_at(parts, at)
+        found += [] if one is None else [one]
+    return None if not found else found[0] if len(found) == 1 else ("and", found)
+
+
+def _needed_at(parts: list, at: int) -> tuple[Needed | None, int]:
+    if at >= len(parts):
+        raise CriteriaError("a criterion is missing at the end")
+    part = parts[at]
+    if isinstance(part, (list, tuple)):
+        return needed(part), at + 1
+    key = str(part).upper()
+    if key == "NOT":
+        return None, _needed_at(parts, at + 1)[1]
+    if key == "OR":
+        one, at = _needed_at(parts, at + 1)
+        other, at = _needed_at(parts, at)
+        return (None if one is None or other is None else ("or", [one, other])), at
+    if (known := KEYS.get(key.removeprefix("!"))) is None:
+        raise CriteriaError(f"unknown criterion: {part}")
+    after = at + 1 + known[0]
+    text = str(parts[after - 1]).lower() if key in TEXTS and after <= len(parts) else ""
+    return text or None, after

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from ..functions.requests import NEEDS, TAKEN, UNKNOWN, answers
 from ..operators import enrich, select
 from ..scratch import scratch_folder
-from ..sources.messages import derived
+from ..sources.messages import derived, store
 from ..sources.mime import parse_column
 from ..sources.raw_mail import read_raw, write_raw
+from ..sources.text_index import TextIndex
 from ..streaming import lifecycle
 from .queries import BOX, QUERIES, SQL, query, sql
 
@@ -62,6 +63,15 @@ def raw_mail_search(spark, sf_dir):
     return found.select("uid", "folder", F.array_join("flags", ",").alias("flags"))
 
 
+@query("search_indexed", sql(f"""
+SELECT uid, folder FROM x WHERE (contains(lower(body_text), 'worthless') OR contains(lower(coalesce(html, '')), 'worthless') OR contains(lower(sender), 'hotmail')) AND NOT seen"""))
+def search_indexed(spark, sf_dir):
+    """The messages stored, their texts indexed by file, and a search that reads the files that can have it."""
+    index = TextIndex(store(derived(spark, sf_dir), scratch_folder(spark)))
+    index.build()
+    return index.search(["OR", "BODY", "worthless", "FROM", "hotmail", "UNSEEN"], None).select("uid", "folder")
+
+
 @query("recent_by_folder", sql("SELECT folder, uid, subject FROM (SELECT *, row_number() OVER (PARTITION BY folder ORDER BY uid DESC) AS r FROM x) WHERE r <= 10"))
 def recent_by_folder(spark, sf_dir):
     return select.tail_of_each(derived(spark, sf_dir), select.RECENT).select("folder", "uid", "subject")
