@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.requests import NEEDS, TAKEN, UNKNOWN, answers
+from ..functions.sql import register_functions
 from ..operators import enrich, select
 from ..scratch import scratch_folder
 from ..sources.messages import derived, store
@@ -165,3 +166,13 @@ def connection_requests(spark, sf_dir):
         F.when(n % 5 != 0, "ALL").alias("criteria"), F.when(n % 3 != 0, F.array(n)).alias("uids"),
     )
     return answers(asked).select("event_id", "known", "status", "message")
+
+
+@query("sql_search", sql("SELECT folder, uid FROM x WHERE NOT (seen OR contains(lower(sender), 'gmail.com')) AND contains(lower(subject), 'a') AND date >= TIMESTAMP '2024-01-02' AND k % 5 = 3"))
+def sql_search(spark, sf_dir):
+    """Criteria in SQL text, over a view."""
+    register_functions(spark)
+    derived(spark, sf_dir).createOrReplaceTempView("mail_of_tables")
+    return spark.sql("""
+        SELECT folder, uid FROM mail_of_tables WHERE NOT (mail_flag(flags, 'Seen') OR mail_text(`from`, 'GMAIL.com')) AND mail_text(subject, 'A')
+          AND mail_since(internal_date, mail_day('2-Jan-2024')) AND mail_header(headers, 'X-Priority', '3')""")

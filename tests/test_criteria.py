@@ -50,3 +50,28 @@ def test_filters_reach_the_scan(spark, messages, tmp_path):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "isnotnull(folder" in plan.split("PartitionFilters: ")[1].split("PushedFilters")[0] and "GreaterThanOrEqual(internal_date" in plan
     assert "TakeOrderedAndProject" in plan and "html" not in plan.split("ReadSchema")[1] and "Exchange" not in plan
+
+
+@pytest.mark.parametrize(("where", "asked"), [
+    ("mail_flag(flags, 'Seen')", ["SEEN"]), ("NOT mail_flag(flags, 'Seen')", ["UNSEEN"]), ("mail_keyword(flags, 'work')", ["KEYWORD", "work"]), ("mail_text(`from`, 'U1')", ["FROM", "U1"]), ("NOT mail_text(`from`, 'x')", ["!FROM", "x"]),
+    ("mail_any(`to`, 'ANN')", ["TO", "ann"]), ("mail_any(cc, 'bob')", ["CC", "bob"]), ("mail_header(headers, 'RECEIVED', 'from b')", ["HEADER", "received", "from b"]), ("mail_since(internal_date, mail_day('3-Jan-2024'))", ["SINCE", "3-Jan-2024"]),
+    ("mail_before(internal_date, mail_day('2024-01-03'))", ["BEFORE", "3-Jan-2024"]), ("mail_on(internal_date, DATE '2024-01-03') OR mail_text(subject, 'hello')", ["OR", "ON", "3-Jan-2024", "SUBJECT", "hello"]),
+])
+def test_criteria_in_sql(spark, messages, where, asked):
+    from lettermill.functions.sql import register_functions
+
+    register_functions(spark)
+    messages.createOrReplaceTempView("mail_tested")
+    got = spark.sql(f"SELECT uid FROM mail_tested WHERE {where}")
+    assert sorted(r["uid"] for r in got.collect()) == sorted(r["uid"] for r in search(messages, asked).collect())
+
+
+def test_sql_criteria_reach_the_scan(spark, messages, tmp_path):
+    from lettermill.functions.sql import register_functions
+    from lettermill.sources.messages import store, stored
+
+    register_functions(spark)
+    store(messages, f"{tmp_path}/m")
+    stored(spark, f"{tmp_path}/m").createOrReplaceTempView("mail_stored")
+    plan = spark.sql("SELECT uid FROM mail_stored WHERE folder = 'INBOX' AND mail_since(internal_date, mail_day('3-Jan-2024'))")._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(internal_date" in plan and "Python" not in plan
