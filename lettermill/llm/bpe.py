@@ -248,7 +248,11 @@ DIGESTS = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("
 
 def digests(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each text, encoded and decoded: both in one
-    pass through Python, so that ids never go through the JVM."""
+    pass through Python, so that ids never go through the JVM.
+
+    Null and empty texts have no ids, and the digests of nothing. Rows without an id and repeated rows
+    each return; other columns are ignored, also those with the new names; an empty table gives no rows.
+    """
     path, pattern = _vocabulary(path, pattern)
     sha = lambda values: [hashlib.sha256(x.as_buffer()).hexdigest() for x in values]
 
