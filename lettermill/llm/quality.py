@@ -33,8 +33,9 @@ KEEP = 0.5
 LEAST_LIFT, LIFT = 8, 15
 
 TOKEN = re.compile(r"\w+")
-ODD = re.compile(r"[^\w\s.,;:!?'\"()\-]")
-LETTER = re.compile(r"[^\W\d_]")
+#: Bytes that aren't deleted where they are counted: odd symbols, ASCII capitals, ASCII letters.
+NOT_ODD = bytes(set(range(256)) - set(b"#$%&*+/<=>@[\\]^`{|}~"))
+CAPITALS, LETTERS = bytes(range(65, 91)), bytes((*range(65, 91), *range(97, 123)))
 ENDING = re.compile(r"\w[^\w\s.,;:!?'\"()\-]+(?!\S)|(?<!\S)[^\w\s.,;:!?'\"()\-]+(?!\S)")
 MARKS = re.compile(r"[^\w\s]{3,}")
 BARE = re.compile(r"(?<!\S)[^\w\s]+(?!\S)")
@@ -59,16 +60,16 @@ class Facts:
         tokens = TOKEN.findall(text.lower())
         self.distinct = set(tokens)
         self.marks = (len(MARKS.findall(text)) + len(BARE.findall(text))) / most
-        self.odd = len(ODD.findall(text)) / max(1, len(text) - n)
-        self.endings = len(ENDING.findall(text)) / most
-        letters = len(LETTER.findall(text))
+        raw = text.encode()
+        odd = len(raw.translate(None, NOT_ODD))
+        self.odd = odd / max(1, len(text) - n)
+        self.endings = len(ENDING.findall(text)) / most if odd else 0.0
         self.upper = sum(map(str.isupper, words)) / most
-        self.capitals = sum(map(str.isupper, text)) / max(1, letters)
+        self.capitals = (len(raw) - len(raw.translate(None, CAPITALS))) / max(1, len(raw) - len(raw.translate(None, LETTERS)))
         self.shouts = text.count("!!") / most
         self.doubled = sum(map(eq, words, words[1:])) / most
         triples = max(0, n - 2)
         self.fresh = len(set(zip(words, words[1:], words[2:]))) / triples if triples else 1.0
-        raw = text.encode()
         self.packed = len(zlib.compress(raw, 1)) / len(raw) if len(raw) >= 200 else 1.0
         self.ends = sum(w[-1] in ".!?" for w in words) / most
         found = self.distinct & learned.keys()
