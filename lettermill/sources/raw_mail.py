@@ -21,17 +21,22 @@ from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import (
-    DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual, WriterCommitMessage,
+    DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual, WriterCommitMessage,
 )
 from pyspark.sql.types import StructType
 
 SCHEMA = "folder string, uid long, internal_date timestamp_ntz, flags array<string>, size long, content binary"
 COLUMNS = ("folder", "uid", "internal_date", "flags", "size", "content")
-#: Bytes of mail after which a file ends, and of rows in one batch.
-FILE_BYTES, BATCH_BYTES = 64 << 20, 8 << 20
+#: Bytes of mail after which a file ends, after which it ends where a block of uids does, and of rows
+#: in one batch. A file is one task's work when it is read.
+FILE_BYTES, BLOCK_BYTES, BATCH_BYTES = 16 << 20, 4 << 20, 4 << 20
+#: Mails of which a task that writes has Python objects at once.
+AT_ONCE = 256
+#: Uids of a folder that are written by one task.
+UIDS = 10_000
 NAME = re.compile(r"(\d+)-(\d+)-(\d{8})-(\d{8})-\w+\.mbox")
 QUOTED = re.compile(rb"^(>*From )", re.MULTILINE)
 UNQUOTED = re.compile(rb"^>(>*From )", re.MULTILINE)
@@ -79,18 +84,18 @@ def separator(uid: int, date: datetime | None, flags: list[str] | None) -> bytes
     return f"From {uid} {date.isoformat() if date else '-'} {json.dumps(flags)}\n".encode()
 
 
-def mails(lines: Iterable[bytes]) -> Iterator[tuple[bytes, list[bytes]]]:
-    """(separator, lines of its mail) of a file's lines."""
-    head, body = None, []
-    for line in lines:
-        if line.startswith(b"From "):
-            if head is not None:
-                yield head, body
-            head, body = line, []
-        else:
-            body.append(line)
-    if head is not None:
-        yield head, body
+def mails(stream: pa.NativeFile, size: int = 1 << 20) -> Iterator[bytes]:
+    """The mails of a file, each with the line that begins it. No byte is looked at twice, however long a mail is."""
+    held = bytearray()
+    while block := stream.read(size):
+        look, begin = max(0, len(held) - 5), 0  # what begins a mail may lie in two blocks
+        held += block
+        while (end := held.find(b"\nFrom ", look)) >= 0:
+            yield bytes(held[begin : end + 1])
+            begin = look = end + 1
+        del held[:begin]
+    if held:
+        yield bytes(held)
 
 
 class MailReader(DataSourceReader):
@@ -126,29 +131,23 @@ class MailReader(DataSourceReader):
             return
         files, _ = _opened(self.path)
         rows: list[dict[str, Any]] = []
+        size = 0
         with files.open_input_stream(partition.path) as stream:
-            for head, body in mails(_lines(stream)):
+            for mail in mails(stream):
+                head, _, body = mail.partition(b"\n")
                 _, uid, date, flags = head.decode().split(" ", 3)
                 row = {"folder": partition.folder, "uid": int(uid), "internal_date": None if date == "-" else datetime.fromisoformat(date), "flags": json.loads(flags)}
                 if self._wanted(row):
-                    content = UNQUOTED.sub(rb"\1", b"".join(body)[:-1])
+                    content = body[:-1] if b">From " not in body else UNQUOTED.sub(rb"\1", body[:-1])
                     rows.append(row | {"size": len(content), "content": content})
-                    if sum(r["size"] for r in rows[-64:]) * (1 + len(rows) / 64) > BATCH_BYTES or len(rows) >= 1000:
+                    size += len(content)
+                    if size > BATCH_BYTES or len(rows) >= 1000:
                         yield _batch(rows)
-                        rows = []
+                        rows, size = [], 0
         if rows:
             yield _batch(rows)
 
 
-def _lines(stream: pa.NativeFile, size: int = 1 << 20) -> Iterator[bytes]:
-    left = b""
-    while block := stream.read(size):
-        *whole, left = (left + block).split(b"\n")
-        yield from (line + b"\n" for line in whole)
-    if left:
-        yield left
-
-
 def _batch(rows: list[dict[str, Any]]) -> pa.RecordBatch:
     kinds = pa.string(), pa.int64(), pa.timestamp("us"), pa.list_(pa.string()), pa.int64(), pa.binary()
     return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kind) for c, kind in zip(COLUMNS, kinds, strict=True)], names=COLUMNS)
@@ -171,9 +170,10 @@ class _File:
         self.out = files.open_output_stream(self.staged)
         self.size, self.uids, self.days = 0, None, None
 
-    def add(self, row: Row) -> None:
-        content = bytes(row["content"] or b"")
-        self.out.write(separator(row["uid"], row["internal_date"], row["flags"]) + QUOTED.sub(rb">\1", content) + b"\n")
+    def add(self, row: dict[str, Any]) -> None:
+        content = row["content"] or b""
+        quoted = QUOTED.sub(rb">\1", content) if b"From " in content else content
+        self.out.write(separator(row["uid"], row["internal_date"], row["flags"]) + quoted + b"\n")
         self.size += len(content)
         day = row["internal_date"].strftime("%Y%m%d") if row["internal_date"] else NO_DAY  # the least there is
         low, high = self.uids or (row["uid"], row["uid"])
@@ -185,18 +185,22 @@ class _File:
         return self.staged, f"{self.folder}/{self.uids[0]}-{self.uids[1]}-{self.days[0]}-{self.days[1]}-{uuid.uuid4().hex}.mbox"
 
 
-class MailWriter(DataSourceWriter):
+class MailWriter(DataSourceArrowWriter):
     """Each task writes files that no reader sees; they get their names when all tasks have ended."""
 
-    def __init__(self, path: str, overwrite: bool):
-        self.path, self.overwrite = path, overwrite
+    def __init__(self, path: str, overwrite: bool, uids: int = UIDS):
+        self.path, self.overwrite, self.uids = path, overwrite, uids
+
+    def _full(self, out: _File, row: dict[str, Any]) -> bool:
+        """Whether a file ends before a row: where it is long, its folder ends, or a block of uids does."""
+        return row["folder"] != out.mail_folder or out.size > FILE_BYTES or (out.size > BLOCK_BYTES and row["uid"] // self.uids != out.uids[1] // self.uids)
 
-    def write(self, iterator: Iterator[Row]) -> Written:
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         files, root = _opened(self.path)
         done: list[tuple[str, str]] = []
         out: _File | None = None
-        for row in iterator:
-            if out is None or row["folder"] != out.mail_folder or out.size > FILE_BYTES:
+        for row in (row for batch in iterator for at in range(0, batch.num_rows, AT_ONCE) for row in batch.slice(at, AT_ONCE).to_pylist()):
+            if out is None or self._full(out, row):
                 if out:
                     done.append(out.close())
                 out = _File(files, root, row["folder"])
@@ -236,16 +240,17 @@ class RawMail(DataSource):
         return MailReader(self.options["path"])
 
     def writer(self, schema: StructType, overwrite: bool) -> MailWriter:
-        return MailWriter(self.options["path"], overwrite)
+        return MailWriter(self.options["path"], overwrite, int(self.options.get("uids", UIDS)))
 
 
-def write_raw(mail: DataFrame, path: str, uids: int = 100_000) -> None:
+def write_raw(mail: DataFrame, path: str, uids: int = UIDS) -> None:
     """Adds mails (folder, uid, internal_date, flags, content) to a folder of raw mail. A large folder is
-    many files, each with neighbouring uids. Mails without a folder or a uid are an error."""
+    many files, each with neighbouring uids, dealt to tasks by blocks of so many uids, so that no task has
+    much more than others. Mails without a folder or a uid are an error."""
     mail.sparkSession.dataSource.register(RawMail)
     rows = mail.select(*(F.col(c) if c != "size" else F.length("content").cast("long").alias("size") for c in COLUMNS))
     rows = rows.withColumn("folder", F.coalesce("folder", F.raise_error(F.lit("a mail without a folder")))).withColumn("uid", F.coalesce("uid", F.raise_error(F.lit("a mail without a uid"))))
-    rows.repartition("folder", F.floor(F.col("uid") / uids)).sortWithinPartitions("folder", "uid").write.format("rawmail").mode("append").save(path)
+    rows.repartition("folder", F.floor(F.col("uid") / uids)).sortWithinPartitions("folder", "uid").write.format("rawmail").mode("append").option("uids", uids).save(path)
 
 
 def read_raw(spark: SparkSession, path: str) -> DataFrame:
