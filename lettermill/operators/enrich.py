@@ -91,14 +91,19 @@ def ask(prompted: DataFrame, backend: Backend, replies: str | None = None, windo
     replies: a folder of replies by the digest of their prompts, to which new ones are added. What it
     has is not asked again; prompts that failed are. Without it a folder of this call is used. Calls
     are made here, not when the result is read, and not again if it is read twice. A null prompt has
-    neither reply nor error.
+    neither reply nor error. prompted is read two times, and once more where there are replies: digests
+    alone say what is new, so prompts that are known aren't shuffled.
     """
     spark, path, run_id = prompted.sparkSession, replies or scratch_folder(prompted.sparkSession), uuid.uuid4().hex
     schema = f"{REPLY}, run string"
     keyed = prompted.withColumn("own digest", F.sha2(F.col("prompt"), 256))
-    fresh = keyed.where("prompt IS NOT NULL").select(F.col("own digest").alias("digest"), "prompt").dropDuplicates(["digest"])
+    fresh = keyed.where("prompt IS NOT NULL").select(F.col("own digest").alias("digest"), "prompt")
+    new = f"{path}/_new-{run_id}"  # readers of the folder pass over such names
     if _has_files(spark, path):
-        fresh = fresh.join(spark.read.schema(schema).parquet(path).where("error IS NULL"), "digest", "left_anti")
+        asked = spark.read.schema(schema).parquet(path).where("error IS NULL").select("digest")
+        fresh.select("digest").distinct().join(asked, "digest", "left_anti").write.parquet(new)
+        fresh = fresh.join(spark.read.schema("digest string").parquet(new), "digest", "left_semi")
+    fresh = fresh.dropDuplicates(["digest"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         waiting: deque[tuple[str, _Call]] = deque()
@@ -119,6 +124,9 @@ def ask(prompted: DataFrame, backend: Backend, replies: str | None = None, windo
             yield pd.DataFrame([first() for _ in range(len(waiting))], columns=["digest", "reply", "error", "tries"])
 
     fresh.mapInPandas(run, REPLY).withColumn("run", F.lit(run_id)).write.mode("append").parquet(path)
+    if _has_files(spark, new):
+        at = spark._jvm.org.apache.hadoop.fs.Path(new)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
     # Of a prompt that two runs asked at once, one reply counts; of failures, this run's.
     known = spark.read.schema(schema).parquet(path).where(F.col("error").isNull() | (F.col("run") == run_id))
     known = known.groupBy("digest").agg(F.min(F.struct(F.col("error").isNotNull().alias("failed"), "reply", "error")).alias("own said"))

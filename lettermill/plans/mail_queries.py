@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.reply import TEXT_IN_PROMPT
 from ..functions.requests import NEEDS, TAKEN, UNKNOWN, answers
 from ..functions.sql import register_functions
 from ..operators import enrich, select
@@ -135,7 +136,9 @@ SELECT uid, CASE split_part(lower(sender), '@', 2) WHEN 'gmail.com' THEN 'person
   CASE WHEN {CONTENT} > 500 THEN 'high' ELSE 'low' END AS priority, CASE WHEN split_part(lower(sender), '@', 2) = 'msn.com' THEN 'delete' ELSE 'archive' END AS action, true AS valid, CAST(NULL AS VARCHAR) AS error FROM x"""))
 def ai_ask(spark, sf_dir):
     """Prompts sent to a model in tasks, equal ones once; a second run finds all replies in the table."""
-    m, replies = derived(spark, sf_dir), scratch_folder(spark)
+    m, found, replies = derived(spark, sf_dir, TEXT_IN_PROMPT).select("uid", "from", "subject", "date", "bodyText"), scratch_folder(spark), scratch_folder(spark)
+    m.write.parquet(found)  # read by both runs, several times each: the joins are made once
+    m = spark.read.schema(m.schema).parquet(found)
     enrich.analyze(m, rule_model, replies=replies)
     return enrich.analyze(m, rule_model, replies=replies).select("uid", "fields.category", "fields.priority", "fields.action", "valid", "error")
 

@@ -13,16 +13,20 @@ from .stored import Store
 SENDER_DOMAINS = ["outlook.com", "Hotmail.com", "gmail.com", "one.com", "live.com", "msn.com", "phone.com", "example.org"]
 
 
-def derived(spark: SparkSession, sf_dir: str) -> DataFrame:
+def derived(spark: SparkSession, sf_dir: str, chars: int | None = None) -> DataFrame:
     """A message for each document, with dates, senders and flags made from the other tables.
 
-    Equi-joins on the document's id only; Spark chooses how by size.
+    Equi-joins on the document's id only; Spark chooses how by size. chars: for who needs no more than the
+    beginning of a text, so many characters of bodyText; the rest then isn't shuffled. Subjects are whole.
     """
     read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
     events = read("events").select(F.col("event_id").alias("uid"), "ts", "user_id", "event_type", F.get_json_object("props", "$.k").cast("long").alias("k"))
     pages = read("pages").select(F.col("page_id").alias("uid"), "html")
     labels = read("labels").select(F.col("doc_id").alias("uid"), "quality", "toxic")
     docs = read("documents").withColumnRenamed("doc_id", "uid")
+    subject = F.substring_index("text", "\n", 1)
+    if chars is not None:
+        docs, subject = docs.select("uid", "source", "n_chars", subject.alias("subject"), F.substring("text", 1, chars).alias("text")), F.col("subject")
     user = lambda n: F.concat(F.lit("user"), (F.col("user_id") + n).cast("string") if n == 0 else ((F.col("user_id") + n) % 150).cast("string"))
     domain = F.get(F.array(*map(F.lit, SENDER_DOMAINS)), (F.col("user_id") % 8).cast("int"))
     sender = F.concat(user(0), F.lit("@"), domain)
@@ -40,7 +44,7 @@ def derived(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return docs.join(events, "uid").join(pages, "uid", "left").join(labels, "uid", "left").select(
         "uid", F.col("source").alias("folder"), F.col("ts").alias("internal_date"), F.col("ts").alias("date"),
-        F.substring_index("text", "\n", 1).alias("subject"), sender.alias("from"),
+        subject.alias("subject"), sender.alias("from"),
         F.when(F.col("user_id") % 2 == 0, F.array(F.concat(user(1), F.lit("@example.org")), F.concat(user(7), F.lit("@"), domain))).otherwise(F.array(F.concat(user(1), F.lit("@example.org")))).alias("to"),
         F.array().cast("array<string>").alias("cc"), "html", F.col("text").alias("bodyText"),
         F.when(F.col("k") % 5 == 0, F.array(file)).otherwise(F.array().cast("array<struct<filename:string,contentType:string,size:long>>")).alias("attachments"),
