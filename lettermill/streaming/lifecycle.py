@@ -11,25 +11,19 @@ what comes later than that is left out. An attempt times out by the watermark to
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
-from datetime import datetime, timedelta, timezone
 from typing import Any
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 GUARD, DELAY = 35, 60  # seconds
-STATES = "connectionId string, started timestamp, state string, at timestamp"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ENDS = {"error": "failed", "end": "ended", "connect": "replaced"}
-EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
-
-
-def _micros(moment: Any) -> int:
-    return (pd.Timestamp(moment, tz="UTC") if pd.Timestamp(moment).tzinfo is None else pd.Timestamp(moment)).value // 1000
+FOUND = "connectionId string, started long, state string, at long"  # in microseconds, as all times within the state are
 
 
 class Connection(StatefulProcessor):
@@ -40,7 +34,7 @@ class Connection(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "at long, number long, kind string")
+        self.waiting = handle.getListState("waiting", "events string")  # JSON, many in a row of state: each row is a call
         self.now = handle.getValueState("now", "started long, connected boolean")
         self.alarm = handle.getValueState("alarm", "at long")
 
@@ -48,28 +42,28 @@ class Connection(StatefulProcessor):
         """Sees to it that the one timer there is goes off when the first of some moments has passed
         (microseconds; timers and `passed` are in milliseconds)."""
         at = max(-(-min(moments) // 1000), passed + 1)
-        set_to = self.alarm.get()[0] if self.alarm.exists() else None
+        alarm = self.alarm.get()
+        set_to = alarm[0] if alarm else None
         if set_to is None or at < set_to:
             if set_to is not None:
                 self.handle.deleteTimer(set_to)
             self.handle.registerTimer(at)
             self.alarm.update((at,))
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        for batch in rows:
-            fresh = [(_micros(t), int(n), k) for t, n, k in zip(batch["at"], batch["number"], batch["kind"], strict=True)]
-            self.waiting.appendList(fresh)
-            self._wake([t for t, _, _ in fresh], timerValues.getCurrentWatermarkInMs())
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        fresh = [(r["micros"], r["number"], r["kind"]) for r in rows]
+        self.waiting.appendValue((json.dumps(fresh),))
+        self._wake([t for t, _, _ in fresh], timerValues.getCurrentWatermarkInMs())
         yield from ()
 
-    def handleExpiredTimer(self, key: tuple, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key: tuple, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
         self.alarm.clear()
         now = timerValues.getCurrentWatermarkInMs()
         passed = now * 1000
-        events = sorted(tuple(x) for x in self.waiting.get()) if self.waiting.exists() else []
+        events = sorted(tuple(e) for row in self.waiting.get() for e in json.loads(row[0]))
         due = [e for e in events if e[0] <= passed]
         left = events[len(due) :]
-        started, connected = self.now.get() if self.now.exists() else (None, False)
+        started, connected = self.now.get() or (None, False)
         out: list[tuple] = []
         for at, _, kind in [*due, (passed + 1, 0, None)]:
             if started is not None and not connected and started + self.guard < at:
@@ -84,14 +78,13 @@ class Connection(StatefulProcessor):
             if kind == "connect":
                 started, connected = at, False
         if due:
-            self.waiting.put(left) if left else self.waiting.clear()
+            self.waiting.put([(json.dumps(left),)]) if left else self.waiting.clear()
         self.now.update((started, connected)) if started is not None else self.now.clear()
         ahead = [e[0] for e in left[:1]] + ([started + self.guard] if started is not None and not connected else [])
         if ahead:
             self._wake(ahead, now)
-        if out:
-            when = lambda x: EPOCH + timedelta(microseconds=x)
-            yield pd.DataFrame({"connectionId": [key[0]] * len(out), "started": [when(s) for s, _, _ in out], "state": [n for _, n, _ in out], "at": [when(a) for _, _, a in out]})
+        for began, state, at in out:
+            yield Row(connectionId=key[0], started=began, state=state, at=at)
 
     def close(self) -> None:
         pass
@@ -107,8 +100,9 @@ def events_of(spark: SparkSession, path: str, kinds: dict[str, str]) -> DataFram
 
 def states(events: DataFrame, guard: int = GUARD, delay: int = DELAY) -> DataFrame:
     """(connectionId, started, state, at) of a stream of events, each as soon as the watermark tells."""
-    known = events.withWatermark("at", f"{delay} seconds")
-    return known.groupBy("connectionId").transformWithStateInPandas(Connection(guard), STATES, "Append", "EventTime")
+    known = events.where("at IS NOT NULL").withColumn("micros", F.unix_micros("at")).withWatermark("at", f"{delay} seconds")
+    found = known.groupBy("connectionId").transformWithState(Connection(guard), FOUND, "Append", "EventTime")
+    return found.select("connectionId", F.timestamp_micros("started").alias("started"), "state", F.timestamp_micros("at").alias("at"))
 
 
 def run_to_end(stream: DataFrame, path: str) -> DataFrame:
