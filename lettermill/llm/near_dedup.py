@@ -33,6 +33,8 @@ SLACK = 0.14
 QUICK, AGREE = 64, 31
 #: Bits of the map of a set's shingles, which bounds what two sets can share.
 BITS = 4096
+#: Bits of the map of the keys of texts that are needed again: 2 MB.
+KEY_BITS = 1 << 24
 #: Before the last comparison, buckets are dealt into groups of about so many, so many times over,
 #: and each group is compared with its smallest.
 GROUP, TURNS = 8, 2
@@ -224,6 +226,18 @@ def bit_maps(texts: DataFrame) -> DataFrame:
     return with_columns(texts.select("id", "text"), ["text"], T.StructType([T.StructField("bits", T.ArrayType(T.LongType()))]), start, without=["text"])
 
 
+def perhaps_in(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """The rows whose key (a long) wanted has, and some more: a map of KEY_BITS bits, however many keys there are,
+    is broadcast. So a join with wanted shuffles few of the other rows."""
+    place, page = F.pmod(F.col(key), F.lit(KEY_BITS)), 32_768  # bits in one of Spark's bitmaps
+    spots = wanted.select(place.alias("place")).select(F.floor(F.col("place") / page).alias("page"), (F.col("place") % page).alias("spot"))
+    pages = spots.groupBy("page").agg(F.bitmap_construct_agg("spot").alias("bits"))
+    spot = place % page
+    byte = F.conv(F.hex(F.substring(F.col("bits"), F.floor(spot / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    is_set = F.getbit(byte, (spot % 8).cast("int")) == 1
+    return rows.join(F.broadcast(pages), (F.floor(place / page) == F.col("page")) & is_set, "left_semi")
+
+
 def labelled(rows: DataFrame, grouped: DataFrame) -> DataFrame:
     """rows with the component of their id."""
     return rows.join(grouped.toDF("id", "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -332,7 +346,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     # One row of each class with company, and its text.
     wanted = sets.join(members.select("id").distinct(), "id", "left_semi").select("id", "row.doc_id", "row.text_key")
-    texts = docs.join(written(wanted, scratch), ["doc_id", "text_key"]).groupBy("id").agg(F.first("text").alias("text"))
+    wanted = written(wanted, scratch)
+    texts = perhaps_in(docs, wanted, "text_key").join(wanted, ["doc_id", "text_key"]).groupBy("id").agg(F.first("text").alias("text"))
     texts = written(texts, scratch)
 
     first = members.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()

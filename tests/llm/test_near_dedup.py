@@ -174,3 +174,12 @@ def test_one_large_group_of_near_copies(spark, docs_of, seed):
     rows = near_dedup.near_duplicates(docs_of(texts)).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows} == near_dedup.brute(dict(enumerate(texts)))
 
+
+
+def test_few_other_rows_are_joined(spark):
+    """Where copies were too many to broadcast, all texts were shuffled for those that are needed again."""
+    rows = spark.range(0, 40_000).select(F.xxhash64("id").alias("key"), "id")
+    wanted = rows.where("id % 10 = 3")
+    got = [r["id"] for r in near_dedup.perhaps_in(rows, wanted, "key").select("id").collect()]
+    assert len(got) == len(set(got)) < 4_100 and {i for i in range(40_000) if i % 10 == 3} <= set(got)
+    assert near_dedup.perhaps_in(rows, wanted.where("id < 0"), "key").count() == 0
