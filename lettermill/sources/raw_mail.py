@@ -37,7 +37,7 @@ FILE_BYTES, BLOCK_BYTES, BATCH_BYTES = 16 << 20, 4 << 20, 4 << 20
 AT_ONCE = 256
 #: Uids of a folder that are written by one task.
 UIDS = 10_000
-NAME = re.compile(r"(\d+)-(\d+)-(\d{8})-(\d{8})-\w+\.mbox")
+NAME = re.compile(r"(\d+)-(\d+)-(\d{8})-(\d{8})-\w+\.mbox\Z")
 QUOTED = re.compile(rb"^(>*From )", re.MULTILINE)
 UNQUOTED = re.compile(rb"^>(>*From )", re.MULTILINE)
 NO_DAY = "00000000"  # of a mail without a date
@@ -117,7 +117,7 @@ class MailReader(DataSourceReader):
         out = []
         for info in files.get_file_info(fs.FileSelector(root, recursive=True)):
             parent, _, name = info.path.rpartition("/")
-            if (m := NAME.fullmatch(name)) and (folder := parent.rpartition("/")[2]).startswith("folder="):
+            if (m := NAME.match(name)) and (folder := parent.rpartition("/")[2]).startswith("folder="):
                 segment = Segment(info.path, unquote(folder.removeprefix("folder=")), int(m[1]), int(m[2]), m[3], m[4])
                 if all(segment.may_hold(*c) for c in self.conditions):
                     out.append(segment)
