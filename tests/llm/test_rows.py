@@ -183,6 +183,48 @@ def test_bpe_forgets(public, monkeypatch):
         assert encoder.encode(text).tolist() == library.encode_ordinary(text)
 
 
+def test_bpe_merges_side_by_side(public, monkeypatch):
+    """Words that come once each are not merged one by one, which was nearly all of the time."""
+    ranks, pattern, library = public
+    alone = []
+    monkeypatch.setattr(bpe, "merge", lambda piece, *a, f=bpe.merge: alone.append(piece) or f(piece, *a))
+    random.seed(2)
+    syllables = ["th", "en", "er", "ß", "ö", "q", "zx", "kj", "一", "é", "ing"]
+    words = ["".join(random.choices(syllables, k=random.choice((3, 5, 9, 14)))) for _ in range(4000)]
+    words += ["".join(random.choices("abcxyz", k=random.randrange(65, 600))) for _ in range(400)]
+    random.shuffle(words)
+    texts = [" ".join(words[i : i + 50]) for i in range(0, len(words), 50)]
+    ids = bpe.id_lists(texts, bpe.Encoder(ranks, pattern)).to_pylist()
+    assert ids == [library.encode_ordinary(x) for x in texts]
+    assert len(alone) < 320, len(alone)
+
+
+def test_bpe_white_space_around_words(public):
+    import regex
+
+    ranks, pattern, library = public
+    spaces = [chr(c) for c in range(0x3001) if chr(c).isspace() or regex.match(r"\s", chr(c))]
+    encoder = bpe.Encoder(ranks, pattern)
+    texts = [f"x {y} z{c}w 's{c}{c} " for c in spaces for y in (c, f"a{c}", f"{c}b", f"a{c}b", f"!{c}\x0b", f"一{c}二", "")]
+    assert bpe.id_lists(texts, encoder).to_pylist() == [library.encode_ordinary(x) for x in texts]
+    random.seed(3)
+    for _ in range(300):
+        text = "".join(random.choice([*spaces, " ", " ", "a", "b!", "'t", "七"]) for _ in range(60))
+        assert encoder.encode(text).tolist() == library.encode_ordinary(text), repr(text)
+
+
+def test_bpe_byte_not_in_vocabulary():
+    ranks = {b"a": 0, b"b": 1, b" ": 2, b"ab": 3}
+    encoder = bpe.Encoder(ranks, r" ?[a-z]+")
+    words = ["".join("ab"[int(c)] for c in f"{i:07b}") for i in range(100)]
+    pieces = [words[0], *(" " + w for w in words[1:])]
+    assert encoder.encode(" ".join(words)).tolist() == [x for p in pieces for x in bpe.merge(p.encode(), ranks, bpe.pair_table(ranks))]
+    for text in ("abc", " ".join(w + "c" for w in words)):
+        with pytest.raises(KeyError):
+            encoder.encode(text)
+    assert encoder.encode("ab ab").tolist() == [3, 2, 3]  # a failure leaves nothing wrong behind
+
+
 def test_bpe_query(spark, docs_of, folder, public):
     texts = [None, "", "Hello  world\n it's 3 ½", "é" * 300, "a b"]
     for r in bpe.query(spark, folder(documents=docs_of(texts))).collect():
